@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = 1 <
     """Parts of the batches with about ``chars`` bytes of text at most (a longer text comes alone), and their texts."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = [n or 0 for n in pa.compute.binary_length(col).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(col).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > chars:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
+from .packing import op6_best_fit_packing
 from .sharding import op10_interleaved_shards
+from .token_files import op4_token_files
 
 
 def queries() -> dict:
-    fs = (op5_curriculum_mix, op10_interleaved_shards)
+    fs = (op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op9_line_dedup, op10_interleaved_shards)
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
