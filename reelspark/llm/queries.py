@@ -5,12 +5,14 @@ from __future__ import annotations
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
 from .packing import op6_best_fit_packing
+from .quality import op7_quality_rules
 from .sharding import op10_interleaved_shards
 from .token_files import op4_token_files
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    fs = (op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op9_line_dedup, op10_interleaved_shards)
+    fs = (op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
     return {f.__name__: f for f in fs}
 
 
