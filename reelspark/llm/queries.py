@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op3_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
 from .packing import op6_best_fit_packing
@@ -12,7 +13,7 @@ from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    fs = (op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
+    fs = (op3_language_id, op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
     return {f.__name__: f for f in fs}
 
 
