@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op3_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
+from .ngram_join import op1_ngram_join
 from .packing import op6_best_fit_packing
 from .quality import op7_quality_rules
 from .sharding import op10_interleaved_shards
@@ -13,7 +14,7 @@ from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    fs = (op3_language_id, op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
+    fs = (op1_ngram_join, op3_language_id, op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
     return {f.__name__: f for f in fs}
 
 
