@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op2_embedding_dedup
 from .langid import op3_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
@@ -14,7 +15,7 @@ from .toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    fs = (op1_ngram_join, op3_language_id, op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
+    fs = (op1_ngram_join, op2_embedding_dedup, op3_language_id, op4_token_files, op5_curriculum_mix, op6_best_fit_packing, op7_quality_rules, op8_toxicity, op9_line_dedup, op10_interleaved_shards)
     return {f.__name__: f for f in fs}
 
 
