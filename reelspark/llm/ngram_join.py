@@ -11,10 +11,10 @@ to spare on leaving out the segments where its subset is empty or a single n-gra
 
 Sets are told apart by a 64-bit hash of their content, so exact copies are one set from the start. Candidates are
 verified in two rounds. First each set meets the one set it shares the most keys with, and what is linked is merged;
-then all pairs that share a key but aren't merged yet are verified. Large groups of near copies cost their size, not
-its square, and no pair that could be a link between separate groups is left out. Before n-grams are fetched, the
-Hamming distance of parity sketches, which never exceeds the difference of the sets, and the sizes prune candidates
-without loss.
+then all pairs that share a key but aren't merged yet are candidates. Large groups of near copies cost their size, not
+its square, and no pair that could be a link between separate groups is left out. Sizes and the Hamming distance of
+parity sketches, which never exceeds the difference of the sets, prune candidates without loss: a short sketch inside
+the join, so that texts which only share a passage never become rows, and a longer one before n-grams are fetched.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from ._common import text_chunks, written
 from ._text import mix, windows, word_hashes
 from .components import connected_components
 
-#: Bits of the parity sketch.
-SKETCH = 2048
+#: Bits of the parity sketch, and of its folded form that the candidate join holds against the sizes.
+SKETCH, SHORT = 2048, 256
 #: Ids that are broadcast to pick out documents; above, the documents are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Weight of a candidate against a row of the index, and how fast candidates fall with the size of a subset.
@@ -80,7 +80,7 @@ def keys(s: np.ndarray, band: int, home: bool, num: int, den: int) -> np.ndarray
     np.add.at(sums, seg, s)
     sizes = np.bincount(seg, minlength=m)
     spare = m + d - (h + 1)
-    theta = np.zeros(m, np.int8)
+    theta = np.zeros(m, np.int64)
     theta[:d] = 1
     small = np.flatnonzero(sizes <= 1)
     for j in small[np.argsort(sizes[small], kind="stable")]:
@@ -115,18 +115,18 @@ def content(s: np.ndarray) -> int:
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for chunk, texts in text_chunks(batches, "text"):
-        ids, sizes, found, sketches = [], [], [], []
+        ids, sizes, found, sketches, shorts = [], [], [], [], []
         for text in texts:
             s = ngrams(text or "", k)
             n = len(s)
             sizes.append(n)
             if not n:
-                ids.append(None), found.append(None), sketches.append(None)
+                ids.append(None), found.append(None), sketches.append(None), shorts.append([None] * 4)
                 continue
             c = content(s)
             ids.append(c)
             if c in seen:
-                found.append(None), sketches.append(None)
+                found.append(None), sketches.append(None), shorts.append([None] * 4)
                 continue
             if len(seen) < SEEN:
                 seen.add(c)
@@ -136,8 +136,11 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Ite
             found.append(np.concatenate([own, low]).view(np.int64))
             parity = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
             sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            shorts.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, SHORT), axis=0).astype(np.uint8)).view(np.int64).tolist())
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, longs), pa.array(sketches, longs)], names=["doc_id", "id", "n", "keys", "sketch"])
+        cols = [chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, longs), pa.array(sketches, longs)]
+        cols += [pa.array([h[i] for h in shorts], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "id", "n", "keys", "sketch", "h0", "h1", "h2", "h3"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5)
     link with nothing; so do rows without a doc_id, whose component is null. Repeated rows each give a row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(docs.mapInArrow(partial(_index, k=k, num=num, den=den), "doc_id long, id long, n long, keys array<long>, sketch array<long>"), "ngram-index")
+    made = written(docs.mapInArrow(partial(_index, k=k, num=num, den=den), "doc_id long, id long, n long, keys array<long>, sketch array<long>, h0 long, h1 long, h2 long, h3 long"), "ngram-index")
     members = made.filter("id is not null and doc_id is not null")
     rows = members.filter("keys is not null").select("id", F.explode("keys").alias("key"))
     rows = rows.select("id", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(3).alias("flag"))
@@ -185,11 +188,12 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5)
     roots = connected_components(links)
     left = shared.join(roots, "id", "left").select("key", "id", "flag", F.coalesce("root", "id").alias("root"))
     left = left.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    left = written(left, "unmerged")
-    groups = left.filter(F.col("flag").bitwiseAND(INDEX) > 0).select("key", F.col("root").alias("other")).distinct()
-    probes = left.filter(F.col("flag").bitwiseAND(PROBE) > 0).join(groups, "key").filter("root <> other").select("key", F.col("id").alias("x"), "other")
-    index = left.filter(F.col("flag").bitwiseAND(INDEX) > 0).select("key", F.col("id").alias("y"), F.col("root").alias("other"))
-    pairs = probes.join(index, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    shape = members.filter("sketch is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "h0", "h1", "h2", "h3")])
+    left = written(left.join(shape, "id"), "unmerged")
+    x, y = left.filter(F.col("flag").bitwiseAND(PROBE) > 0).alias("x"), left.filter(F.col("flag").bitwiseAND(INDEX) > 0).alias("y")
+    apart = " + ".join(f"bit_count(x.h{i} ^ y.h{i})" for i in range(4))
+    could = f"x.key = y.key and x.root <> y.root and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and ({apart}) * {den + num} <= (x.n + y.n) * {den - num}"
+    pairs = x.join(y, F.expr(could)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     roots = connected_components(links.union(_verified(pairs, docs, members, k, num, den)))
     least = members.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left")
     whole = least.filter("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
