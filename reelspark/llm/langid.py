@@ -181,6 +181,7 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
     models = kneser_ney(np.array([number[x] for x in names]), counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy(), languages)
     held = d.filter("held").select("lang", "text").mapInArrow(partial(_entropies, models=models), "lang string, h array<double>").filter("h is not null").collect()
     held = [r for r in held if r.lang in number]
+    models.limit = -0.75 * models.floor
     if len(held) >= 20:
         h, y = np.array([r.h for r in held]), np.array([number[r.lang] for r in held])
         best = []
@@ -188,7 +189,7 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
             models.sharpness = float(s)
             best.append((-np.mean(np.log(models.posterior(h)[np.arange(len(y)), y] + 1e-9)), s))
         models.sharpness = float(min(best)[1])
-        models.limit = 1.25 * float(h.min(axis=1).max())
+        models.limit = (float(h.min(axis=1).max()) - models.floor) / 2
     return models
 
 
@@ -210,8 +211,9 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """``docs`` with ``__lang_pred``, ``__score`` (0 to 1) and ``__rejected`` (columns with two underscores are reserved).
 
     A text that is null or has no letter is ``und``, with score 0, and rejected; so is all text without models. Any
-    other text gets a learnt language; it is rejected if no model explains it better than ``limit``, a quarter above
-    the worst cross-entropy of the rows held back.
+    other text gets a learnt language; it is rejected if no model explains it better than ``limit``, halfway between the
+    worst cross-entropy of the rows held back and that of characters never seen: texts in scripts or letter
+    sequences foreign to all models go, while mixed and unusual texts of the learnt languages stay.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(partial(_predict, models=models), f"{schema}, __lang_pred string, __score double, __rejected boolean")

@@ -98,6 +98,8 @@ def fit_machine(rows: list, rounds: int = 200, seed: int = 5) -> Machine | None:
     both, n = one + zero, n1 + n0
     g = sum(a * np.log(np.maximum(a, 1e-9) * n / np.maximum(rows_ * cols, 1e-9)) for a, rows_, cols in ((one, both, n1), (zero, both, n0), (n1 - one, n - both, n1), (n0 - zero, n - both, n0)))
     slots = np.flatnonzero(2 * g >= LEAST_G)
+    if not len(slots):
+        return Machine(slots, float(np.log(n1 / n0)), np.empty(0), np.empty((0, FACTORS)))
     every = np.zeros((len(rows), len(slots)), np.uint8)
     for i, t in enumerate(rows_terms):
         every[i, np.searchsorted(slots, np.intersect1d(t, slots, assume_unique=True))] = 1
