@@ -9,7 +9,7 @@ subsets' keys and, in D of the segments, under those of their one-deletion neigh
 by cost (rows of the index, against candidates that small subsets bring), and each set spends what its allocation has
 to spare on leaving out the segments where its subset is empty or a single n-gram, which would meet many others.
 
-Sets are told apart by a 64-bit hash of their content, so exact copies are one set from the start. Candidates are
+Sets are told apart by a 62-bit hash of their content, so exact copies are one set from the start. Candidates are
 verified in two rounds. First each set meets the one set it shares the most keys with, and what is linked is merged;
 then all pairs that share a key but aren't merged yet are candidates. Large groups of near copies cost their size, not
 its square, and no pair that could be a link between separate groups is left out. Sizes and the Hamming distance of
@@ -38,9 +38,9 @@ SKETCH, SHORT = 2048, 256
 #: Ids that are broadcast to pick out documents; above, the documents are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Weight of a candidate against a row of the index, and how fast candidates fall with the size of a subset.
-CANDIDATE_COST, CANDIDATE_BASE = 50.0, 0.3
+CANDIDATE_COST, CANDIDATE_BASE = 10.0, 0.3
 INDEX, PROBE = 1, 2
-#: Contents that a partition remembers, so as not to index copies again.
+#: Contents that a task remembers, so as not to index copies again.
 SEEN = 1_000_000
 
 
@@ -53,43 +53,50 @@ def bands(num: int, den: int, upto: int = 1 << 40) -> list[int]:
     return out
 
 
+def difference(n: int, high: int, num: int, den: int) -> int:
+    """The largest difference of a set of n and a set linked with it of at most ``high``."""
+    return (n + min(high, n * den // num)) * (den - num) // (den + num)
+
+
 @lru_cache(maxsize=4096)
-def allocation(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """(H, m, D) of a band: the largest difference, the segments, and those with one-deletion neighbourhoods."""
+def allocation(band: int, num: int, den: int) -> tuple[int, int]:
+    """(m, D) of a band: the segments, and those with one-deletion neighbourhoods. (0, 0): only equal sets link."""
     low, high = bands(num, den)[band], bands(num, den)[band + 1] - 1
-    h = high * (den - num) // num
-    best = None
+    h = difference(high * den // num, high, num, den)  # of the largest set that probes here
+    best = (0.0, 0, 0) if not h else None
     for m in range(max(1, (h + 2) // 2), h + 10) if h else ():
-        spare = math.ceil(3 * m * math.exp(-low / m))
-        d = max(0, h + 1 + spare - m)
+        size = low / m
+        d = max(0, h + 1 + math.ceil(1.5 * m * math.exp(-size)) - m)
         if d <= m:
-            size = low / m
             cost = m + d * size + CANDIDATE_COST * m * CANDIDATE_BASE**size
             best = min(best or (cost, m, d), (cost, m, d))
-    return (h, *best[1:]) if best else (h, h + 1, h + 1)
+    return best[1:] if best else (h + 1, h + 1)
 
 
 def keys(s: np.ndarray, band: int, home: bool, num: int, den: int) -> np.ndarray:
     """The keys under which a set (of mixed hashes) is indexed and probes, flags in the low bits; for a lower band
     than its own, only those with which it probes."""
-    h, m, d = allocation(band, num, den)
-    if not h:
+    m, d = allocation(band, num, den)
+    high = bands(num, den)[band + 1] - 1
+    if not m or not home and high * den < len(s) * num:
         return np.empty(0, np.uint64)
+    spare = m + d - (difference(len(s), high, num, den) + 1)
     seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     sums, seg = np.zeros(m, np.uint64), seg.astype(np.int64)
     np.add.at(sums, seg, s)
     sizes = np.bincount(seg, minlength=m)
-    spare = m + d - (h + 1)
     theta = np.zeros(m, np.int64)
     theta[:d] = 1
-    small = np.flatnonzero(sizes <= 1)
-    for j in small[np.argsort(sizes[small], kind="stable")]:
+    order = np.argsort(sizes, kind="stable")
+    for j in order[: np.count_nonzero(sizes <= 1)]:
         if theta[j] + 1 <= spare:
             spare -= theta[j] + 1
             theta[j] = -1
-    for j in np.flatnonzero(theta == 1)[:spare]:
-        theta[j] = 0
-    salt = np.uint64(((band + 1) << 32) & 0xFFFFFFFFFFFFFFFF) + np.arange(m, dtype=np.uint64)
+    down = np.flatnonzero(theta == 1)[:spare]
+    theta[down] = 0
+    rest = order[theta[order] == 0][: spare - len(down)]
+    theta[rest] = -1
+    salt = np.uint64((band + 1) << 32) + np.arange(m, dtype=np.uint64)
     flag = np.where(theta >= 0, PROBE, 0) | (INDEX if home else 0)
     own = (mix(sums * np.uint64(0x9E3779B97F4A7C15) + mix(salt)) & ~np.uint64(3)) | flag.astype(np.uint64)
     out = [own if home else own[theta >= 0]]
@@ -108,39 +115,48 @@ def ngrams(text: str, k: int) -> np.ndarray:
 
 
 def content(s: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    return int(mix(np.array([np.add.reduce(mix(s))], np.uint64) + np.uint64(len(s)))[0].view(np.int64))
+    """A 62-bit hash of a set, times 4: keys' flags go below it."""
+    return int((mix(np.array([np.add.reduce(mix(s))], np.uint64) + np.uint64(len(s))) & ~np.uint64(3))[0].view(np.int64))
 
 
-def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The content of each document and, where a partition meets it first, its parity sketches."""
     seen: set[int] = set()
     for chunk, texts in text_chunks(batches, "text"):
-        ids, sizes, found, sketches, shorts = [], [], [], [], []
+        ids, sizes, sketches, shorts = [], [], [], []
         for text in texts:
             s = ngrams(text or "", k)
-            n = len(s)
-            sizes.append(n)
-            if not n:
-                ids.append(None), found.append(None), sketches.append(None), shorts.append([None] * 4)
+            sizes.append(len(s))
+            ids.append(content(s) if len(s) else None)
+            if not len(s) or ids[-1] in seen:
+                sketches.append(None), shorts.append([None] * 4)
                 continue
-            c = content(s)
-            ids.append(c)
-            if c in seen:
-                found.append(None), sketches.append(None), shorts.append([None] * 4)
+            if len(seen) < SEEN:
+                seen.add(ids[-1])
+            parity = (np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+            sketches.append(np.packbits(parity).view(np.int64))
+            shorts.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, SHORT), axis=0)).view(np.int64).tolist())
+        cols = [chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([h[i] for h in shorts], pa.int64()) for i in range(4))], names=["doc_id", "id", "n", "sketch", "h0", "h1", "h2", "h3"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(key, id with the key's flags) of each content that a partition meets first."""
+    seen: set[int] = set()
+    for _, texts in text_chunks(batches, "text"):
+        found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for text in texts:
+            s = ngrams(text, k)
+            if not len(s) or (c := content(s)) in seen:
                 continue
             if len(seen) < SEEN:
                 seen.add(c)
-            t, b = mix(s), bisect_right(bands(num, den), n) - 1
-            own = keys(t, b, True, num, den)
-            low = keys(t, b - 1, False, num, den) if b else own[:0]
-            found.append(np.concatenate([own, low]).view(np.int64))
-            parity = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-            sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            shorts.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, SHORT), axis=0).astype(np.uint8)).view(np.int64).tolist())
-        longs = pa.list_(pa.int64())
-        cols = [chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, longs), pa.array(sketches, longs)]
-        cols += [pa.array([h[i] for h in shorts], pa.int64()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "id", "n", "keys", "sketch", "h0", "h1", "h2", "h3"])
+            t, b = mix(s), bisect_right(bands(num, den), len(s)) - 1
+            for x in (keys(t, b, True, num, den), keys(t, b - 1, False, num, den) if b else ()):
+                if len(x):
+                    found.append(x & ~np.uint64(3))
+                    ids.append((x & np.uint64(3)) | np.uint64(c & 0xFFFFFFFFFFFFFFFF))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, ids)], names=["key", "id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -176,13 +192,14 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5)
     link with nothing; so do rows without a doc_id, whose component is null. Repeated rows each give a row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(docs.mapInArrow(partial(_index, k=k, num=num, den=den), "doc_id long, id long, n long, keys array<long>, sketch array<long>, h0 long, h1 long, h2 long, h3 long"), "ngram-index")
+    made = written(docs.mapInArrow(partial(_members, k=k), "doc_id long, id long, n long, sketch array<long>, h0 long, h1 long, h2 long, h3 long"), "ngram-members")
     members = made.filter("id is not null and doc_id is not null")
-    rows = members.filter("keys is not null").select("id", F.explode("keys").alias("key"))
-    rows = rows.select("id", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(3).alias("flag"))
+    rows = docs.filter("doc_id is not null and text is not null").select("text").mapInArrow(partial(_keys, k=k, num=num, den=den), "key long, id long")
+    bare, flag = F.col("id").bitwiseAND(~3), F.col("id").bitwiseAND(3)
     w = Window.partitionBy("key")
-    rows = rows.select("*", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"), F.max(F.col("flag").bitwiseAND(PROBE)).over(w).alias("p"), F.min(F.when(F.col("flag").bitwiseAND(INDEX) > 0, F.col("id"))).over(w).alias("hub"))
-    shared = written(rows.filter("lo <> hi and p > 0 and hub is not null").groupBy("key", "id", "hub").agg(F.bit_or("flag").alias("flag")), "shared-keys")
+    rows = rows.select("key", "id", F.min(bare).over(w).alias("lo"), F.max(bare).over(w).alias("hi"), F.max(F.col("id").bitwiseAND(PROBE)).over(w).alias("p"), F.min(F.when(F.col("id").bitwiseAND(INDEX) > 0, bare)).over(w).alias("hub"))
+    rows = rows.filter("lo <> hi and p > 0 and hub is not null").select("key", bare.alias("id"), flag.alias("flag"), "hub")
+    shared = written(rows.groupBy("key", "id", "hub").agg(F.bit_or("flag").alias("flag")), "shared-keys")
     best = shared.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     links = _verified(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), docs, members, k, num, den)
     roots = connected_components(links)
