@@ -10,7 +10,8 @@ by cost (rows of the index, against candidates that small subsets bring), and ea
 to spare on leaving out the segments where its subset is empty or a single n-gram, which would meet many others.
 
 Sets are told apart by a 62-bit hash of their content, so exact copies are one set from the start. Candidates are
-verified in two rounds. First each set meets the one set it shares the most keys with, and what is linked is merged;
+verified in three rounds. In the first two each set meets the closest, by sketch, of the few sets that stand for each
+of its keys, and what is linked is merged;
 then all pairs that share a key but aren't merged yet are candidates. Large groups of near copies cost their size, not
 its square, and no pair that could be a link between separate groups is left out. Sizes and the Hamming distance of
 parity sketches, which never exceeds the difference of the sets, prune candidates without loss: a short sketch inside
@@ -200,17 +201,37 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5)
     rows = rows.select("key", "id", F.min(bare).over(w).alias("lo"), F.max(bare).over(w).alias("hi"), F.max(F.col("id").bitwiseAND(PROBE)).over(w).alias("p"), F.min(F.when(F.col("id").bitwiseAND(INDEX) > 0, bare)).over(w).alias("hub"))
     rows = rows.filter("lo <> hi and p > 0 and hub is not null").select("key", bare.alias("id"), flag.alias("flag"), "hub")
     shared = written(rows.groupBy("key", "id", "hub").agg(F.bit_or("flag").alias("flag")), "shared-keys")
-    best = shared.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    links = _verified(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), docs, members, k, num, den)
-    roots = connected_components(links)
-    left = shared.join(roots, "id", "left").select("key", "id", "flag", F.coalesce("root", "id").alias("root"))
-    left = left.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
     shape = members.filter("sketch is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "h0", "h1", "h2", "h3")])
-    left = written(left.join(shape, "id"), "unmerged")
+    shared = written(shared.drop("hub").join(shape, "id"), "shared-shapes")
+    apart = lambda x, y: " + ".join(f"bit_count({x}h{i} ^ {y}h{i})" for i in range(4))
+    could = lambda x, y: f"{x}root <> {y}root and least({x}n, {y}n) * {den} >= greatest({x}n, {y}n) * {num} and ({apart(x, y)}) * {den + num} <= ({x}n + {y}n) * {den - num}"
+
+    def unmerged(roots: DataFrame | None) -> DataFrame:
+        """Rows of keys that more than one group shares."""
+        if roots is None:
+            return shared.withColumn("root", F.col("id"))
+        rows = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return rows.select("*", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        """For each set the closest, by sketch, of those that stand for its keys: each key's first and last indexed
+        set, and the set before it."""
+        whole = F.struct("id", "root", "n", "h0", "h1", "h2", "h3")
+        indexed = F.when(F.col("flag").bitwiseAND(INDEX) > 0, whole)
+        rows = rows.select("*", F.min(indexed).over(w).alias("first"), F.max(indexed).over(w).alias("last"), F.lag(whole).over(w.orderBy("id")).alias("prior"))
+        stands = ("first", "last", "prior")
+        rows = rows.select("id", *[F.expr(f"case when {could('', c + '.')} then struct({apart('', c + '.')} as d, {c}.id as b) end").alias(c) for c in stands])
+        best = rows.groupBy("id").agg(*[F.min(c).alias(c) for c in stands])
+        return best.select(F.col("id").alias("a"), F.explode(F.array(*[f"{c}.b" for c in stands])).alias("b")).filter("b is not null").distinct()
+
+    links, roots = None, None
+    for _ in range(2):
+        new = _verified(nearest(unmerged(roots)), docs, members, k, num, den)
+        links = new if links is None else links.union(new)
+        roots = connected_components(links)
+    left = written(unmerged(roots), "unmerged")
     x, y = left.filter(F.col("flag").bitwiseAND(PROBE) > 0).alias("x"), left.filter(F.col("flag").bitwiseAND(INDEX) > 0).alias("y")
-    apart = " + ".join(f"bit_count(x.h{i} ^ y.h{i})" for i in range(4))
-    could = f"x.key = y.key and x.root <> y.root and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and ({apart}) * {den + num} <= (x.n + y.n) * {den - num}"
-    pairs = x.join(y, F.expr(could)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = x.join(y, F.expr(f"x.key = y.key and {could('x.', 'y.')}")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     roots = connected_components(links.union(_verified(pairs, docs, members, k, num, den)))
     least = members.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left")
     whole = least.filter("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
