@@ -19,13 +19,15 @@ import regex
 
 #: Characters on which Python, Rust and Unicode may disagree about white space: such texts are encoded whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+ODD_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Byte-level pre-tokens never cross what this finds in a text without odd spaces.
 PIECE = regex.compile(r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 # The public split patterns of the two kinds of vocabulary.
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Entries of each of a worker's caches, and the longest piece (in characters) that is remembered.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 100
+#: Pieces and pre-tokens that a worker remembers, and the longest (in characters). A pre-token that is forgotten costs
+#: several times what a piece does.
+CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 400_000, 1_300_000, 100
 
 
 class Encoder:
@@ -60,12 +62,12 @@ class Encoder:
         except KeyError:
             pass
         new = set(pieces).difference(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > CACHE_PIECES:
             known.clear()
             new = set(pieces)
         split = {w: self._split(before + w) for w in new}
         parts = set().union(*split.values()).difference(self.parts)
-        if len(self.parts) + len(parts) > CACHE_ENTRIES:
+        if len(self.parts) + len(parts) > CACHE_PARTS:
             self.parts.clear()
             parts = set().union(*split.values())
         self.parts.update(zip(parts, self.direct(list(parts)), strict=True) if parts else ())
@@ -81,7 +83,7 @@ class Encoder:
         """The ids of one text and the end id, as bytes. Null counts as empty."""
         if not text:
             return self.end
-        if ODD_SPACE.search(text):
+        if any(c in text for c in ODD_CONTROLS) if text.isascii() else ODD_SPACE.search(text):
             return self.direct([text])[0] + self.end
         if self.drops_space:
             return self._joined(text.split(), self.plain, "") + self.end
