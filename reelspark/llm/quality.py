@@ -23,7 +23,7 @@ from ._text import SPACE, prefix, runs, span_hash, windows
 #: Hashed features, words in the upper half.
 DIMS = 1 << 16
 #: Labelled rows of each class that the classifier is fitted on at most.
-SAMPLE = 2000
+SAMPLE = 600
 #: A text below this probability of label 1 isn't kept.
 THRESHOLD = 0.5
 NGRAMS = (3, 4, 5)
@@ -123,19 +123,20 @@ def fit_linear(rows: list, rounds: int = 100, l2: float = 1e-5) -> Linear | None
     if len({r.label for r in rows}) < 2:
         return None
     idx = [np.frombuffer(r.idx, "<u4") for r in rows]
-    at, n = np.concatenate(idx).astype(np.int64), len(rows)
-    row = np.repeat(np.arange(n), [len(i) for i in idx])
-    x = np.concatenate([np.frombuffer(r.val, "<f4") for r in rows]).astype(float)
+    at, n = np.concatenate(idx).astype(np.int32), len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(i) for i in idx])
+    x = np.concatenate([np.frombuffer(r.val, "<f4") for r in rows])
     y = np.array([r.label for r in rows], float)
     held = np.array([r.fold == 0 for r in rows])
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     w = np.where(y == 1, 0.5 / max(1, np.sum(y[~held])), 0.5 / max(1, np.sum(1 - y[~held]))) * ~held
-    theta, m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+    theta, m, v = (np.zeros(DIMS + 1, np.float32) for _ in range(3))
+    w = w.astype(np.float32)
     for t in range(1, rounds + 1):
         z = np.bincount(row, x * theta[at], n) + theta[-1]
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * w
-        g = np.append(np.bincount(at, x * e[row], DIMS), e.sum())
+        e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * w).astype(np.float32)
+        g = np.append(np.bincount(at, x * e[row], DIMS), e.sum()).astype(np.float32)
         g[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
