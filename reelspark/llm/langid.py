@@ -4,7 +4,7 @@ For each language an interpolated Kneser-Ney model over four characters is count
 labelled rows. Its probabilities are stored in sorted arrays of n-gram keys, one row a key and one column a language,
 with the backed-off probability where a language never saw the key, so one search scores a position for all
 languages. The language with the lowest cross-entropy per character is chosen; rows held back from the counts turn
-the cross-entropies into a score and set the limit above which a text is rejected as no known language.
+the cross-entropies into a score and set the limits above which a text is rejected as no known language.
 
 Texts are lower-cased; what isn't a letter is a word boundary. Four 16-bit characters make a 64-bit key, mixed
 bijectively; characters beyond the basic plane share one code.
@@ -25,6 +25,9 @@ from ._common import text_chunks
 
 #: Labelled rows of each language that are counted at most (about), and one in so many is held back for calibration.
 SAMPLE, HELD = 4000, 10
+#: A text is rejected above this quantile of the cross-entropies held back, plus a margin in nats, plus what a short text
+#: may stray by chance: three standard deviations of one character's log-probability (about 1.25), over the root of their number.
+QUANTILE, MARGIN, STRAY = 0.99, 1.0, 3.75
 UNKNOWN = "und"
 B = np.uint64(16)
 
@@ -65,6 +68,10 @@ class Table:
         return at, self.keys[at] == keys
 
 
+def stray(n: np.ndarray) -> np.ndarray:
+    return STRAY / np.sqrt(np.maximum(n, 4))
+
+
 @dataclass
 class Models:
     languages: list[str]
@@ -72,7 +79,7 @@ class Models:
     backoff: list[Table]  # by length of the context, from 1 to 3
     floor: float
     sharpness: float = 20.0
-    limit: float = 1e9
+    limits: np.ndarray | None = None  # by language
 
     def logp(self, keys: np.ndarray, order: int = 4) -> np.ndarray:
         """A row a key with the log-probability in each language."""
@@ -99,6 +106,16 @@ class Models:
         lp = self.logp(np.concatenate(keys))
         return -np.add.reduceat(lp, starts, axis=0, dtype=np.float64) / np.array([[len(k)] for k in keys])
 
+    def calibrate(self, h: np.ndarray, n: np.ndarray) -> None:
+        """Each language's limit, from texts held back: their cross-entropies and numbers of characters."""
+        best, x = h.argmin(axis=1), h.min(axis=1) - stray(n)
+        found = [np.quantile(x[best == i], QUANTILE) + MARGIN if np.any(best == i) else np.nan for i in range(len(self.languages))]
+        self.limits = np.where(np.isnan(found), np.nanmax(found), found)
+
+    def rejects(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the lowest cross-entropy of texts of ``n`` characters is above its language's limit."""
+        return h.min(axis=1) > self.limits[h.argmin(axis=1)] + stray(n)
+
     def posterior(self, h: np.ndarray) -> np.ndarray:
         z = -self.sharpness * (h - h.min(axis=1, keepdims=True))
         p = np.exp(z)
@@ -157,9 +174,10 @@ def _entropies(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa
         cs = [characters(t or "") for t in texts]
         ok = [i for i, c in enumerate(cs) if len(c)]
         out: list[list[float] | None] = [None] * len(cs)
+        n = pa.array([len(c) - 1 for c in cs], pa.int64())
         for i, h in zip(ok, models.entropies([cs[i] for i in ok]).tolist() if ok else [], strict=True):
             out[i] = h
-        yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array(out, pa.list_(pa.float64()))], names=["lang", "h"])
+        yield pa.RecordBatch.from_arrays([chunk.column("lang"), pa.array(out, pa.list_(pa.float64())), n], names=["lang", "h", "n"])
 
 
 def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | None:
@@ -179,9 +197,11 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
     languages = sorted(set(names), key=lambda s: s.encode())
     number = {x: i for i, x in enumerate(languages)}
     models = kneser_ney(np.array([number[x] for x in names]), counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy(), languages)
-    held = d.filter("held").select("lang", "text").mapInArrow(partial(_entropies, models=models), "lang string, h array<double>").filter("h is not null").collect()
+    held = d.filter("held").select("lang", "text").mapInArrow(partial(_entropies, models=models), "lang string, h array<double>, n long").filter("h is not null").collect()
     held = [r for r in held if r.lang in number]
-    models.limit = -0.75 * models.floor
+    models.limits = np.full(len(languages), -0.75 * models.floor)  # without a row to calibrate on
+    if held:
+        models.calibrate(np.array([r.h for r in held]), np.array([r.n for r in held]))
     if len(held) >= 20:
         h, y = np.array([r.h for r in held]), np.array([number[r.lang] for r in held])
         best = []
@@ -189,7 +209,6 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
             models.sharpness = float(s)
             best.append((-np.mean(np.log(models.posterior(h)[np.arange(len(y)), y] + 1e-9)), s))
         models.sharpness = float(min(best)[1])
-        models.limit = (float(h.min(axis=1).max()) - models.floor) / 2
     return models
 
 
@@ -203,7 +222,7 @@ def _predict(batches: Iterator[pa.RecordBatch], models: Models | None) -> Iterat
             best = h.argmin(axis=1)
             lang[ok] = np.array(models.languages, object)[best]
             score[ok] = models.posterior(h)[np.arange(len(ok)), best]
-            rejected[ok] = h.min(axis=1) > models.limit
+            rejected[ok] = models.rejects(h, np.array([len(cs[i]) - 1 for i in ok]))
         yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*chunk.schema.names, "__lang_pred", "__score", "__rejected"])
 
 
@@ -211,9 +230,10 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """``docs`` with ``__lang_pred``, ``__score`` (0 to 1) and ``__rejected`` (columns with two underscores are reserved).
 
     A text that is null or has no letter is ``und``, with score 0, and rejected; so is all text without models. Any
-    other text gets a learnt language; it is rejected if no model explains it better than ``limit``, halfway between the
-    worst cross-entropy of the rows held back and that of characters never seen: texts in scripts or letter
-    sequences foreign to all models go, while mixed and unusual texts of the learnt languages stay.
+    other text gets a learnt language; it is rejected if its model's cross-entropy is above that
+    language's limit and what its length allows. Only the rows held back set the limits, not the size of the table: texts in scripts or letter
+    sequences foreign to all models go, other languages in the same letters too, while short, mixed and unusual texts
+    of the learnt languages stay. A foreign text of a few characters can't be told from those.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(partial(_predict, models=models), f"{schema}, __lang_pred string, __score double, __rejected boolean")

@@ -84,6 +84,37 @@ def test_language(docs, none, corpus):
     assert all(r["__rejected"] for r in langid.identify(docs.limit(1).withColumn("text", F.lit("нет такого языка в обучении")), models).collect())
 
 
+FOREIGN = """Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.
+Minden emberi lény szabadon születik és egyenlő méltósága és joga van.
+Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.
+Watu wote wamezaliwa huru, hadhi na haki zao ni sawa.
+Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.""".split("\n")
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_foreign_texts_in_the_same_letters_are_rejected(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang")
+    models = langid.train_languages(docs.filter(langid.fold() != 1))
+    rng = np.random.default_rng(4)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)) for n in (4, 30)]
+    odd = spark.createDataFrame([(t,) for t in FOREIGN + noise], "text string")
+    assert all(r["__rejected"] for r in langid.identify(odd, models).collect())
+    clean = langid.identify(docs.filter(langid.fold() == 1), models).filter("text rlike '[a-zA-Z]'")
+    assert clean.count() > 50 and clean.filter("__rejected").count() == 0
+    short = spark.createDataFrame([(t,) for t in ("This.", "the and", "de la", "und")], "text string")
+    assert not any(r["__rejected"] for r in langid.identify(short, models).collect())
+
+
+def test_limits_follow_the_rows_held_back_alone():
+    """A few rows of a language with higher cross-entropies keep a limit of their own; the floor has no part in it."""
+    h = np.concatenate([np.tile([1.5, 9.0], (990, 1)), np.tile([9.0, 4.0], (10, 1))])
+    n = np.full(len(h), 400)
+    for floor in (-7.0, -12.0):
+        m = langid.Models(["a", "b"], [], [], floor)
+        m.calibrate(h, n)
+        assert not m.rejects(h, n).any() and m.rejects(np.array([[4.0, 9.0], [9.0, 5.5]]), np.array([400, 400])).all()
+
+
 def test_kneser_ney_sums_to_one_and_interpolates():
     lang, keys = [], []
     for i, text in enumerate(["abracadabra banana cabana", "zig zag zoo zigzag"]):
