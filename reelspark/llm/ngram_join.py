@@ -121,15 +121,15 @@ def content(s: np.ndarray) -> int:
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The content of each document and, where a partition meets it first, its parity sketches."""
+    """The content of each document and, where a partition first meets it with a doc_id, its parity sketches."""
     seen: set[int] = set()
     for chunk, texts in text_chunks(batches, "text"):
         ids, sizes, sketches, shorts = [], [], [], []
-        for text in texts:
+        for doc, text in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
             s = ngrams(text or "", k)
             sizes.append(len(s))
             ids.append(content(s) if len(s) else None)
-            if not len(s) or ids[-1] in seen:
+            if doc is None or not len(s) or ids[-1] in seen:
                 sketches.append(None), shorts.append([None] * 4)
                 continue
             if len(seen) < SEEN:

@@ -66,6 +66,17 @@ def test_ngram_join(spark, docs, none, k, num, den):
         assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_a_row_without_an_id_before_its_copies(spark):
+    """The first row of a text in its partition has no doc_id: the text's links to near copies stay."""
+    w = prose(11, 200).split()
+    near = [" ".join([*w[:i], "changed", *w[i + 1 :]]) for i in (100, 150)]
+    rows = [(None, " ".join(w)), (3, " ".join(w)), (None, near[0]), (2, near[0]), (1, near[1]), (9, prose(12, 50))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(d, k=5, num=4, den=5).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 1, 9: 9}
+    assert sorted(r.doc_id or 0 for r in ngram_join.one_of_each(d).collect()) == [0, 0, 1, 9]
+
+
 def test_keys_meet_for_every_link():
     rng = np.random.default_rng(3)
     for num, den in ((90, 100), (4, 5), (1, 2)):
