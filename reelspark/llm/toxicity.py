@@ -1,8 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's terms are its words (letters only, in lower case) and their first four, five and six bytes, so that
-inflected forms share a term. Terms that tell the classes apart in the labelled sample are kept; over their presence
-the machine learns a weight each and, through low-rank factors, one for each pair. Presence isn't divided by length:
+inflected forms share a term. Over all terms of the labelled sample a logistic regression with a penalty on absolute
+weights finds those that matter next to the others; those that tell the classes apart alone are kept with them, and pairs of terms, whatever they tell alone, are scored against what
+it leaves unexplained. Over the presence of all these the machine learns a weight each and, through low-rank factors,
+one for each pair. Presence isn't divided by length:
 two insults in a very long text weigh as much as in a short one. Platt scaling on held-back rows gives probabilities.
 """
 
@@ -24,9 +26,14 @@ from .quality import labelled_sample, platt
 DIMS = 1 << 20
 #: Labelled rows of each class that the machine is fitted on at most.
 SAMPLE = 4000
-#: A term is kept if the likelihood ratio statistic of its presence against the label is as large as this; a term
-#: that only a few documents have can't get there by chance.
+#: Terms whose likelihood ratio statistic against the label is as large as this are kept in any case: of several terms
+#: that say the same, the penalty leaves one.
 LEAST_G = 30.0
+#: The penalty on a term's weight, in documents of the smaller class that the rest would leave undecided.
+PENALTY = 2.0
+#: Both terms of a pair are kept if the pair's chi-square exceeds what the best of all pairs reaches by chance by this
+#: much; terms in fewer documents than PAIR_LEAST aren't paired, and of the pairs so many are kept at most.
+PAIR_MARGIN, PAIR_LEAST, PAIRS = 10.0, 6, 500
 FACTORS = 8
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -68,16 +75,78 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("fold"), pa.array(found, pa.binary())], names=["label", "fold", "terms"])
 
 
-def _distinct(found: list[np.ndarray]) -> np.ndarray:
-    """False for a text that shares three min-hashes with an earlier one: a near copy is no further evidence of a term."""
-    seen: set[tuple] = set()
-    out = np.ones(len(found), bool)
+def _shares(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """What each text counts: texts of a class that share three min-hashes, near copies, count as one together."""
+    groups: dict[tuple, int] = {}
+    at = np.empty(len(found), np.int64)
     for i, t in enumerate(found):
-        if len(t):
-            key = tuple(int(mix(t.astype(np.uint64) + np.uint64(k << 32)).min()) for k in (1, 2, 3))
-            out[i] = key not in seen
-            seen.add(key)
-    return out
+        least = [int(mix(t.astype(np.uint64) + np.uint64(k << 32)).min()) for k in (1, 2, 3)] if len(t) else [i]
+        at[i] = groups.setdefault((y[i], *least), len(groups))
+    return 1 / np.bincount(at)[at]
+
+
+def _likelihood_ratio(at: np.ndarray, row: np.ndarray, y: np.ndarray, share: np.ndarray, size: int) -> np.ndarray:
+    """The statistic of each term's presence against the label."""
+    one, zero = (np.bincount(at, (share * (y == k))[row], size) for k in (1, 0))
+    n1, n0 = (share[y == k].sum() for k in (1, 0))
+    both, n = one + zero, n1 + n0
+    cells = ((one, both, n1), (zero, both, n0), (n1 - one, n - both, n1), (n0 - zero, n - both, n0))
+    return 2 * sum(np.maximum(a, 0) * np.log(np.maximum(a, 1e-9) * n / np.maximum(rows * cols, 1e-9)) for a, rows, cols in cells)
+
+
+def _sparse_weights(at: np.ndarray, row: np.ndarray, y: np.ndarray, share: np.ndarray, size: int, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of all terms, most of them 0, and the bias: proximal steps of Adam on the whole sample."""
+    n = [share[y == k].sum() for k in (0, 1)]
+    w, penalty = share * np.where(y == 1, 0.5 / n[1], 0.5 / n[0]), PENALTY * 0.25 / min(n)
+    theta, m, v = (np.zeros(size + 1) for _ in range(3))
+    for t in range(1, rounds + 1):
+        z = np.bincount(row, theta[at], len(y)) + theta[-1]
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * w
+        g = np.append(np.bincount(at, e[row], size), e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
+        theta -= step * m / (1 - 0.9**t)
+        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - step[:-1] * penalty, 0)
+    return theta[:-1], float(theta[-1])
+
+
+def _pair_members(at: np.ndarray, row: np.ndarray, p: np.ndarray, y: np.ndarray, share: np.ndarray, size: int) -> np.ndarray:
+    """Terms of the pairs that best explain where the probabilities ``p`` fail; ``row`` ascends."""
+    often = np.flatnonzero(np.bincount(at, share[row], size) >= PAIR_LEAST)
+    number = np.full(size, -1)
+    number[often] = np.arange(len(often))
+    col = number[at]
+    row, col = row[col >= 0], col[col >= 0]
+    m, per = len(often), np.bincount(row, minlength=len(y))
+    first, by = np.cumsum(per) - per, row[np.argsort(col, kind="stable")]
+    ends = np.cumsum(np.bincount(col, minlength=m))
+    miss, q = (y - p) * share, np.clip(p, 0.1, 0.9)
+    spread = q * (1 - q) * share
+    least = 4 * np.log(max(m, 2)) + PAIR_MARGIN
+    best: list[tuple[float, int, int]] = []
+    for j in range(m):
+        docs, total, var = by[ends[j - 1] if j else 0 : ends[j]], np.zeros(m), np.zeros(m)
+        for part in (docs[i : i + 512] for i in range(0, len(docs), 512)):
+            k = per[part]
+            other = col[np.repeat(first[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            total += np.bincount(other, np.repeat(miss[part], k), m)
+            var += np.bincount(other, np.repeat(spread[part], k), m)
+        score = total**2 / np.maximum(var, 1e-9)
+        best += [(float(score[i]), j, int(i)) for i in j + 1 + np.flatnonzero(score[j + 1 :] > least)]
+        if len(best) > 100 * PAIRS:
+            best = sorted(best, reverse=True)[:PAIRS]
+    return often[sorted({i for _, *pair in sorted(best, reverse=True)[:PAIRS] for i in pair})]
+
+
+def select_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The sorted terms with a weight of their own or in a pair; both classes are among ``y``."""
+    row = np.repeat(np.arange(len(found)), [len(t) for t in found])
+    every, at = np.unique(np.concatenate(found), return_inverse=True)
+    share = _shares(found, y)
+    w, b = _sparse_weights(at, row, y, share, len(every))
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], len(y)) + b, -30, 30)))
+    alone = np.flatnonzero(_likelihood_ratio(at, row, y, share, len(every)) >= LEAST_G)
+    return every[np.unique(np.concatenate([np.flatnonzero(w), alone, _pair_members(at, row, p, y, share, len(every))]))]
 
 
 def fit_machine(rows: list, rounds: int = 200, seed: int = 5) -> Machine | None:
@@ -89,17 +158,9 @@ def fit_machine(rows: list, rounds: int = 200, seed: int = 5) -> Machine | None:
     held = np.array([r.fold == 0 for r in rows])
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
-    counts = _distinct(rows_terms) & ~held
-    n1, n0 = max(1, np.sum((y == 1) & counts)), max(1, np.sum((y == 0) & counts))
-    one, zero = np.zeros(DIMS), np.zeros(DIMS)
-    for t, label, use in zip(rows_terms, y, counts, strict=True):
-        if use:
-            (one if label else zero)[t] += 1
-    both, n = one + zero, n1 + n0
-    g = sum(a * np.log(np.maximum(a, 1e-9) * n / np.maximum(rows_ * cols, 1e-9)) for a, rows_, cols in ((one, both, n1), (zero, both, n0), (n1 - one, n - both, n1), (n0 - zero, n - both, n0)))
-    slots = np.flatnonzero(2 * g >= LEAST_G)
+    slots = select_terms([t for t, h in zip(rows_terms, held, strict=True) if not h], y[~held])
     if not len(slots):
-        return Machine(slots, float(np.log(n1 / n0)), np.empty(0), np.empty((0, FACTORS)))
+        return Machine(slots, float(np.log(np.mean(y) / np.mean(1 - y))), np.empty(0), np.empty((0, FACTORS)))
     every = np.zeros((len(rows), len(slots)), np.uint8)
     for i, t in enumerate(rows_terms):
         every[i, np.searchsorted(slots, np.intersect1d(t, slots, assume_unique=True))] = 1

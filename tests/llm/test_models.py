@@ -70,6 +70,31 @@ def test_pairs_raise_the_score():
     assert p("insult group") > 0 > max(p("insult"), p("group"), p("filler"))
 
 
+def machine(extra, n=2000):
+    """A machine on texts of 30 common words and what ``extra`` adds, odd ones toxic; its score of words in such a text."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        t = " ".join([*rng.choice(vocabulary, 30), *extra(i)])
+        rows.append(type("R", (), {"label": i % 2, "fold": int(rng.integers(5)), "terms": toxicity.terms(t).astype("<u4").tobytes()}))
+    m = toxicity.fit_machine(rows)
+    return lambda words: m.scale[0] * m.logit(toxicity.terms(" ".join(vocabulary[:20]) + " " + words)) + m.scale[1]
+
+
+def test_a_rare_insult_is_learnt():
+    """Eight of a thousand toxic texts have it, and nothing else tells them."""
+    p = machine(lambda i: [] if i % 2 == 0 else ["zebrafool"] if i % 250 == 1 else ["commoninsult"])
+    assert p("zebrafool") > 0 and p("commoninsult") > 0 > p("")
+
+
+def test_words_that_are_neutral_alone_are_learnt_as_a_pair():
+    """Each of two words is as common in clean texts as in toxic ones; together they are toxic."""
+    words = {(1, 1): ["kappaword", "sigmaword"], (1, 0): ["commoninsult"], (0, 1): ["kappaword"], (0, 0): ["sigmaword"]}
+    p = machine(lambda i: words[i % 2, i // 2 % 2])
+    assert p("kappaword sigmaword") > 0 > max(p("kappaword"), p("sigmaword"), p(""))
+
+
 def test_language(docs, none, corpus):
     models = langid.train_languages(corpus[0].filter(langid.fold() != 1))
     held = langid.identify(corpus[0].filter(langid.fold() == 1), models).filter("text rlike '[a-zA-Z]'").collect()
