@@ -1,33 +1,94 @@
 r"""Exact, cached use of a ``tokenizers`` vocabulary.
 
-Both supported kinds of vocabulary split a text into pre-tokens before any merge is made, so a text's ids are
-the ids of its pre-tokens, one after another. Natural text repeats words all the time: each worker remembers the
-ids (as bytes) of the space-separated pieces and of the pre-tokens it has met, up to a fixed number, and joins
-them. That is several times cheaper than encoding whole texts and gives the same ids. What could be split in
-another way (rare white space, characters that normalisation changes beyond their case) is encoded whole.
+Both supported kinds of vocabulary split a text into pre-tokens before any merge is made, and no pre-token crosses the
+cuts made here, so a text's ids are the ids of its pieces, one after another. Natural text repeats words all the time:
+each worker remembers the ids (as bytes) that the library gave for the pieces it met, in two generations of fixed
+size, and joins them. Pieces that are not remembered are encoded in batches; a word of letters alone is one pre-token
+and goes to the library's model at once. That is cheaper than encoding whole texts and gives the same ids. What might
+be split in another way (rare white space, special tokens spelt out in a text) is encoded whole, as the library does by
+default.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
+import struct
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Characters on which Python, Rust and Unicode may disagree about white space: such texts are encoded whole.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-ODD_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Characters on which Python, Rust and Unicode may disagree about white space, and the mark of ``_spaced``: such texts
+#: are encoded whole.
+ODD = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+ODD_ASCII = "\x00\x1c\x1d\x1e\x1f"
 #: Byte-level pre-tokens never cross what this finds in a text without odd spaces.
-PIECE = regex.compile(r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
-# The public split patterns of the two kinds of vocabulary.
-BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Pieces and pre-tokens that a worker remembers, and the longest (in characters). A pre-token that is forgotten costs
-#: several times what a piece does.
-CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 400_000, 1_300_000, 100
+PIECE = re.compile(r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
+#: White space next to white space or at an end, or of a rare kind.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: Pieces that a generation holds, and the longest that is remembered (in characters).
+GENERATION, LONGEST = 800_000, 100
+BATCH = 8192
+#: Texts that are looked up together have about so many characters: their pieces stay in the processor's cache.
+TOGETHER = 1 << 17
+
+
+class Memory:
+    """The ids of pieces, by key, for one way of making keys. When a generation is full, the one before it goes.
+
+    A word with a full stop or comma at its end has the word's ids and the mark's; it is remembered only if the word
+    was known before, as most others never come back."""
+
+    def __init__(self, encode, marks: dict[str, bytes], size: int = GENERATION):
+        self.encode, self.marks, self.size = encode, marks, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of ``new``, which the young generation doesn't hold."""
+        ended = {w: w[:-1] for w in new if w[-1] in self.marks and w[:-1].lstrip("\0 ").isalnum()}
+        words = new.difference(ended).union(ended.values())
+        now = {w: self.young[w] for w in words if w in self.young}
+        words.difference_update(now)
+        back = {w: self.old[w] for w in words if w in self.old}
+        words.difference_update(back)
+        fresh = list(words)
+        for i in range(0, len(fresh), BATCH):
+            now.update(zip(fresh[i : i + BATCH], self.encode(fresh[i : i + BATCH]), strict=True))
+        self.young.update((w, now[w]) for w in fresh if len(w) <= LONGEST)
+        self.young.update(back)
+        now.update(back)
+        for w, word in ended.items():
+            now[w] = now[word] + self.marks[w[-1]]
+            if word not in words:
+                self.young[w] = now[w]
+        return now
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of keys."""
+        found = [list(map(self.young.get, t)) for t in texts]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {t[i] for t, at in zip(texts, gaps, strict=True) for i in at}
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young = self.young, {}
+        now = self._learn(new)
+        for t, ids, at in zip(texts, found, gaps, strict=True):
+            for i in at:
+                ids[i] = now[t[i]]
+        return [b"".join(ids) for ids in found]
+
+
+def _spaced(text: str) -> list[str]:
+    r"""Keys of a text whose spaces and \n stand alone between other characters: what follows a space comes bare, \n
+    itself is a piece, and what follows \n or starts the text has a mark."""
+    return ("\0" + text.replace("\n", " \n \0")).split(" ")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones of Latin-1 stand for themselves, the
+    others for what follows 255."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class Encoder:
@@ -37,60 +98,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tokenize = self.tok.model.tokenize
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.packs = [struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(64)]
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.drops_space = self.tok.normalizer is not None
-        self.spaced: dict[str, bytes] = {}  # pieces that follow a space
-        self.plain: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}  # pre-tokens
-
-    def direct(self, pieces: list[str]) -> list[bytes]:
-        """The library's own result for each piece."""
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _split(self, piece: str) -> list[str]:
-        if not self.drops_space:
-            return BYTE_SPLIT.findall(piece)
-        if piece.isascii() or unicodedata.is_normalized("NFC", piece) and "İ" not in piece and "Σ" not in piece:
-            return WORD_SPLIT.findall(piece.lower())
-        return [piece]
-
-    def _joined(self, pieces: list[str], known: dict[str, bytes], before: str) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = set(pieces).difference(known)
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = set(pieces)
-        split = {w: self._split(before + w) for w in new}
-        parts = set().union(*split.values()).difference(self.parts)
-        if len(self.parts) + len(parts) > CACHE_PARTS:
-            self.parts.clear()
-            parts = set().union(*split.values())
-        self.parts.update(zip(parts, self.direct(list(parts)), strict=True) if parts else ())
-        at = self.parts.__getitem__
-        known.update((w, b"".join(map(at, p))) for w, p in split.items())
-        ids = b"".join(map(known.__getitem__, pieces))
-        for long, cache in ((parts, self.parts), (new, known)):
-            for w in [w for w in long if len(w) > CACHE_CHARS]:
-                del cache[w]
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of one text and the end id, as bytes. Null counts as empty."""
-        if not text:
-            return self.end
-        if any(c in text for c in ODD_CONTROLS) if text.isascii() else ODD_SPACE.search(text):
-            return self.direct([text])[0] + self.end
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.normalizer = self.tok.normalizer
+        self.drops_space = self.normalizer is not None
+        self.table = _byte_characters()
+        self.space = self.table[32]
+        marks = dict(zip(".,", self.direct([".", ","]), strict=True))
+        self.plain = Memory(self.pieces, marks)
+        self.spaced = Memory(lambda keys: self.pieces([k[1:] if k[0] == "\0" else k if k == "\n" else " " + k for k in keys]), marks)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.dtype).tobytes()
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        """The library's own result for each text."""
+        return [self.packed(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, piece: str) -> str | None:
+        """A piece as the model takes it, if it is one pre-token of letters, after a space or not."""
         if self.drops_space:
-            return self._joined(text.split(), self.plain, "") + self.end
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return self._joined(PIECE.findall(text), self.plain, "") + self.end
-        first, *rest = text.split(" ")
-        return self._joined([first], self.plain, "") + self._joined(rest, self.spaced, " ") + self.end
+            word = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
+            before = ""
+        else:
+            before, word = (self.space, piece[1:]) if piece[0] == " " else ("", piece)
+        if not word.isalpha():
+            return None
+        return before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.table))
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        words = list(map(self._word, pieces))
+        rest = iter(self.direct([p for p, w in zip(pieces, words, strict=True) if w is None]))
+        return [next(rest) if w is None else self.packed([t.id for t in self.tokenize(w)]) for w in words]
+
+    def _way(self, text: str | None) -> int:
+        """0: the text is empty; 1: it is encoded whole; 2: as plain pieces; 3: as spaced pieces."""
+        if not text:
+            return 0
+        if any(c in text for c in ODD_ASCII) if text.isascii() else ODD.search(text):
+            return 1
+        if any(s in text for s in self.special):
+            return 1
+        return 2 if self.drops_space or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN) else 3
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids and the end id, as bytes. Null counts as empty."""
+        out, start, size = [], 0, 0
+        for i, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size > TOGETHER or i == len(texts):
+                out += self._together(texts[start:i])
+                start, size = i, 0
+        return out
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        ways = [self._way(t) for t in texts]
+        for way, run in (
+            (1, self.direct),
+            (2, lambda some: self.plain.joined([t.split() if self.drops_space else PIECE.findall(t) for t in some])),
+            (3, lambda some: self.spaced.joined([_spaced(t) for t in some])),
+        ):
+            at = [i for i, w in enumerate(ways) if w == way]
+            for i, ids in zip(at, run([texts[i] for i in at]) if at else (), strict=True):
+                out[i] = ids
+        return [ids + self.end for ids in out]
 
 
 @lru_cache(maxsize=4)

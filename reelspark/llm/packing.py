@@ -86,8 +86,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capa
     width = enc.dtype.itemsize
     for chunk, texts in text_chunks(batches, "text"):
         rows = []
-        for doc, text in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
-            ids = enc.encode(text)
+        for doc, ids in zip(chunk.column("doc_id").to_pylist(), enc.encode_all(texts), strict=True):
             total = len(ids) // width
             for a in range(0, total, capacity):
                 part = np.frombuffer(ids, enc.dtype, min(capacity, total - a), a * width).astype("<u4").tobytes()
@@ -113,13 +112,15 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
 
     Null text counts as empty: such a document is its end id. Ids of each document lie in exactly one piece; with
     ``keep_ids`` a piece carries them (``ids``, little-endian 32-bit). Repeated rows are packed as often as they
-    come. A sequence's pieces leave no gap before its padding. An empty table gives an empty table.
+    come. A sequence's pieces leave no gap before its padding. An empty table gives an empty table; columns other than
+    ``doc_id`` and ``text`` don't reach the result, so no name can clash.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = PIECES + (", ids binary" if keep_ids else "")
     pieces = written(d.mapInArrow(partial(_pieces, tokenizer=tokenizer, end_id=end_id, capacity=capacity, keep_ids=keep_ids), schema), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are all alike
+    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", spread), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         return _pack(table, capacity)

@@ -35,7 +35,10 @@ def _open(path: str, mode: str):
     """A stream at a URI of any store that pyarrow knows; local files are memory-mapped for reading."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    uri = path if ":" in path.split("/")[0] else f"file://{path}"
+    for name in ("s3a:", "s3n:"):  # Hadoop's names of a store that pyarrow calls s3
+        uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
+    store, at = fs.FileSystem.from_uri(uri)
     if mode == "w":
         store.create_dir(at.rpartition("/")[0], recursive=True)
         return store.open_output_stream(at)
@@ -113,8 +116,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id:
             out, sink = Writer(tokens, enc.dtype, length, rows), _open(at, "w")
             index = pa.ipc.new_stream(sink, DOCS)
         counts = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            ids = enc.encode(text)
+        for k, ids in enumerate(enc.encode_all(texts)):
             out.add(ids)
             counts[k] = len(ids) // enc.dtype.itemsize
         starts = total + np.cumsum(counts) - counts

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import line_dedup, mixing, packing, sharding, token_files
+from reelspark.llm import _tokens, line_dedup, mixing, packing, sharding, token_files
+
+from .conftest import rows
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -17,7 +19,6 @@ def reference_ids(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -101,6 +102,22 @@ def test_token_files(docs, none):
     assert token_files.read_token_files(token_files.write_token_files(none, path, 2)).count() == 0
 
 
+ODD_TEXTS = [
+    None, "", " ", "\n", "a\n", "\na", " a", "a ", "a\n\nb", "a \nb", "a\n b", "a<|endoftext|>b c", "<|startoftext|>", "x\0y z", "don't 'll\n's", "ÅǺ é́ İ Σας ΣΑΣ.", "a\tb c\td",
+    "1 2\n3", "’s x\n’s", "word, word. Word,. word.,\nword. \u00a0x", "e\u0301. e\u0301,", "ﬁ ﬀ, ½. Ⅷ,", "日本語. 한국어, हिन्दी.", "क़. x", "w" * 300 + ". " + "w" * 300, "a.b,c.d", ". , .,", "😀. 😀,",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    enc = _tokens.Encoder(P.path(name), 2)
+    enc.plain.size = enc.spaced.size = 40  # generations change all the time
+    texts = [*ODD_TEXTS, *[r[1] for r in rows()], *ODD_TEXTS, *[" ".join(ODD_TEXTS[1:]), "\n".join(ODD_TEXTS[1:])]] * 2
+    want = [i.astype(enc.dtype).tobytes() for i in reference_ids(name, texts)]
+    assert enc.encode_all(texts) == want
+    assert [enc.encode_all([t])[0] for t in texts] == want
+
+
 @pytest.mark.parametrize("group", [50_000, 7])
 def test_packing(docs, none, group):
     path, cap = P.path("word_bpe_49k.json"), 256
