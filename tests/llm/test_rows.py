@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import _tokens, line_dedup, mixing, packing, sharding, token_files
 
-from .conftest import rows
+from .conftest import prose, rows
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -110,14 +110,26 @@ ODD_TEXTS = [
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
-    enc = _tokens.Encoder(P.path(name), 2)
-    enc.plain.size = enc.spaced.size = 40  # generations change all the time
+    enc = _tokens.Encoder(P.path(name), 2, remembered=40)  # starts anew all the time
     texts = [*ODD_TEXTS, *[r[1] for r in rows()], *ODD_TEXTS, *[" ".join(ODD_TEXTS[1:]), "\n".join(ODD_TEXTS[1:])]] * 2
     want = [i.astype(enc.dtype).tobytes() for i in reference_ids(name, texts)]
     assert enc.encode_all(texts) == want
     assert [enc.encode_all([t])[0] for t in texts] == want
 
 
+def test_encoder_cuts_very_long_texts_and_survives_equal_hashes(monkeypatch):
+    text = prose(3, 3000) + "\n\n" + prose(4, 3000)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = _tokens.Encoder(P.path(name), 2)
+        want = reference_ids(name, [text])[0].astype(enc.dtype).tobytes()
+        with monkeypatch.context() as m:
+            m.setattr(_tokens, "PART", 1000)
+            assert enc.encode_all([text]) == [want]
+        enc = _tokens.Encoder(P.path(name), 2)
+        enc.key.spans = lambda data, s, e: (e - s).astype(np.uint64)  # all pieces of a length have one key
+        assert enc.encode_all([text, "a b c", "x"]) == [want, *(i.astype(enc.dtype).tobytes() for i in reference_ids(name, ["a b c", "x"]))]
+
+
 @pytest.mark.parametrize("group", [50_000, 7])
 def test_packing(docs, none, group):
     path, cap = P.path("word_bpe_49k.json"), 256
