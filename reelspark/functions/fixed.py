@@ -212,3 +212,23 @@ WORK_TYPES = ("Q8261", "Q7725634")
 CACHE_DAYS = 7
 SEARCH_HITS = 3
 MIN_SHOW_SCORE = 0.5
+AUDIO_LABELS = (
+    ("aac", "AAC"), ("ac3", "AC3"), ("eac3", "E-AC3"), ("dts", "DTS"), ("truehd", "TrueHD"), ("flac", "FLAC"), ("mp3", "MP3"),
+    ("opus", "Opus"), ("pcm_s16le", "PCM"), ("vorbis", "Vorbis"),
+)
+
+# --- Fixed values: wikitext ------------------------------------------------------------------------------------------
+WIKI_SPECIALS = "(?iu)original video|original net|ova|oav|oad|special|bonus|extra|omake"
+WIKI_HEADING = U + r"(?dm)^={1,6}\s*(.*?)\s*={1,6}\s*$"
+WIKI_HEADING_OR_EPISODE = U + r"(?dm)(?:\{\{Episode\s+list(?:/sublist)?\s*\n(?s:.*?)\n\}\}|^={1,6}\s*(?:.*?)\s*={1,6}\s*$)"
+WIKI_SEASON_PAGES = (U + r"\{\{:\s*([^}|]+?)\s*\}\}", U + r"\{\{Main\s*\|([^}|]+?)\s*\}\}")
+WIKI_REFERENCES = ("<ref[^>]*/>", "(?s)<ref[^>]*>.*?</ref>")
+WIKI_LINK = r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]"
+WIKI_TITLE_TEMPLATES = (
+    I + r"\{\{\s*lang(?:-[a-z]{2,3})?\s*\|\s*[a-z]{2,3}\s*\|\s*([^|{}]+?)\s*\}\}", I + r"\{\{\s*nowrap\s*\|\s*([^|{}]+?)\s*\}\}",
+    I + r"(?s)\{\{\s*nihongo\s*\|\s*([^|{}]+?)\s*\|.*?\}\}",
+)
+WIKI_TEMPLATE = r"\{\{[^{}]*\}\}"
+WIKI_DATE_FIELD = r"(?i)\|[ ]*(?:first_aired|last_aired|released|air_date|original_release)[ ]*=[ ]*(?:\{\{[^{}]*\|)?(?:19|20)\d{2}"
+# the marker that a number may follow
+TAIL_MARKER = U + r"(?:^|[.\s\-_+&/]+)(?:s\d{1,2}e\d{1,3}|\d{1,2}x\d{2,3})"

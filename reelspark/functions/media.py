@@ -66,15 +66,37 @@ def video_info(p: Column) -> Column:
     return let(F.try_element_at(streams(p, "video"), F.lit(1)), of)
 
 
+def _language(s: Column) -> Column:
+    return F.coalesce(s["tags"]["language"], F.lit("und"))
+
+
+def audio_streams(p: Column) -> Column:
+    """array(struct(codec, language, channels)), a struct a stream."""
+    return F.transform(streams(p, "audio"), lambda s: F.struct(F.lower(F.coalesce(s["codec_name"], F.lit(""))).alias("codec"), _language(s).alias("language"), F.coalesce(s["channels"], F.lit(0)).alias("channels")))
+
+
+def subtitle_streams(p: Column) -> Column:
+    """array(struct(language, codec)), a struct a stream."""
+    return F.transform(streams(p, "subtitle"), lambda s: F.struct(_language(s).alias("language"), F.lower(F.coalesce(s["codec_name"], F.lit(""))).alias("codec")))
+
+
 def languages(ss: Column) -> Column:
-    """Sorted distinct languages, joined by commas; ``und`` where a stream names none."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(ss, lambda s: F.coalesce(s["tags"]["language"], F.lit("und"))))), ",")
+    """Sorted distinct languages of streams that name one, joined by commas."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(ss, lambda s: s["language"]), lambda x: x != "und"))), ",")
+
+
+def audio_label(codec: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in X.AUDIO_LABELS for x in pair])
+    return F.coalesce(F.element_at(known, codec), F.upper(codec))
 
 
 def file_info(p: Column) -> Column:
-    """struct(video, audio, channels, audio_lang, sub_lang): the first audio stream's codec, the most channels."""
-    audio, subs = streams(p, "audio"), streams(p, "subtitle")
-    return F.struct(
-        video_info(p).alias("video"), F.upper(F.try_element_at(audio, F.lit(1))["codec_name"]).alias("audio"),
-        F.array_max(F.transform(audio, lambda s: s["channels"])).alias("channels"), languages(audio).alias("audio_lang"), languages(subs).alias("sub_lang"),
-    )
+    """struct(video, audio, channels, audio_lang, sub_lang): the first audio stream's label, the most channels."""
+
+    def of(audio: Column) -> Column:
+        return F.struct(
+            video_info(p).alias("video"), audio_label(F.try_element_at(audio, F.lit(1))["codec"]).alias("audio"),
+            F.array_max(F.transform(audio, lambda s: s["channels"])).alias("channels"), languages(audio).alias("audio_lang"), languages(subtitle_streams(p)).alias("sub_lang"),
+        )
+
+    return let(audio_streams(p), of)

@@ -177,9 +177,12 @@ def dotted(c: Column) -> Column:
 
 
 def numeric_tail_warning(name: Column) -> Column:
-    """A warning struct(code, message, field) where a bare number follows a marker but isn't a second episode."""
-    tail = X.I + r"s\d{1,2}e\d{1,3}[-. _]+(\d{1,3})(?=[-. _]|$)"
-    bare = without_extension(name)
-    warns = hit(bare, tail) & ~is_multi_episode(name)
-    made = F.struct(F.lit("numeric-episode-title-maybe").alias("code"), F.concat(F.lit("number after the marker: "), F.regexp_extract(bare, tail, 1)).alias("message"), F.lit("ep_title").alias("field"))
-    return F.array_compact(F.array(F.when(warns, made)))
+    """Warnings, array(struct(code, field, message)): one where a number of up to three digits follows the first marker
+    that is no width of a picture and no technical figure, in a name that isn't of several episodes."""
+    stem = cut(name, X.I + r"\.[a-z0-9]+$")
+    tail = cut(F.try_element_at(F.split(F.lower(stem), X.TAIL_MARKER, 2), F.lit(2)), X.U + r"^[.\s\-_+&/]+")
+    num = F.regexp_extract(tail, X.U + r"^\d{1,4}", 0)
+    after = F.substring(tail, F.length(num) + 1, F.length(tail))
+    plain = (num != "") & (F.length(num) < 4) & ~num.isin(*X.RESOLUTION_WIDTHS) & ~hit(after, X.U + r"^\.\d") & ~hit(after, X.TECH_UNITS)
+    made = F.struct(F.lit("numeric-episode-title-maybe").alias("code"), F.lit("episode").alias("field"), F.concat(F.lit("number after the marker, perhaps a title: "), num).alias("message"))
+    return F.array_compact(F.array(F.when(F.coalesce(plain, F.lit(False)) & ~is_multi_episode(name), made)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.base import cut
+from reelspark.plans.cut import cut as cut_lineage
 
 
 def _split(name: Column) -> tuple[Column, Column]:
@@ -33,27 +34,44 @@ def family(name: Column) -> Column:
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     import os
 
-    pdf = pdf.sort_values("path")
+    pdf = pdf.sort_values(["path", "file_id"])
     reserved: set[str] = set()
+    low: dict[str, int] = {}  # below it, all suffixes of a name are reserved
     out = []
     for new, here in zip(pdf["new_name"], pdf["here"], strict=True):
         base, ext = os.path.splitext(new)
-        name, n, here = new, 0, set(here)
-        while name in here or name in reserved:
-            n += 1
-            name = f"{base}_{n}{ext}"
+        name, here = new, set(here)
+        if name in here or name in reserved:
+            n = low.get(new, 1)
+            while f"{base}_{n}{ext}" in reserved:
+                n += 1
+            low[new] = n
+            while (name := f"{base}_{n}{ext}") in here or name in reserved:
+                n += 1
         reserved.add(name)
         out.append(name)
-    return pdf.assign(dest_name=out)[["path", "dest_name"]]
+    return pdf.assign(dest_name=out)[["file_id", "dest_name"]]
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """df with ``n``: the number of rows of the same new_name before a row, by path. No task holds more rows of a name
+    than a partition has: rows are dealt by ranges, and counts move the ranks within them."""
+    d = cut_lineage(df.repartitionByRange("new_name", "path", "file_id").withColumn("range", F.spark_partition_id()))
+    order = Window.partitionBy("new_name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy("new_name", "range").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("new_name", "range").orderBy("path", "file_id")) - 1
+    d = d.withColumn("local", local).join(before.drop("c"), ["new_name", "range"])
+    return d.withColumn("n", F.col("local") + F.col("before")).drop("local", "before", "range")
 
 
 def allocate(wanted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``path, dest_name`` for each row of ``wanted`` (``path, dir, new_name``); existing: ``dir, name``.
+    """``file_id, dest_name`` for each row of ``wanted`` (``file_id, path, dir, new_name``); existing: ``dir, name``.
 
-    A file that already has its name keeps it and takes none.
+    A file that already has its name keeps it and takes none. All names of ``existing`` are taken in their directory,
+    the old names of files that will be renamed included, as they are there when the plan is made.
     """
-    w = wanted.select("path", "dir", "new_name").withColumn("old", F.substring_index("path", "/", -1))
-    same = w.filter("old = new_name").select("path", F.col("new_name").alias("dest_name"))
+    w = wanted.select("file_id", "path", "dir", "new_name").withColumn("old", F.substring_index("path", "/", -1))
+    same = w.filter("old = new_name").select("file_id", F.col("new_name").alias("dest_name"))
     w = w.filter("old <> new_name").withColumn("family", family(F.col("new_name")))
     if existing is not None:
         e = existing.select("dir", F.col("name"), family(F.col("name")).alias("family"))
@@ -63,7 +81,8 @@ def allocate(wanted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         w = w.withColumn("here", F.array().cast("array<string>"))
     kinds = w.groupBy("family").agg(F.min("new_name").alias("lo"), F.max("new_name").alias("hi"), F.max(F.size("here")).alias("there"))
     w = w.join(kinds.select("family", ((F.col("lo") != F.col("hi")) | (F.col("there") > 0)).alias("mixed")), "family")
-    n = F.row_number().over(Window.partitionBy("new_name").orderBy("path")) - 1
-    plain = w.filter("not mixed").select("path", suffixed(F.col("new_name"), n).alias("dest_name"))
-    mixed = w.filter("mixed").select("family", "path", "new_name", "here").groupBy("family").applyInPandas(_fold, "path string, dest_name string")
+    plain = _ranked(w.filter("not mixed").select("file_id", "path", "new_name"))
+    plain = plain.select("file_id", suffixed(F.col("new_name"), F.col("n")).alias("dest_name"))
+    kind = dict(wanted.dtypes)["file_id"]
+    mixed = w.filter("mixed").select("family", "file_id", "path", "new_name", "here").groupBy("family").applyInPandas(_fold, f"file_id {kind}, dest_name string")
     return same.unionByName(plain).unionByName(mixed)

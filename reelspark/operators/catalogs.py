@@ -103,3 +103,91 @@ def is_known_language(codes: DataFrame, known: DataFrame) -> DataFrame:
 
 def numbered_placeholder(title: Column) -> Column:
     return hit(title, X.NUMBERED_EPISODE)
+
+
+def _year(date: Column) -> Column:
+    return F.when(F.length(date) >= 4, F.substring(date, 1, 4).try_cast("int"))
+
+
+def _or_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def tv_query(title: Column) -> Column:
+    """A show's name as it is searched for: without years, unless nothing else is left."""
+    bare = F.trim(cut(cut(title, r"\b(?:19|20)\d{2}\b"), X.U + r"\s+", " "))
+    return F.when(bare == "", title).otherwise(bare)
+
+
+def season_titles(files: DataFrame, tv_search: DataFrame, tv_episodes: DataFrame) -> DataFrame:
+    """files (``title, season, episode``) with ``ep_title`` from the first show that the title finds; entries without a
+    number or a name don't count, and of several the last does.
+
+    tv_search: ``query, rank, show_id``; tv_episodes: ``show_id, season, number, name, ord``.
+    """
+    name = F.trim("name")
+    e = tv_episodes.filter((F.col("number") != 0) & (name != "")).groupBy("show_id", "season", F.col("number").alias("episode")).agg(F.max_by(name, "ord").alias("ep_title"))
+    first = tv_search.filter("rank = 1").select(F.col("query").alias("__query"), "show_id")
+    return files.withColumn("__query", tv_query(F.col("title"))).join(first, "__query", "left").join(e, ["show_id", "season", "episode"], "left").drop("__query", "show_id")
+
+
+def films(titles: DataFrame, movie_search: DataFrame) -> DataFrame:
+    """``title, found, year`` for titles that a film search (``query, rank, title, original_title, release_date``) finds."""
+    first = movie_search.filter("rank = 1").select(F.col("query").alias("q"), F.coalesce(_or_null(F.col("title")), _or_null(F.col("original_title"))).alias("found"), _year(F.col("release_date")).alias("year"))
+    return titles.select("title").distinct().join(first, F.col("title") == F.col("q")).select("title", "found", "year")
+
+
+def years(titles: DataFrame, tv_search: DataFrame, movie_search: DataFrame) -> DataFrame:
+    """``title, year``: of the first show that a search finds, else of the first film; null without either.
+
+    tv_search: ``query, rank, first_air_date``.
+    """
+    t = titles.select("title").distinct()
+    show = tv_search.filter("rank = 1").select(F.col("query").alias("title"), _year(F.col("first_air_date")).alias("show_year"))
+    film = films(t, movie_search).select("title", F.col("year").alias("film_year"))
+    return t.join(show, "title", "left").join(film, "title", "left").select("title", F.coalesce("show_year", "film_year").alias("year"))
+
+
+def show_facts(titles: DataFrame, hits: DataFrame, shows: DataFrame) -> DataFrame:
+    """``title, show_id, name, year`` of the show that each title finds (see ``search_shows``); shows: ``show_id, name,
+    premiered``."""
+    facts = shows.select("show_id", "name", _year(F.col("premiered")).alias("year"))
+    return search_shows(titles, hits).join(facts, "show_id", "left").select("title", "show_id", "name", "year")
+
+
+def enriched(files: DataFrame, tv_search: DataFrame, tv_episodes: DataFrame, movie_search: DataFrame) -> DataFrame:
+    """files (``title, is_series, season, episode, year, ep_title``; a row may have more) with what the searches know: for
+    a series' episode its title, for others the film's title, and its year where the file has none."""
+    cols = files.columns
+    f = season_titles(files.withColumnRenamed("ep_title", "__old"), tv_search, tv_episodes)
+    numbered = F.col("is_series") & (F.col("season") != 0) & (F.col("episode") != 0)
+    f = f.withColumn("ep_title", F.when(F.coalesce(numbered, F.lit(False)), F.coalesce("ep_title", "__old")).otherwise(F.col("__old")))
+    film = ~F.coalesce("is_series", F.lit(False))
+    of = films(files, movie_search).select("title", F.col("found").alias("__found"))
+    f = f.join(of, "title", "left").join(years(files, tv_search, movie_search).withColumnRenamed("year", "__year"), "title", "left")
+    f = f.withColumn("year", F.when(film, F.coalesce(F.nullif(F.col("year"), F.lit(0)), "__year", "year")).otherwise(F.col("year")))
+    return f.withColumn("title", F.when(film, F.coalesce("__found", "title")).otherwise(F.col("title"))).select(cols)
+
+
+def enriched_series(files: DataFrame, hits: DataFrame, shows: DataFrame, episodes: DataFrame, keep_titles: bool = False) -> DataFrame:
+    """files (``file_id, title, is_series, is_special, season, episode, year, ep_title``; a row may have more) with the
+    name, year and episode title of the show that is found; specials by their rank among the show's specials.
+
+    Files that aren't numbered episodes, and shows without regular episodes, change nothing; with ``keep_titles`` nor
+    do files that have an episode title.
+    """
+    asks = F.col("is_series") & F.col("season").isNotNull() & (F.col("episode") != 0) & (F.col("title") != "")
+    asks = F.coalesce(asks & (F.coalesce("ep_title", F.lit("")) == "" if keep_titles else F.lit(True)), F.lit(False))
+    regular = episodes.filter("type = 'regular'")
+    facts = show_facts(files.filter(asks), hits, shows).join(regular.select("show_id").distinct(), "show_id", "left_semi")
+    f = files.withColumn("__asks", asks).join(facts.select("title", "show_id", F.col("name").alias("__name"), F.col("year").alias("__year")), "title", "left")
+    f = episode_titles(f.withColumnRenamed("ep_title", "__old"), regular).withColumnRenamed("ep_title", "__regular")
+    f = special_titles(f, episodes).withColumnRenamed("ep_title", "__special")
+    found = F.col("__asks") & F.col("show_id").isNotNull()
+    title = F.when(F.coalesce(F.col("is_special"), F.lit(False)), F.col("__special")).otherwise(F.col("__regular"))
+    other = found & (F.coalesce("__name", F.lit("")) != "") & (F.lower("__name") != F.lower("title"))
+    f = f.withColumns({
+        "ep_title": F.when(found, F.coalesce(_or_null(title), "__old")).otherwise(F.col("__old")), "year": F.when(found, F.coalesce("__year", "year")).otherwise(F.col("year")),
+        "title": F.when(other, F.col("__name")).otherwise(F.col("title")),
+    })
+    return f.select(files.columns)

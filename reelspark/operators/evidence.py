@@ -27,17 +27,24 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def identity(p: DataFrame) -> DataFrame:
-    """parsed rows with one nested ``identity``: candidates with confidences, media type, status and warnings."""
+    """parsed rows with one nested ``identity``: candidates with confidences, media type, status and warnings.
+
+    A season makes a series' episode, as does the mark of a special; a title alone makes a film. Only warnings make a
+    name ambiguous. Whether there are several episodes is decided for names with a season.
+    """
     cand = lambda v, c: F.when(v.isNotNull() & (v.cast("string") != ""), F.struct(v.cast("string").alias("value"), c.cast("double").alias("confidence"), F.array(F.lit("filename")).alias("sources")))
     sure = F.when(F.col("season_assumed"), 0.7).otherwise(0.95)
-    kind = F.when(F.col("is_series") | F.col("is_special") | F.col("episode").isNotNull(), "series_episode").when((F.col("title") != "") & F.col("year").isNotNull(), "movie").otherwise("unknown")
-    status = F.when(F.col("title") == "", "unresolved").when(F.col("is_multi_episode") | F.col("season_assumed"), "ambiguous").otherwise("identified")
+    series = F.col("season").isNotNull()
+    kind = F.when(series | F.col("is_special"), "series_episode").when(F.col("title") != "", "movie").otherwise("unknown")
     multi = F.struct(F.col("is_multi_episode").alias("value"), F.when(F.col("is_multi_episode"), 0.95).otherwise(0.9).alias("confidence"), F.when(F.col("is_multi_episode"), "several episodes in the name").otherwise("one episode at most").alias("reason"))
+    p = p.withColumn("__warnings", F.when(~(series & F.col("is_multi_episode")), names.numeric_tail_warning(F.col("basename"))).otherwise(F.array().cast("array<struct<code:string,field:string,message:string>>")))
+    status = F.when(F.coalesce(F.col("basename") == "", F.lit(True)) | (kind == "unknown"), "unresolved").when(F.size("__warnings") > 0, "ambiguous").otherwise("identified")
     return p.withColumn("identity", F.struct(
-        kind.alias("media_type"), status.alias("status"), cand(F.col("title"), F.when(F.col("is_series"), 0.9).otherwise(0.8)).alias("title"), cand(F.col("year"), F.lit(0.9)).alias("year"),
-        cand(F.col("season"), sure).alias("season"), cand(F.col("episode"), sure).alias("episode"), names.episode_numbers(F.col("basename")).alias("episodes"), multi.alias("is_multi_episode"),
-        names.numeric_tail_warning(F.col("basename")).alias("warnings"),
-    ))
+        kind.alias("media_type"), status.alias("status"), cand(F.col("title"), F.when(series, 0.9).otherwise(0.8)).alias("title"), cand(F.col("year"), F.lit(0.9)).alias("year"),
+        cand(F.col("season"), sure).alias("season"), F.when(series, cand(F.col("episode"), sure)).alias("episode"),
+        F.when(series, names.episode_numbers(F.col("basename"))).otherwise(F.array().cast("array<int>")).alias("episodes"), F.when(series, multi).alias("is_multi_episode"),
+        F.col("__warnings").alias("warnings"),
+    )).drop("__warnings")
 
 
 def _long(df: DataFrame, provider: str, fields: list[tuple[str, Column, float | Column, Column | bool]]) -> DataFrame:

@@ -41,13 +41,19 @@ def normal_title(c: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _alike(texts: pd.Series) -> pd.Series:
-    """For n texts, n * n flags: is text j (second) close to leader i (first)?"""
+def _agreement(texts: pd.Series, known: pd.Series) -> pd.Series:
+    """``known``, n * n flags of n texts, with the open ones (null) filled in: is text j (second) close to leader i
+    (first)? Rows without open flags bring no texts."""
 
-    def flags(t) -> list[bool]:
-        return [i != j and SequenceMatcher(None, a, b).ratio() >= X.TITLE_RATIO for i, a in enumerate(t) for j, b in enumerate(t)]
+    def flags(t, k) -> list[bool]:
+        n = len(t)
+        return [bool(v) if v is not None else SequenceMatcher(None, t[x // n], t[x % n]).ratio() >= X.TITLE_RATIO for x, v in enumerate(k)]
 
-    return texts.map(flags)
+    return pd.Series([flags(t, k) for t, k in zip(texts, known, strict=True)], dtype=object)
+
+
+#: So that no optimiser rule moves the call into a lambda function, where Python can't be called.
+_agreement = _agreement.asNondeterministic()
 
 
 def _title_rule(a: Column, b: Column) -> Column:
@@ -70,8 +76,7 @@ def gathered(opinions: DataFrame) -> DataFrame:
     title = F.col("field").isin(*TITLES)
     g = g.withColumn("known", F.when(title, pairs(_title_rule)).otherwise(pairs(lambda a, b: a["value"] == b["value"])))
     g = g.withColumn("asked", F.when(F.exists("known", lambda k: k.isNull()), F.transform("ops", lambda o: o["norm"])).otherwise(F.array().cast("array<string>")))
-    g = g.withColumn("ratio", _alike("asked"))
-    return g.select("file_id", "field", "ops", F.transform("known", lambda k, i: F.coalesce(k, F.try_element_at("ratio", i + 1), F.lit(False))).alias("agree"))
+    return g.select("file_id", "field", "ops", _agreement("asked", "known").alias("agree"))
 
 
 CLUSTER = "array<struct<lead:int,members:array<int>,score:double,vw:double>>"

@@ -19,7 +19,8 @@ from reelspark.plans.cut import cut
 @dataclass
 class Options:
     """template: of the user's, else the defaults. season: settles that field for all files. catalogs: found rows
-    (``file_id, title, year, ep_title``) by provider. probes: ``file_id, json``. existing: ``dir, name``."""
+    (``file_id, title, year, ep_title``) by provider. probes: ``file_id, json``. existing: ``dir, name`` of what lies beside
+    the files besides themselves."""
 
     known_title: str = ""
     template: str = ""
@@ -77,7 +78,7 @@ FIELDS = ("title", "dot_title", "dot_quality", "season", "episode", "ext", "year
 
 
 def plan(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """``file_id, path, old_name, new_name, dest_name, status, reason`` for each file."""
+    """``file_id, path, old_name, new_name, dest_name, status, reason`` for each row of ``files``, whose file_ids differ."""
     o = options or Options()
     p = identify(files, o).withColumn("year", F.coalesce("year", F.lit(0)))
     cols = {c: F.col(c) for c in FIELDS}
@@ -91,9 +92,10 @@ def plan(files: DataFrame, options: Options | None = None) -> DataFrame:
     p = p.withColumn("new_name", new)
     p = p.withColumn("s", R.rename_status(F.col("new_name"), F.col("basename"), F.col("skip_reason"), F.col("refused"), F.col("title"), F.col("ep_title"), uses))
     p = p.select("file_id", "path", F.col("basename").alias("old_name"), F.when(F.col("s.status") == "renamed", F.col("new_name")).otherwise(F.col("basename")).alias("new_name"), "s.status", "s.reason")
-    wanted = p.filter("status = 'renamed'").select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), "new_name")
-    dest = A.allocate(wanted, o.existing)
-    return p.join(dest, "path", "left").select("file_id", "path", "old_name", "new_name", F.coalesce("dest_name", "old_name").alias("dest_name"), "status", "reason")
+    p = p.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    there = p.select("dir", F.col("old_name").alias("name"))
+    dest = A.allocate(p.filter("status = 'renamed'").select("file_id", "path", "dir", "new_name"), there if o.existing is None else there.unionByName(o.existing.select("dir", "name")))
+    return p.join(dest, "file_id", "left").select("file_id", "path", "old_name", "new_name", F.coalesce("dest_name", "old_name").alias("dest_name"), "status", "reason")
 
 
 def counters(planned: DataFrame) -> DataFrame:

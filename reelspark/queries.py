@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions import media, names, paths, quality
-from reelspark.operators import allocate, catalogs, render, voting, wikitext
+from reelspark.operators import allocate, catalogs, evidence, render, voting, wikitext
 from reelspark.plans import corpora as C
 from reelspark.plans.pipeline import plan
 from reelspark.sources import scan
@@ -137,11 +137,65 @@ def json_tag_alias(spark, d):
     return e.select("event_id", media.tag_values(F.col("tags")).alias("t")).select("event_id", "t.show_name", "t.season", "t.episode")
 
 
-@query("SELECT p_partkey, CAST((p_partkey % 3 + 1) * 2 AS INT) AS channels, CASE WHEN p_size % 2 = 0 THEN 'eng,jpn' ELSE 'eng' END AS audio_lang, CAST(CASE WHEN p_size <= 25 THEN 1080 ELSE 720 END AS INT) AS resolution FROM part")
+@query("""SELECT p_partkey, CAST((p_partkey % 3 + 1) * 2 AS INT) AS channels, CASE WHEN p_size % 2 = 0 THEN 'eng,jpn' ELSE 'eng' END AS audio_lang, CASE WHEN p_size % 3 = 0 THEN 'rus' ELSE '' END AS sub_lang,
+CAST(CASE WHEN p_size <= 25 THEN 1080 ELSE 720 END AS INT) AS resolution, (['AAC','TrueHD','E-AC3','Opus','PCM','Vorbis','DTS','WMAV2'])[CAST(p_partkey % 8 + 1 AS INT)] AS audio FROM part""")
 def stream_summary(spark, d):
-    j = part(spark, d).selectExpr("p_partkey", "concat('{\"streams\":[{\"codec_type\":\"video\",\"codec_name\":\"h264\",\"height\":', case when p_size <= 25 then 1072 else 792 end, '},{\"codec_type\":\"audio\",\"codec_name\":\"aac\",\"channels\":2,\"tags\":{\"language\":\"', case when p_size % 2 = 0 then 'jpn' else 'eng' end, '\"}},{\"codec_type\":\"audio\",\"codec_name\":\"ac3\",\"channels\":', (p_partkey % 3 + 1) * 2, ',\"tags\":{\"language\":\"eng\"}}]}') as j")
+    codec = "element_at(array('aac','truehd','eac3','opus','pcm_s16le','vorbis','DTS','wmav2'), cast(p_partkey % 8 + 1 as int))"
+    j = part(spark, d).selectExpr("p_partkey", "concat('{\"streams\":[{\"codec_type\":\"video\",\"codec_name\":\"h264\",\"height\":', case when p_size <= 25 then 1072 else 792 end, '},{\"codec_type\":\"audio\",\"codec_name\":\"', " + codec + ", '\",\"channels\":2,\"tags\":{\"language\":\"', case when p_size % 2 = 0 then 'jpn' else 'eng' end, '\"}},{\"codec_type\":\"audio\",\"codec_name\":\"ac3\"},{\"codec_type\":\"subtitle\",\"codec_name\":\"subrip\"', case when p_size % 3 = 0 then ',\"tags\":{\"language\":\"rus\"}' else '' end, '},{\"codec_type\":\"audio\",\"codec_name\":\"ac3\",\"channels\":', (p_partkey % 3 + 1) * 2, ',\"tags\":{\"language\":\"eng\"}}]}') as j")
     i = j.select("p_partkey", media.file_info(media.probe(F.col("j"))).alias("i"))
-    return i.select("p_partkey", "i.channels", "i.audio_lang", "i.video.resolution")
+    return i.select("p_partkey", "i.channels", "i.audio_lang", "i.sub_lang", "i.video.resolution", "i.audio")
+
+
+@query("""SELECT p_partkey, CAST(k AS INT) AS stream, kind, lang, codec, channels FROM (SELECT p_partkey, unnest([1, 2, 3]) AS k, unnest(['audio','audio','subtitle']) AS kind,
+unnest(['jpn', 'und', CASE WHEN p_size % 2 = 0 THEN 'eng' ELSE 'und' END]) AS lang, unnest(['dts', '', 'subrip']) AS codec, unnest([CAST(p_size % 6 + 1 AS INT), 0, NULL]) AS channels FROM part)""")
+def stream_tables(spark, d):
+    """A row a stream of audio and subtitles."""
+    j = part(spark, d).selectExpr("p_partkey", "concat('{\"streams\":[{\"codec_type\":\"audio\",\"codec_name\":\"DTS\",\"channels\":', p_size % 6 + 1, ',\"tags\":{\"language\":\"jpn\"}},{\"codec_type\":\"video\"},{\"codec_type\":\"audio\"},{\"codec_type\":\"subtitle\",\"codec_name\":\"subrip\"', case when p_size % 2 = 0 then ',\"tags\":{\"language\":\"eng\"}' else '' end, '}]}') as j")
+    p = j.select("p_partkey", media.probe(F.col("j")).alias("p"))
+    a = p.select("p_partkey", F.posexplode(media.audio_streams(F.col("p"))).alias("k", "s")).selectExpr("p_partkey", "k + 1 as stream", "'audio' as kind", "s.language as lang", "s.codec", "s.channels")
+    t = p.select("p_partkey", F.posexplode(media.subtitle_streams(F.col("p"))).alias("k", "s")).selectExpr("p_partkey", "k + 3 as stream", "'subtitle' as kind", "s.language as lang", "s.codec", "cast(null as int) as channels")
+    return a.unionByName(t)
+
+
+@query("""SELECT p_partkey, (['TrueHD','DTS-HD','DTS','FLAC','AAC','AC3','MP3','PCM','Opus',NULL])[CAST(p_partkey % 10 + 1 AS INT)] AS audio, p_size % 3 = 0 AS is_remux, p_size % 4 = 0 AS is_3d,
+concat_ws(' ', 'BluRay', CASE WHEN p_size % 3 = 0 THEN 'Remux' END, '1080p', (['TrueHD','DTS-HD','DTS','FLAC','AAC','AC3','MP3','PCM','Opus',NULL])[CAST(p_partkey % 10 + 1 AS INT)], CASE WHEN p_size % 4 = 0 THEN '3D' END) AS label FROM part""")
+def audio_remux_3d(spark, d):
+    n = part(spark, d).selectExpr("p_partkey", "concat(replace(p_name, ' ', '.'), '.1080p.BluRay', case when p_size % 3 = 0 then '.Remux' else '' end, element_at(array('.TrueHD','.DTS-HD','.DTS','.FLAC','.AAC5.1','.DDP5.1','.MP3','.PCM','.Opus',''), cast(p_partkey % 10 + 1 as int)), case when p_size % 4 = 0 then '.3D' else '' end, '.mkv') as name")
+    q = n.select("p_partkey", quality.quality(F.col("name")).alias("q"))
+    return q.select("p_partkey", "q.audio", "q.is_remux", "q.is_3d", "q.label")
+
+
+@query("SELECT p_partkey, p_name AS title FROM part")
+def modifiers_stripped(spark, d):
+    t = part(spark, d).selectExpr("p_partkey", "concat(p_name, element_at(array(' Uncut', ' IMAX', ' Special Edition', ''), cast(p_partkey % 4 + 1 as int))) as t")
+    return t.select("p_partkey", quality.strip_modifiers(F.col("t")).alias("title"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 4 THEN 'movie' WHEN 5 THEN 'movie' WHEN 7 THEN 'unknown' ELSE 'series_episode' END AS media_type,
+CASE p_partkey % 8 WHEN 1 THEN 'ambiguous' WHEN 6 THEN 'ambiguous' WHEN 7 THEN 'unresolved' ELSE 'identified' END AS status,
+CAST(CASE p_partkey % 8 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN NULL WHEN 2 THEN 1 ELSE p_size % 9 + 1 END AS VARCHAR) AS season,
+CAST(CASE p_partkey % 8 WHEN 2 THEN 0.7 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN NULL ELSE 0.95 END AS DOUBLE) AS sure,
+CASE WHEN p_partkey % 8 IN (4, 5, 7) THEN NULL ELSE p_partkey % 8 = 3 END AS is_multi, CASE WHEN p_partkey % 8 = 4 THEN '1999' END AS year,
+CAST(CASE WHEN p_partkey % 8 IN (1, 6) THEN 1 ELSE 0 END AS INT) AS warnings FROM part""")
+def identity_status(spark, d):
+    """Names with a marker, one followed by a far number, an assumed season, two episodes, films and a bare extension."""
+    s = "lpad(p_size % 9 + 1, 2, '0')"
+    forms = f"array(concat('.S', {s}, 'E05.1080p.mkv'), concat('.S', {s}, 'E05-99.mkv'), ' - 07.mkv', concat('.S', {s}, 'E01E02.mkv'), '.1999.mkv', '.mkv', concat('.', p_size % 9 + 1, 'x05 33.mkv'), '')"
+    f = part(spark, d).selectExpr("p_partkey as file_id", f"concat('/lib/', case when p_partkey % 8 = 7 then '.mkv' else replace(p_name, ' ', '.') end, element_at({forms}, cast(p_partkey % 8 + 1 as int))) as path")
+    i = F.col("identity")
+    return evidence.identity(evidence.parsed(f)).select(
+        F.col("file_id").alias("p_partkey"), i["media_type"].alias("media_type"), i["status"].alias("status"), i["season"]["value"].alias("season"), i["season"]["confidence"].alias("sure"),
+        i["is_multi_episode"]["value"].alias("is_multi"), i["year"]["value"].alias("year"), F.size(i["warnings"]).alias("warnings"),
+    )
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '33' WHEN 1 THEN '99' WHEN 2 THEN '7' END AS tail FROM part")
+def numeric_tail(spark, d):
+    """What follows a marker: numbers that may be titles, and those that are second episodes, figures, widths or years."""
+    forms = "array('1x01-33', 'S01E01_99', '1x01.7.name', 'S01E01-02', 'S01E01.5.1', 'S01E01.1080p', 'S01E01.10bit', 'S01E01 2019')"
+    n = part(spark, d).selectExpr("p_partkey", f"concat(replace(p_name, ' ', '.'), '.', element_at({forms}, cast(p_partkey % 8 + 1 as int)), '.mkv') as name")
+    w = F.try_element_at(names.numeric_tail_warning(F.col("name")), F.lit(1))
+    return n.select("p_partkey", F.nullif(F.regexp_extract(w["message"], r"(\d+)$", 1), F.lit("")).alias("tail"))
 
 
 @query(f"WITH {C.OPINIONS_SQL} SELECT field, provider, round(sum(base * confidence), 4) AS weighted, count(*) AS n FROM (SELECT o.*, CAST(coalesce(w, 1.0) AS DOUBLE) AS base FROM opinions o LEFT JOIN weights w USING (field, provider)) GROUP BY ALL")
@@ -195,11 +249,13 @@ def usable_pivot(spark, d):
     return voting.usable_values(voting.vote(C.opinions(spark, d)), ("season", "year", "codec"))
 
 
-@query(f"WITH {C.OPINIONS_SQL} SELECT decision, count(*) AS n, CAST(0 AS BIGINT) AS different FROM decided GROUP BY ALL")
+@query(f"WITH {C.OPINIONS_SQL} SELECT file_id, field, value, decision, decision <> 'skip' AS usable, round(posterior, 6) AS posterior, round(share, 6) AS share FROM decided")
 def fuse_equals_vote(spark, d):
+    """One winner and decision by either reading of the verdicts, each computed from the opinions."""
     o = C.opinions(spark, d)
-    a, b = voting.vote(o).select("file_id", "field", "value", "decision"), voting.fuse(o).select("file_id", "field", F.col("value").alias("v2"), F.col("decision").alias("d2"))
-    return a.join(b, ["file_id", "field"]).groupBy("decision").agg(F.count("*").alias("n"), F.count_if((F.col("value") != F.col("v2")) | (F.col("decision") != F.col("d2"))).alias("different"))
+    a = voting.vote(o).select("file_id", "field", "value", "decision", F.round("confidence", 6).alias("share"))
+    b = voting.fuse(o).select("file_id", "field", "value", "decision", "usable", F.round("confidence", 6).alias("posterior"))
+    return a.join(b, ["file_id", "field", "value", "decision"])
 
 
 @query(f"WITH {C.EPISODES_SQL}, {C.ASKED_SQL}, f AS (SELECT show_id, season, number, arg_min(name, ord) AS ep_title FROM episodes GROUP BY ALL) SELECT a.l_partkey, a.show_id, a.season, a.episode, f.ep_title FROM asked a LEFT JOIN f ON a.show_id = f.show_id AND a.season = f.season AND a.episode = f.number")
@@ -255,10 +311,61 @@ def first_wins_dedup(spark, d):
 
 @query("SELECT p_name AS title, CAST(min(1960 + p_size) AS INT) AS year FROM part GROUP BY ALL")
 def min_year(spark, d):
-    p = part(spark, d).selectExpr("p_name as title", "cast(p_partkey as string) as page", "concat('{{Infobox\\n| first_aired = {{Start date|', cast(1960 + p_size as string), '|1}}\\n| name = 1901\\n}}') as text")
+    """Each of the date fields, with and without a template; fields of other names, and years later in a line, don't count."""
+    fields = "element_at(array('first_aired = {{Start date|', 'last_aired={{End date|', 'released = ', 'air_date  =  ', 'original_release = {{Start date|df=y|', '  Released = '), cast(p_partkey % 6 + 1 as int))"
+    p = part(spark, d).selectExpr("p_name as title", "cast(p_partkey as string) as page", f"concat('{{{{Infobox\\n| ', {fields}, cast(1960 + p_size as string), ', before 1901\\n| release = 1902\\n| first = 1903\\n| released = in 1904\\n| name = 1905\\n}}}}') as text")
     return wikitext.first_year(p)
 
 
+@query("""SELECT p_name AS title, CAST(1 AS INT) AS season, CAST(p_size AS INT) AS number, arg_min(p_type || ' ' || p_partkey, p_partkey) AS ep_title FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL
+UNION ALL SELECT p_name, 2, CAST(p_size AS INT), arg_min(p_type || ' ' || p_partkey, p_partkey) FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL""")
+def show_episodes(spark, d):
+    """From list pages to the season pages that they include or refer to, the first block of a number first."""
+    p = part(spark, d).withColumn("s", F.expr("cast(p_partkey % 2 + 1 as int)"))
+    block = F.concat(F.lit("{{Episode list\n| EpisodeNumber = 999\n| EpisodeNumber2 = "), F.col("p_size"), F.lit("\n| Title = "), F.col("p_type"), F.lit(" "), F.col("p_partkey"), F.lit("\n}}"))
+    each = F.sort_array(F.collect_list(F.struct("p_partkey", block.alias("b"))))
+    texts = p.groupBy("p_name", "s").agg(F.concat_ws("\n", F.transform(each, lambda x: x["b"])).alias("text")).select(F.concat("p_name", F.lit(" (season "), "s", F.lit(")")).alias("page"), "text")
+    n = p.select("p_name").distinct()
+    lists = n.selectExpr("concat('List of ', p_name) as page", "concat('== Episodes ==\\n{{:', p_name, ' (season 1)}}\\n{{Main|', p_name, ' (season 2)}}\\n{{Main|Cast}}\\n{{:', p_name, ' (season 1)}}') as text")
+    search = n.selectExpr("concat('List of ', p_name, ' episodes') as query", "1 as rank", "concat('List of ', p_name) as page")
+    return wikitext.show_episodes(n.select(F.col("p_name").alias("title")), search, texts.unionByName(lists))
+
+
+@query("""SELECT p_partkey AS file_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Found ' || p_name END AS title,
+CAST(CASE WHEN p_partkey % 3 = 0 OR p_size % 2 = 0 THEN 1980 WHEN p_size % 3 = 0 THEN 2001 ELSE 2005 END AS INT) AS year, CASE WHEN p_partkey % 3 = 0 THEN 'Title ' || (p_size % 5 + 1) ELSE 'old' END AS ep_title FROM part""")
+def catalog_enrichment(spark, d):
+    """Films get the title that is found, and a year where they have none (of a show before that of a film); series'
+    episodes their titles, by the name without its year."""
+    p = part(spark, d)
+    f = p.selectExpr("p_partkey as file_id", "case when p_partkey % 3 = 0 then p_name else concat(p_name, ' ', p_size % 3) end as title", "p_partkey % 3 = 0 as is_series", "1 as season", "cast(p_size % 5 + 1 as int) as episode", "case when p_partkey % 3 = 0 or p_size % 2 = 0 then 1980 else 0 end as year", "'old' as ep_title")
+    n = p.select("p_name").distinct()
+    k = n.select("p_name", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    tv = n.selectExpr("p_name as query", "1 as rank", "p_name as show_id", "'' as first_air_date").unionByName(k.filter("k = 0").selectExpr("concat(p_name, ' 0') as query", "1 as rank", "p_name as show_id", "'2001-05-01' as first_air_date"))
+    eps = n.selectExpr("p_name as show_id", "inline(transform(sequence(0, 6), x -> struct(1 as season, x as number, case when x = 6 then ' ' else concat(' Title ', x, ' ') end as name, x as ord)))")
+    movies = k.selectExpr("concat(p_name, ' ', k) as query", "1 as rank", "case when k = 1 then '' else concat('Found ', p_name) end as title", "concat('Found ', p_name) as original_title", "'2005-01-01' as release_date")
+    return catalogs.enriched(f, tv, eps, movies).select("file_id", "title", "year", "ep_title")
+
+
+@query(f"""WITH {C.EPISODES_SQL}, reg AS (SELECT show_id, season, number, arg_min(name, ord) AS name FROM episodes WHERE type = 'regular' GROUP BY ALL),
+sp AS (SELECT show_id, name, row_number() OVER (PARTITION BY show_id ORDER BY ord) AS k FROM episodes WHERE type <> 'regular')
+SELECT p_partkey AS file_id, CASE WHEN p_size % 5 = 4 THEN p_brand ELSE 'The ' || p_brand END AS title, CAST(CASE WHEN p_size % 5 = 4 THEN 0 ELSE 1990 END AS INT) AS year,
+CASE WHEN p_size % 5 = 4 THEN 'own' WHEN p_size % 5 = 3 THEN coalesce(sp.name, 'own') ELSE coalesce(reg.name, 'own') END AS ep_title
+FROM part LEFT JOIN reg ON reg.show_id = p_brand AND reg.season = p_size % 5 + 1 AND reg.number = p_partkey % 40 + 1 LEFT JOIN sp ON sp.show_id = p_brand AND sp.k = p_partkey % 40 + 1""")
+def series_enrichment(spark, d):
+    """Names, years and episode titles of shows; specials by their rank; files that are no series stay as they are."""
+    f = part(spark, d).selectExpr("p_partkey as file_id", "p_brand as title", "p_size % 5 <> 4 as is_series", "p_size % 5 = 3 as is_special", "cast(p_size % 5 + 1 as int) as season", "cast(p_partkey % 40 + 1 as int) as episode", "0 as year", "'own' as ep_title")
+    brands = part(spark, d).select("p_brand").distinct()
+    hits = brands.selectExpr("p_brand as query", "1 as rank", "p_brand as show_id", "lower(p_brand) as name", "0.1 as score")
+    shows = brands.selectExpr("p_brand as show_id", "concat('The ', p_brand) as name", "'1990-02-03' as premiered")
+    return catalogs.enriched_series(f, hits, shows, C.episodes(spark, d)).select("file_id", "title", "year", "ep_title")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 4 = 0")
+def known_languages(spark, d):
+    codes = part(spark, d).selectExpr("p_partkey", "element_at(array('en', 'EN', 'xx', ''), cast(p_partkey % 4 + 1 as int)) as lang")
+    return catalogs.is_known_language(codes, spark.createDataFrame([("en",), ("ru",)], "lang string")).select("p_partkey")
+
+
 @query(f"WITH {C.RELEASES_SQL} SELECT lpad(season::VARCHAR, 2, '0') || '.' || lpad(episode::VARCHAR, 2, '0') || '. ' || {CAP.format('p_name')} || '.mkv' AS name, count(*) AS n FROM releases GROUP BY ALL")
 def template_render(spark, d):
     r = C.releases(spark, d).select(names.title_before_marker(F.col("name")).alias("t"), names.season_episode(F.col("name")).alias("se"), names.extension(F.col("name")).alias("ext"))
@@ -286,7 +393,8 @@ def rename_status(spark, d):
 SELECT path, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END || '.mkv' AS dest_name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM w)""")
 def collision_suffix(spark, d):
     r = C.releases(spark, d).selectExpr("concat('/in/', replace(p_brand, '#', ''), '/', replace(name, '.mkv', ''), '.', p_type, '.mkv') as path", "concat('/in/', replace(p_brand, '#', '')) as dir", "concat(p_name, ' ', season, 'x', episode, '.mkv') as new_name")
-    return allocate.allocate(r)
+    r = r.withColumn("file_id", F.monotonically_increasing_id())
+    return r.select("file_id", "path").join(allocate.allocate(r), "file_id").select("path", "dest_name")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY AND ts IS NOT NULL GROUP BY ALL")
@@ -295,26 +403,46 @@ def ttl_filter(spark, d):
     return catalogs.fresh(e, F.expr("timestamp '2024-01-08 00:00:00'")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN p_name || ' adventures' WHEN 1 THEN p_name || ' story' WHEN 2 THEN p_name || ' chronicle' ELSE reverse(p_name) END AS value,
+CAST(CASE p_partkey % 4 WHEN 3 THEN 1 WHEN 1 THEN 4 ELSE 3 END AS INT) AS voters, 'accept' AS decision FROM part""")
 def title_fuzzy_cluster(spark, d):
-    """A title and its misspelt, extended and other forms, voted for by part; difflib has no SQL form."""
-    p = part(spark, d)
-    one = lambda i, v: f"struct('{['filename', 'dirname', 'wikipedia'][i]}' as provider, {[0, 1, 3][i]} as feed_ord, {v} as value)"
-    p = p.withColumn("s", F.expr("element_at(array('s', ' Final Season', ''), cast(p_partkey % 3 + 1 as int))"))
-    o = p.selectExpr("p_partkey as file_id", f"inline(array({one(0, 'initcap(p_name)')}, {one(1, 'concat(initcap(p_name), s)')}, {one(2, 'reverse(p_name)')}))")
-    o = o.selectExpr("file_id", "provider", "feed_ord", "'title' as field", "value", "0.9d as confidence", "false as weak")
+    """Titles that agree outvote the one of the single catalog that has the larger weight: misspelt (a ratio that only
+    difflib tells), extended or with other white space and case; the shortest of the weightiest leads. Where nothing
+    agrees, the catalog wins."""
+    base = "concat(p_name, element_at(array(' adventures', ' story', ' chronicles', ''), cast(p_partkey % 4 + 1 as int)))"
+    forms = {
+        "filename": "element_at(array({b}, upper({b}), concat({b}, '!'), {b}), cast(p_partkey % 4 + 1 as int))",
+        "dirname": "element_at(array(concat(p_name, ' adventurs'), concat('  ', {b}, ' '), 'zzzz', 'qqqq'), cast(p_partkey % 4 + 1 as int))",
+        "wikipedia": "reverse(p_name)",
+        "tvmaze": "element_at(array({b}, concat({b}, ' returns'), {b}, ''), cast(p_partkey % 4 + 1 as int))",
+        "tmdb": "element_at(array('', {b}, concat(p_name, ' chronicle'), ''), cast(p_partkey % 4 + 1 as int))",
+    }
+    order = {"filename": 0, "dirname": 1, "wikipedia": 3, "tvmaze": 4, "tmdb": 5}
+    rows = ", ".join(f"struct('{k}' as provider, {order[k]} as feed_ord, {v.format(b=base)} as value)" for k, v in forms.items())
+    o = part(spark, d).selectExpr("p_partkey as file_id", f"inline(array({rows}))").selectExpr("file_id", "provider", "feed_ord", "'title' as field", "value", "0.9d as confidence", "false as weak")
     return voting.vote(o).select("file_id", "value", F.size("providers").alias("voters"), "decision")
 
 
-@query()
+@query("""SELECT p_partkey AS page, CAST(season AS INT) AS season, CAST(number AS INT) AS number, title FROM (SELECT p_partkey, unnest([1, 2, 3, 4, 5, 6, 7]) AS number,
+unnest([4, 4, 0, 0, 2, 2, 2]) AS season, unnest([p_name || '& more', p_name, 'Lost ' || p_name, p_type || ' extra', p_name || ' II', p_type || ' ' || p_name, 'x ' || p_name]) AS title FROM part)""")
 def wikitext_parse(spark, d):
-    """Episodes read from the wikitext of each brand's list."""
-    e = C.episodes(spark, d).groupBy("show_id", "season").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.lit("{{Episode list\n|EpisodeNumber="), F.col("number"), F.lit("\n|Title=[[x|"), F.col("name"), F.lit("]]&amp;\n}}"))))).alias("body"))
-    pages = e.groupBy(F.col("show_id").alias("page")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.lit("==Season "), F.col("season"), F.lit("==\n"), F.col("body"))))).alias("text"))
-    return wikitext.episodes(pages)
-
-
-@query()
+    """Pages with a season of their own, headings of specials and of a season, titles in links, references, quotes and
+    templates and over several lines; blocks without a number or with a title of one character."""
+    e = lambda n, title, more="": "{{Episode list\n| EpisodeNumber = " + str(n) + more + "\n| Title = " + title + "\n| Aux = z\n}}\n"
+    text = (
+        "Intro\n" + e(1, "[[x|{n}]]&amp; more<ref>Title = q</ref>") + e(77, '\'\'"{n}"\'\'<ref name="a"/>', "\n| EpisodeNumber2 = 2") + "== Original video animation ==\n" + e(3, "Lost {n}") + "=== Omake ===\n"
+        + e(4, "{{nowrap|{t} extra}}") + "== Season 2 (2001) ==\n" + e(5, "{{lang|la|{n} II}}") + "{{Episode list/sublist\n| EpisodeNumber = 6\n| TranslitTitle = {{nihongo|{t}|x|y}}\n {n}\n| Aux = z\n}}\n"
+        + e(7, "x{{efn|note}} {n}") + e(8, "y") + "{{Episode list\n| Title = none\n}}\n" + "{{Episode table|x}}"
+    )
+    page = F.replace(F.replace(F.lit(text), F.lit("{n}"), F.col("p_name")), F.lit("{t}"), F.col("p_type"))
+    pages = part(spark, d).select(F.col("p_partkey").alias("page"), page.alias("text"), F.lit(4).alias("season"))
+    return wikitext.episodes(pages).select("page", "season", "number", "title")
+
+
+@query("""WITH w AS (SELECT p_partkey AS file_id, '/media/tv/' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || '/Season ' || (p_size % 5 + 1) || '/' || replace(p_name, ' ', '.') || '.S0' || (p_size % 5 + 1) || 'E' || lpad((p_partkey % 60)::VARCHAR, 2, '0') || '.' || lower(p_type) || '.1080p.mkv' AS path,
+lpad((p_size % 5 + 1)::VARCHAR, 2, '0') || '.' || lpad((p_partkey % 60)::VARCHAR, 2, '0') || '. ' || lower(p_type) AS base FROM part)
+SELECT file_id, path, string_split(path, '/')[-1] AS old_name, base || '.mkv' AS new_name, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END || '.mkv' AS dest_name, 'renamed' AS status, '' AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path, file_id) AS k FROM w)""")
 def plan_paths(spark, d):
     """The plan of new names for a path of each part: parse, two votes, rendering and allocation."""
     f = part(spark, d).selectExpr("p_partkey as file_id", "concat('/media/tv/', initcap(p_name), '/Season ', cast(p_size % 5 + 1 as string), '/', replace(p_name, ' ', '.'), '.S0', cast(p_size % 5 + 1 as string), 'E', lpad(p_partkey % 60, 2, '0'), '.', lower(p_type), '.1080p.mkv') as path")

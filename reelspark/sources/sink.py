@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import errno
 import os
 from collections.abc import Iterator
@@ -9,23 +10,31 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from reelspark.plans.cut import cut
+
+AT_FDCWD, NO_REPLACE = -100, 1
 UNSUPPORTED = (errno.EPERM, errno.EOPNOTSUPP, errno.ENOTSUP, errno.ENOSYS, errno.EXDEV)
 
 
+def _rename_no_replace(source: str, dest: str) -> None:
+    """Linux's rename that fails where dest exists; OSError(ENOSYS) where there is none."""
+    call = getattr(ctypes.CDLL(None, use_errno=True), "renameat2", None)
+    if call is None:
+        raise OSError(errno.ENOSYS, "no atomic rename")
+    if call(AT_FDCWD, os.fsencode(source), AT_FDCWD, os.fsencode(dest), NO_REPLACE):
+        e = ctypes.get_errno()
+        raise (FileExistsError if e == errno.EEXIST else OSError)(e, os.strerror(e), dest)
+
+
 def rename_no_clobber(source: str, dest: str) -> None:
     """FileExistsError if dest exists, a dangling link included. A hard link makes the name or fails; where links
-    aren't possible, the name is reserved by an exclusive empty file that the rename then replaces."""
+    aren't possible, an atomic rename that replaces nothing does, or else nothing happens but an OSError."""
     try:
         os.link(source, dest, follow_symlinks=False)
     except OSError as e:
         if e.errno not in UNSUPPORTED:
             raise
-        os.close(os.open(dest, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        try:
-            os.rename(source, dest)
-        except OSError:
-            os.unlink(dest)
-            raise
+        _rename_no_replace(source, dest)
         return
     try:
         os.unlink(source)
@@ -44,27 +53,38 @@ def free_name(directory: str, name: str, reserved: set[str]) -> str:
 
 
 def apply(planned: DataFrame, dry_run: bool = False) -> DataFrame:
-    """The plan with ``status`` as carried out: errors where a file has gone. A name that was taken meanwhile gets
-    the next free suffix. All executors must see the files."""
+    """The plan with ``status`` as carried out: errors where a file has gone. A name that was taken meanwhile gets the
+    next suffix that is free on disk and that no other file of the plan's partition wants.
+
+    The renames are done once, here, and their outcome is written; reading it again renames nothing. A task that is
+    repeated finds the names that the lost one made: a file that has gone while its new name is there was renamed.
+    All executors must see the files.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: set[str] = set()
         for b in batches:
             rows = []
+            wanted.update(b["dest_name"])
             for r in b.to_dict("records"):
                 if r["status"] == "renamed" and not dry_run:
                     folder = os.path.dirname(r["path"])
                     try:
                         if not os.path.lexists(r["path"]):
+                            if os.path.lexists(os.path.join(folder, r["dest_name"])):
+                                rows.append(r)
+                                continue
                             raise FileNotFoundError(r["path"])
                         while True:
                             try:
                                 rename_no_clobber(r["path"], os.path.join(folder, r["dest_name"]))
                                 break
                             except FileExistsError:
-                                r["dest_name"] = free_name(folder, r["dest_name"], set())
+                                r["dest_name"] = free_name(folder, r["new_name"], wanted)
+                                wanted.add(r["dest_name"])
                     except OSError as e:
                         r |= {"status": "error", "reason": str(e)}
                 rows.append(r)
             yield pd.DataFrame(rows, columns=b.columns)
 
-    return planned.mapInPandas(run, planned.schema)
+    return cut(planned.mapInPandas(run, planned.schema))

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import media
-from reelspark.operators import allocate, catalogs, render, wikitext
+from reelspark.operators import allocate, catalogs, evidence, render, wikitext
+from reelspark.plans.directory import main, process_directory
 from reelspark.plans.pipeline import Options, counters, identify, plan
-from reelspark.sources import cache, scan, sink
+from reelspark.sources import cache, probe, scan, sink
 
 
 def files(spark, *paths):
@@ -51,18 +52,45 @@ def test_render(spark):
 
 
 def test_allocate(spark):
-    rows = [("/a/1", "/a", "N.mkv"), ("/a/2", "/a", "N.mkv"), ("/b/3", "/b", "N_1.mkv"), ("/b/4", "/b", "M.mkv"), ("/b/M.mkv", "/b", "M.mkv"), ("/c/5", "/c", "E.mkv"), ("/d/6", "/d", "Q.mkv"), ("/d/7", "/d", "Q.mkv")]
-    w = spark.createDataFrame(rows, "path string, dir string, new_name string")
-    e = spark.createDataFrame([("/c", "E.mkv"), ("/c", "E_1.mkv")], "dir string, name string")
-    got = {r.path: r.dest_name for r in allocate.allocate(w, e).collect()}
-    assert got == {"/a/1": "N.mkv", "/a/2": "N_1.mkv", "/b/3": "N_1_1.mkv", "/b/4": "M.mkv", "/b/M.mkv": "M.mkv", "/c/5": "E_2.mkv", "/d/6": "Q.mkv", "/d/7": "Q_1.mkv"}
+    rows = [("/a/1", "N.mkv"), ("/a/2", "N.mkv"), ("/b/3", "N_1.mkv"), ("/b/4", "M.mkv"), ("/b/M.mkv", "M.mkv"), ("/c/5", "E.mkv"), ("/d/6", "Q.mkv"), ("/d/7", "Q.mkv"), ("/d/7", "Q.mkv"), ("/e/P.mkv", "R.mkv"), ("/e/x", "P.mkv")]
+    w = spark.createDataFrame([(i, p, p.rpartition("/")[0], n) for i, (p, n) in enumerate(rows)], "file_id long, path string, dir string, new_name string")
+    e = spark.createDataFrame([("/c", "E.mkv"), ("/c", "E_1.mkv"), *((p.rpartition("/")[0], p.rpartition("/")[2]) for p, _ in rows)], "dir string, name string")
+    got = {r.file_id: r.dest_name for r in allocate.allocate(w, e).collect()}
+    # a name that lies beside a file is taken, even if its holder is renamed itself
+    assert [got[i] for i in range(len(rows))] == ["N.mkv", "N_1.mkv", "N_1_1.mkv", "M_1.mkv", "M.mkv", "E_2.mkv", "Q.mkv", "Q_1.mkv", "Q_2.mkv", "R.mkv", "P_1.mkv"]
+
+
+def test_allocation_as_one_by_one(spark):
+    """Against renames one after another, in a corpus full of names that look like suffixed ones."""
+    paths = [f"/{'ab'[i % 2]}/{n}" for i, n in enumerate(["A.mkv", "A_1.mkv", "B", "A_1_1.mkv", "A_2.mkv", "C.x", ".hidden", "A_3.mkv", "D", "E", "F", "G", "A.mkv", "H", "I", "J"])]
+    want = [["A.mkv", "A_1.mkv", "B", ".hidden", "A_1.mkv"][(i * 7) % 5] for i in range(len(paths))]
+    there = {(p.rpartition("/")[0], p.rpartition("/")[2]) for p in paths}
+    reserved, expected = set(), {}
+    for i in sorted(range(len(paths)), key=lambda i: (paths[i], i)):
+        folder, old = paths[i].rpartition("/")[::2]
+        base, ext = os.path.splitext(want[i])
+        name, n = want[i], 0
+        if old != name:
+            while (folder, name) in there or name in reserved:
+                n += 1
+                name = f"{base}_{n}{ext}"
+            reserved.add(name)
+        expected[i] = name
+    w = spark.createDataFrame([(i, p, p.rpartition("/")[0], n) for i, (p, n) in enumerate(zip(paths, want))], "file_id long, path string, dir string, new_name string")
+    assert {r.file_id: r.dest_name for r in allocate.allocate(w, spark.createDataFrame(sorted(there), "dir string, name string")).collect()} == expected
+
+
+def test_plan_keeps_what_lies_beside(spark):
+    f = files(spark, "/m/The.Matrix.1999.mkv", "/m/The Matrix (1999).mkv", "/m/The.Matrix.1999.mkv")
+    p = {r.file_id: r for r in plan(f).collect()}
+    assert [p[i].dest_name for i in range(3)] == ["The Matrix (1999)_1.mkv", "The Matrix (1999).mkv", "The Matrix (1999)_2.mkv"] and p[1].status == "unchanged"
 
 
 def test_media(spark):
     js = '{"streams":[{"codec_type":"video","codec_name":"hevc","height":1072,"color_transfer":"smpte2084","bit_rate":"4500999"},{"codec_type":"audio","codec_name":"aac","channels":2,"tags":{"language":"jpn"}},{"codec_type":"audio","codec_name":"dts","channels":6}],"format":{"tags":{"show_name":" A show ","season":"x","season_number":"3","episode":"12"}}}'
     df = spark.createDataFrame([(js,), ("nope",)], "j string").select(media.probe(F.col("j")).alias("p"))
     r = df.select(media.file_info(F.col("p")).alias("i"), media.tag_values(F.col("p.format.tags")).alias("t")).first()
-    assert (r.i.video.codec, r.i.video.resolution, r.i.video.hdr, r.i.video.bitrate, r.i.audio, r.i.channels, r.i.audio_lang) == ("HEVC", 1080, "HDR10", 4500, "AAC", 6, "jpn,und")
+    assert (r.i.video.codec, r.i.video.resolution, r.i.video.hdr, r.i.video.bitrate, r.i.audio, r.i.channels, r.i.audio_lang) == ("HEVC", 1080, "HDR10", 4500, "AAC", 6, "jpn")
     assert (r.t.show_name, r.t.season, r.t.episode, r.t.ep_title) == ("A show", 3, 12, None)
 
 
@@ -83,7 +111,7 @@ def test_catalogs(spark):
 
 
 def test_wikitext(spark):
-    text = "==Season 2==\n{{Episode list\n|EpisodeNumber=13\n|EpisodeNumber2=1\n|Title=[[A|The ''First'']]&amp; more<ref>x</ref>\n}}\n{{Episode list\n|EpisodeNumber=14\n|EpisodeNumber2=2\n|RTitle=\"Second\"\n}}\n==OVA==\n{{Episode list/sublist|P\n|EpisodeNumber=1\n|Title=Extra\n}}"
+    text = "==Season 2==\n{{Episode list\n|EpisodeNumber=13\n|EpisodeNumber2=1\n|Title=[[A|The ''First'']]&amp; more<ref>x</ref>\n}}\n{{Episode list\n|EpisodeNumber=14\n|EpisodeNumber2=2\n|Title=\"Second\"\n}}\n==OVA==\n{{Episode list/sublist\n|EpisodeNumber=1\n|Title=Extra\n}}"
     pages = spark.createDataFrame([("Show", text)], "page string, text string")
     assert [(r.season, r.number, r.title) for r in wikitext.episodes(pages).orderBy("ord").collect()] == [(2, 1, "The First& more"), (2, 2, "Second"), (0, 1, "Extra")]
     y = spark.createDataFrame([("S", "a", "|first_aired = {{Start date|2020|1}}"), ("S", "b", "|released=2018")], "title string, page string, text string")
@@ -103,6 +131,50 @@ def test_scan_and_sink(spark, tmp_path):
     assert done[0].dest_name == "New_1.mkv" and (tmp_path / "New_1.mkv").exists() and not (tmp_path / "movie.mkv").exists() and done[1].status == "error"
 
 
+def test_renames_without_links(tmp_path, monkeypatch):
+    def no_link(*a, **k):
+        raise OSError(1, "not permitted")
+
+    (tmp_path / "a.mkv").write_bytes(b"A")
+    (tmp_path / "b.mkv").write_bytes(b"B")
+    monkeypatch.setattr(sink.os, "link", no_link)
+    sink.rename_no_clobber(str(tmp_path / "a.mkv"), str(tmp_path / "c.mkv"))
+    assert (tmp_path / "c.mkv").read_bytes() == b"A" and not (tmp_path / "a.mkv").exists()
+    with pytest.raises(FileExistsError):
+        sink.rename_no_clobber(str(tmp_path / "b.mkv"), str(tmp_path / "c.mkv"))
+    monkeypatch.setattr(sink.ctypes, "CDLL", lambda *a, **k: object())
+    with pytest.raises(OSError):
+        sink.rename_no_clobber(str(tmp_path / "b.mkv"), str(tmp_path / "d.mkv"))
+    assert (tmp_path / "b.mkv").read_bytes() == b"B" and (tmp_path / "c.mkv").read_bytes() == b"A" and not (tmp_path / "d.mkv").exists()
+
+
+def test_directory(spark, tmp_path, capsys):
+    for n in ("Show.S01E02.The.Pilot.1080p.mkv", "The.Matrix.1999.mkv", "sub/The.Matrix.1999.mp4", "note.txt"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    done, counts = process_directory(spark, str(tmp_path), dry_run=True)
+    assert counts == (3, 3, 0) and (tmp_path / "The.Matrix.1999.mkv").exists()
+    assert main(["-d", str(tmp_path)], spark) == 0 and "3 of 3 files renamed" in capsys.readouterr().out
+    assert sorted(os.path.relpath(p, tmp_path) for p in tmp_path.rglob("*.m*")) == ["01.02. The Pilot.mkv", "The Matrix (1999).mkv", "sub/The Matrix (1999).mp4"]
+    assert (tmp_path / "The Matrix (1999).mkv").read_bytes() == b"The.Matrix.1999.mkv"
+    assert main(["-d", str(tmp_path / "nowhere")], spark) == 1 and main(["-d", str(tmp_path), "-n"], spark) == 0
+
+
+def test_probe(spark, tmp_path):
+    (tmp_path / "ok").write_text('{"streams":[]}')
+    (tmp_path / "bad").write_text("{")
+    f = files(spark, *(str(tmp_path / n) for n in ("ok", "bad", "gone")))
+    assert [r.json for r in probe.probe_files(f, ("cat",)).orderBy("file_id").collect()] == ['{"streams":[]}', None, None]
+
+
+def test_identity(spark):
+    f = files(spark, "/a/Dark - S01E01-33.mkv", "/a/Show.S01E01.5.1.mkv", "/a/Some Film.mkv", "/a/x [OVA].mkv", "/a/Show.S01E01-02.mkv", "", "/a/Show - 05.mkv")
+    i = [r.identity for r in evidence.identity(evidence.parsed(f)).orderBy("file_id").collect()]
+    assert [x.media_type for x in i] == ["series_episode", "series_episode", "movie", "series_episode", "series_episode", "unknown", "series_episode"]
+    assert [x.status for x in i] == ["ambiguous", "identified", "identified", "identified", "identified", "unresolved", "identified"]
+    assert i[4].episodes == [1, 2] and i[4].is_multi_episode.value and i[2].is_multi_episode is None and i[6].season.confidence == 0.7
+
+
 def test_cache(spark, tmp_path):
     path, calls = str(tmp_path / "c"), []
 

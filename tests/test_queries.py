@@ -38,17 +38,6 @@ def test_query(spark, duck, name):
     assert sorted(([normal(r[c]) for c in cols] for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", ["title_fuzzy_cluster", "wikitext_parse"])
-def test_without_sql(spark, name):
-    rows = entry.queries()[name](spark, DATA).collect()
-    parts = spark.read.parquet(f"{DATA}/part.parquet")
-    assert len(rows) == parts.count()
-    if name == "title_fuzzy_cluster":
-        assert {r.voters for r in rows} == {2} and {r.decision for r in rows} == {"accept"}
-    else:
-        assert {(r.page, r.season) for r in rows} == {(r.p_brand, r.p_size % 5 + 1) for r in parts.collect()} and all(r.title.endswith("&") for r in rows)
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["season", "resolution", "n"] and df.count() > 0
