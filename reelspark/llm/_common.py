@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that one bucket of a distributed rank holds on average.
 BUCKET_ROWS = 2048
@@ -63,6 +65,27 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         _remove(spark, f.rsplit("/", 1)[0])
 
 
+def open_store(path: str, mode: str):
+    """A stream at a URI of any store that pyarrow knows; local files are memory-mapped for reading."""
+    from pyarrow import fs
+
+    uri = path if ":" in path.split("/")[0] else f"file://{path}"
+    for name in ("s3a:", "s3n:"):  # Hadoop's names of a store that pyarrow calls s3
+        uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
+    store, at = fs.FileSystem.from_uri(uri)
+    if mode == "w":
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        return store.open_output_stream(at)
+    return pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)
+
+
+def map_rows(df: DataFrame, run, more: str) -> DataFrame:
+    """``df.mapInArrow(run)``, which keeps the columns of ``df``, whatever their names, and adds those of the DDL ``more``."""
+    plain = df.toDF(*[c if re.fullmatch(r"\w+", c) else f"__odd_{i}" for i, c in enumerate(df.columns)])
+    new = StructType.fromDDL(more).fields
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *new])).toDF(*df.columns, *[f.name for f in new])
+
+
 def group_key(c: Column) -> Column:
     """Null and every value as a string that is never null, so that groups can be joined on."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_chunks
+from ._common import map_rows, text_chunks
 
 #: Labelled rows of each language that are counted at most (about), and one in so many is held back for calibration.
 SAMPLE, HELD = 4000, 10
@@ -235,8 +235,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     sequences foreign to all models go, other languages in the same letters too, while short, mixed and unusual texts
     of the learnt languages stay. A foreign text of a few characters can't be told from those.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(partial(_predict, models=models), f"{schema}, __lang_pred string, __score double, __rejected boolean")
+    return map_rows(docs, partial(_predict, models=models), "__lang_pred string, __score double, __rejected boolean")
 
 
 def fold(doc_id: str = "doc_id"):

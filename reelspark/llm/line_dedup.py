@@ -1,38 +1,43 @@
 r"""Removal of lines that repeat across documents.
 
-Two Bloom filters tell lines that were seen once from lines that were seen twice. Every partition sends the 64-bit
-hashes of its lines' keys, each at most twice, to the key segment that the hash falls in; a segment's builder inserts
-them into its once-seen filter and notes those that were there already in the twice-seen filter. Only the twice-seen
-filters travel on, after a check of their size: a line whose key isn't in them is unique and never moves. Suspected
-repeats are shuffled as 128-bit digests with their document, counted exactly, and the document that keeps a line is
-chosen; what Bloom filters or 64-bit hashes suspect wrongly ends there. Were the filters ever larger than
-``max_filter_bytes``, all lines would go to the exact count.
-
-A key found in a third of all documents is one row a partition on the way to its builder, and one row a partition
+Two Bloom filters tell keys of lines that were seen once from those that were seen twice. Both are cut into segments by
+the key's hash and built where the lines are: a partition sets, for each segment, the bits of the keys it has seen (once)
+and of those it has seen in two documents (twice). What travels is the set bits, sorted and compressed, never a line or
+its hash. A segment's filters are merged bit by bit: what two partitions have both seen once was seen twice. The merged
+twice-seen filters are written to the shared folder, and every task holds its keys against them segment by segment, so
+a task has a few filters in memory, however many there are.
+
+A line whose key isn't in the twice-seen filter is unique and never moves. Suspected repeats are shuffled as 128-bit
+digests with their document, counted exactly, and the document that keeps a line is chosen; what filters suspect
+wrongly ends there. A key found in a third of all documents is one set of bits a partition, and one row a partition
 after the partial count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_chunks, written
+from ._common import map_rows, new_path, open_store, text_chunks, written
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Bits for each key, and positions set for each.
 BITS, PROBES = 12, 6
-#: The twice-seen filters are sent to all executors up to this size.
-MAX_FILTER_BYTES = 64 << 20
-#: Documents for each key segment, about.
-SEGMENT_DOCS = 20_000
+#: Bits of a segment at most, and segments at least.
+SEGMENT_BITS, SEGMENTS = 1 << 25, 16
+#: Bytes of text for each key, about: where lines are shorter, more of them are suspected wrongly.
+KEY_BYTES = 40
+#: Keys that a task collects before it sets their bits, and filters that a worker remembers.
+HELD, REMEMBERED = 500_000, 24
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -41,92 +46,115 @@ def line_key(line: str, least: int) -> bytes | None:
     return line.encode().lower() if len(line) >= least else None
 
 
-class Bloom:
-    """A Bloom filter over 64-bit hashes."""
+class Shape:
+    """How keys fall into segments and bits."""
 
-    def __init__(self, keys: int = 0, bits: bytes | None = None):
-        self.bits = np.frombuffer(bits, np.uint8).copy() if bits is not None else np.zeros(max(64, -(-keys * BITS // 8)), np.uint8)
+    def __init__(self, text_bytes: int):
+        keys = max(1, text_bytes // KEY_BYTES)
+        self.segments = max(SEGMENTS, -(-keys * BITS // SEGMENT_BITS))
+        self.bits = max(512, -(-keys * BITS // self.segments // 8) * 8)
 
-    def _at(self, h: np.ndarray) -> np.ndarray:
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(40)) % np.uint64(self.segments)).astype(np.int64)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The bits of each key, a row a key."""
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return (h[:, None] + np.arange(1, PROBES + 1, dtype=np.uint64) * step[:, None]) % np.uint64(8 * len(self.bits))
+        return ((h[:, None] + np.arange(1, PROBES + 1, dtype=np.uint64) * step[:, None]) % np.uint64(self.bits)).astype(np.uint32)
 
-    def add(self, h: np.ndarray) -> None:
-        p = self._at(h)
-        np.bitwise_or.at(self.bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        p = self._at(h)
-        return ((self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+def squeezed(places: np.ndarray) -> bytes:
+    """Sorted distinct bits, compressed."""
+    return zstandard.compress(np.diff(np.unique(places), prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch], segments: int, least: int) -> Iterator[pa.RecordBatch]:
-    """A partition's key hashes by segment, each at most twice."""
+def restored(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype=np.int64)
 
-    def flush(held: list[int]) -> pa.RecordBatch:
-        u, c = np.unique(np.array(held, np.uint64), return_counts=True)
-        h = np.repeat(u, np.minimum(c, 2))
-        seg = (h >> np.uint64(40)) % np.uint64(segments)
-        order = np.argsort(seg, kind="stable")
-        h, seg = h[order], seg[order]
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        parts = np.split(h, cuts)
-        return pa.RecordBatch.from_pydict({"segment": pa.array([int(s) for s in seg[np.r_[0, cuts]]], pa.int64()), "hashes": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+def _filters(batches: Iterator[pa.RecordBatch], shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
+    """A partition's filters: (segment, bits seen once, bits seen twice)."""
+
+    def built(held: list[int]) -> pa.RecordBatch:
+        h, n = np.unique(np.array(held, np.uint64), return_counts=True)
+        order = np.argsort(shape.segment(h), kind="stable")
+        h, n = h[order], n[order]
+        seg = shape.segment(h)
+        first = np.flatnonzero(np.diff(seg, prepend=-1))
+        parts = [(x, y) for x, y in zip(np.split(h, first[1:]), np.split(n, first[1:]), strict=True)]
+        return pa.RecordBatch.from_pydict({
+            "segment": pa.array(seg[first], pa.int64()), "once": pa.array([squeezed(shape.places(x)) for x, _ in parts], pa.binary()),
+            "twice": pa.array([squeezed(shape.places(x[y > 1])) for x, y in parts], pa.binary()),
+        })
 
     held: list[int] = []
     for _, texts in text_chunks(batches, "text"):
         for text in texts:
             keys = {line_key(x, least) for x in (text or "").split("\n")}
             held.extend(xxhash.xxh3_64_intdigest(k) for k in keys if k is not None)
-        if len(held) > 500_000:
-            yield flush(held)
+        if len(held) > HELD:
+            yield built(held)
             held = []
     if held:
-        yield flush(held)
+        yield built(held)
+
+
+def merged(pieces: list[tuple[bytes, bytes]], bits: int) -> np.ndarray:
+    """The twice-seen filter of a segment, a flag a bit: seen twice by a partition, or once by two."""
+    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    for a, b in pieces:
+        new = restored(a)
+        twice[new[once[new]]] = True
+        once[new] = True
+        twice[restored(b)] = True
+    return twice
+
 
+def _merge(table: pa.Table, root: str, bits: int) -> pa.Table:
+    """Writes the segment's twice-seen filter. Files of lost attempts are in no manifest and are never read."""
+    twice = merged(list(zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True)), bits)
+    path = f"{root}/{table.column('segment')[0].as_py()}-{uuid.uuid4().hex}" if twice.any() else ""
+    if path:
+        with open_store(path, "w") as out:
+            out.write(zstandard.compress(np.packbits(twice).tobytes(), 1))
+    return pa.table({"segment": table.column("segment").slice(0, 1), "path": pa.array([path], pa.string())})
 
-def _build(table: pa.Table) -> pa.Table:
-    """The twice-seen filter of a segment. Its size follows the number of keys that were seen twice."""
-    parts = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-    once, again = Bloom(sum(map(len, parts))), []
-    for h in parts:
-        u, c = np.unique(h, return_counts=True)
-        seen = once.has(u) | (c > 1)
-        again.append(u[seen])
-        once.add(u)
-    keys = np.unique(np.concatenate(again))
-    twice = Bloom(len(keys))
-    twice.add(keys)
-    return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([twice.bits.tobytes() if len(keys) else b""], pa.binary())})
 
+@lru_cache(maxsize=REMEMBERED)
+def _filter(path: str) -> np.ndarray:
+    with open_store(path, "r") as source:
+        return np.frombuffer(zstandard.decompress(source.read()), np.uint8)
 
-def _suspects(batches: Iterator[pa.RecordBatch], filters, segments: int, least: int) -> Iterator[pa.RecordBatch]:
+
+def _suspects(batches: Iterator[pa.RecordBatch], files: dict[int, str], shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
     """(digest, doc_id) of each key of a document that may repeat."""
-    blooms = {s: Bloom(bits=b) for s, b in filters.value.items() if b} if filters else None
+
+    def found(docs: list[int], keys: list[bytes]) -> pa.RecordBatch:
+        h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+        seg, keep = shape.segment(h), np.zeros(len(h), bool)
+        order = np.argsort(seg, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
+            if path := files.get(int(seg[at[0]])):
+                places = shape.places(h[at])
+                keep[at] = ((_filter(path)[places >> np.uint32(3)] >> (np.uint8(7) - (places & np.uint32(7)).astype(np.uint8))) & 1).all(axis=1)
+        at = np.flatnonzero(keep)
+        return pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in at], pa.binary()), "doc_id": pa.array([docs[i] for i in at], pa.int64())})
+
+    docs, keys = [], []
     for chunk, texts in text_chunks(batches, "text"):
-        docs, keys = [], []
         for doc, text in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
             new = {line_key(x, least) for x in text.split("\n")}
             new.discard(None)
             keys.extend(new)
             docs.extend([doc] * len(new))
-        if not keys:
-            continue
-        if blooms is not None:
-            h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            seg = (h >> np.uint64(40)) % np.uint64(segments)
-            keep = np.zeros(len(h), bool)
-            for s in np.unique(seg):
-                if (b := blooms.get(int(s))) is not None:
-                    at = np.flatnonzero(seg == s)
-                    keep[at] = b.has(h[at])
-            at = np.flatnonzero(keep)
-        else:
-            at = range(len(keys))
-        yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in at], pa.binary()), "doc_id": pa.array([docs[i] for i in at], pa.int64())})
-
-
-def repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+        if len(keys) > HELD // 8:
+            yield found(docs, keys)
+            docs, keys = [], []
+    if keys:
+        yield found(docs, keys)
+
+
+def repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> DataFrame:
     """``doc_id, drop``: for each document that loses lines, the digests of those lines' keys.
 
     A key of at least ``least`` code points found in ``min_docs`` (2 or more) different documents stays in the
@@ -136,13 +164,15 @@ def repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3, max_f
         raise ValueError("min_docs must be 2 or more")
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    segments = 1 << max(4, (docs.count() // SEGMENT_DOCS).bit_length())
-    hashed = d.select("text").mapInArrow(partial(_hashes, segments=segments, least=least), "segment long, hashes binary")
-    built = written(hashed.groupBy("segment").applyInArrow(_build, "segment long, bits binary"), "line-filters")
-    size = built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    filters = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in built.collect()}) if size <= max_filter_bytes else None
-    found = d.mapInArrow(partial(_suspects, filters=filters, segments=segments, least=least), "digest binary, doc_id long")
-    found = written(found, "line-suspects").distinct()
+    shape = Shape(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    pieces = d.select("text").mapInArrow(partial(_filters, shape=shape, least=least), "segment long, once binary, twice binary")
+    root = new_path(spark, "line-filters")
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _merge(table, root, shape.bits)
+
+    files = {r.segment: r.path for r in pieces.groupBy("segment").applyInArrow(merge, "segment long, path string").filter("path <> ''").collect()}  # a row a segment
+    found = written(d.mapInArrow(partial(_suspects, files=files, shape=shape, least=least), "digest binary, doc_id long"), "line-suspects").distinct()
     kept = found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     lost = found.join(kept.select("digest", "keeper"), "digest").filter("doc_id <> keeper")
     return written(lost.groupBy("doc_id").agg(F.collect_list("digest").alias("drop")), "lines-lost")
@@ -158,13 +188,11 @@ def _apply(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 left = [x for x in lines if (k := line_key(x, least)) is None or hashlib.blake2b(k, digest_size=16).digest() not in gone]
                 dropped[i], text = len(lines) - len(left), "\n".join(left)
             out.append(text)
-        cols = dict(zip(chunk.schema.names, chunk.columns, strict=True))
-        del cols["__drop"]
-        cols |= {"text": pa.array(out, pa.string()), "__dropped": pa.array(dropped)}
+        cols = dict(zip(chunk.schema.names, chunk.columns, strict=True)) | {"text": pa.array(out, pa.string()), "__dropped": pa.array(dropped)}
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def drop_repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> DataFrame:
     r"""``docs`` without the lines that repeat (see ``repeated_lines``), and ``__dropped``: how many a row has lost.
 
     Texts are split at ``\n`` and joined again; a text that loses nothing, null or empty ones included, stays as it
@@ -172,11 +200,10 @@ def drop_repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3,
     reserved; others pass through. The documents meet their list of lost lines by doc_id: Spark broadcasts the lists
     where they are small and shuffles otherwise.
     """
-    lost = repeated_lines(docs, least=least, min_docs=min_docs, max_filter_bytes=max_filter_bytes)
+    lost = repeated_lines(docs, least=least, min_docs=min_docs)
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
     joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(partial(_apply, least=least), f"{schema}, __dropped long")
+    return map_rows(joined, partial(_apply, least=least), "__dropped long").drop("__drop")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_chunks
+from ._common import map_rows, text_chunks
 from ._text import SPACE, prefix, runs, span_hash, windows
 
 #: Hashed features, words in the upper half.
@@ -177,8 +177,7 @@ def score_quality(docs: DataFrame, model: Linear | None, threshold: float = THRE
     Null texts count as empty and fail the base rules. Without a model (no labelled rows of both classes) the base
     rules alone decide.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(partial(_score, model=model, threshold=threshold), f"{schema}, " + ", ".join(f"__{x}" for x in OUT.split(", ")))
+    return map_rows(docs, partial(_score, model=model, threshold=threshold), ", ".join(f"__{x}" for x in OUT.split(", ")))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -24,27 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, text_chunks, written
+from ._common import new_path, open_store, text_chunks, written
 from ._tokens import encoder
 
 MANIFEST = "part long, tokens_path string, docs_path string, docs long, tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _open(path: str, mode: str):
-    """A stream at a URI of any store that pyarrow knows; local files are memory-mapped for reading."""
-    from pyarrow import fs
-
-    uri = path if ":" in path.split("/")[0] else f"file://{path}"
-    for name in ("s3a:", "s3n:"):  # Hadoop's names of a store that pyarrow calls s3
-        uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
-    store, at = fs.FileSystem.from_uri(uri)
-    if mode == "w":
-        store.create_dir(at.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(at)
-    return pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)
-
-
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -54,7 +40,7 @@ class Writer:
 
     def __init__(self, path: str, dtype: np.dtype, length: int, rows: int):
         self.schema, self.dtype, self.length, self.rows = _schema(dtype, length), dtype, length, rows
-        self.sink = _open(path, "w")
+        self.sink = open_store(path, "w")
         self.out = pa.ipc.new_stream(self.sink, self.schema)
         self.held, self.size = [], 0
 
@@ -90,7 +76,7 @@ class TokenFile:
     """Random access to the sequences of one token file: ``f[i]`` gives views of the i-th ids and their mask."""
 
     def __init__(self, path: str):
-        self.source = _open(path, "r")
+        self.source = open_store(path, "r")
         self.batches = list(pa.ipc.open_stream(self.source))
         self.rows = len(self.batches[0]) if self.batches else 1
 
@@ -113,7 +99,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id:
     docs = 0
     for chunk, texts in text_chunks(batches, "text"):
         if out is None:
-            out, sink = Writer(tokens, enc.dtype, length, rows), _open(at, "w")
+            out, sink = Writer(tokens, enc.dtype, length, rows), open_store(at, "w")
             index = pa.ipc.new_stream(sink, DOCS)
         counts = np.empty(len(texts), np.int64)
         for k, ids in enumerate(enc.encode_all(texts)):
@@ -146,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, length: i
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for manifest in batches:
         for f in manifest.to_pylist():
-            with _open(f["tokens_path"], "r") as source, _open(f["docs_path"], "r") as listed:
+            with open_store(f["tokens_path"], "r") as source, open_store(f["docs_path"], "r") as listed:
                 seqs = iter(pa.ipc.open_stream(source))
                 now, used = np.empty(0, np.uint32), 0
                 for docs in pa.ipc.open_stream(listed):

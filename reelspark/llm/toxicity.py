@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_chunks
+from ._common import map_rows, text_chunks
 from ._text import mix, prefix, runs, span_hash
 from .quality import labelled_sample, platt
 
@@ -206,8 +206,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Machine | None) -> Iterator
 def score_toxicity(docs: DataFrame, model: Machine | None) -> DataFrame:
     """``docs`` with ``__score``, the probability of being toxic. Null and empty texts have no terms and score by the
     bias alone; without a model all scores are 0."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(partial(_score, model=model), f"{schema}, __score double")
+    return map_rows(docs, partial(_score, model=model), "__score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -162,8 +162,7 @@ def test_best_fit(lengths):
     assert sorted(10 - x for x in used.values()) == sorted(room)
 
 
-@pytest.mark.parametrize("most", [line_dedup.MAX_FILTER_BYTES, 0])
-def test_line_dedup(docs, none, most):
+def test_line_dedup(docs, none):
     seen = defaultdict(set)
     keys = lambda t: [(x, line_dedup.line_key(x, 20)) for x in (t or "").split("\n")]
     data = docs.collect()
@@ -179,14 +178,27 @@ def test_line_dedup(docs, none, most):
         lines = keys(r.text)
         left = [x for x, k in lines if r.doc_id is None or k not in repeated or repeated[k] == r.doc_id]
         want[r.doc_id, "\n".join(left) if r.text is not None else None, len(lines) - len(left)] += 1
-    out = line_dedup.drop_repeated_lines(docs, max_filter_bytes=most)
+    out = line_dedup.drop_repeated_lines(docs)
     assert Counter((r.doc_id, r.text, r["__dropped"]) for r in out.collect()) == want
     assert out.columns == [*docs.columns, "__dropped"]
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
-def test_bloom_has_no_false_negatives():
-    h = np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64)
-    b = line_dedup.Bloom(5000)
-    b.add(h)
-    assert b.has(h).all() and b.has(h + np.uint64(1)).mean() < 0.02
+def test_merged_filters():
+    """Keys of two partitions, or twice in one, are in the merged filter; few others are."""
+    shape = line_dedup.Shape(60_000 * line_dedup.KEY_BYTES)
+    h = np.random.default_rng(0).integers(0, 1 << 63, 60_000).astype(np.uint64)
+    h = h[shape.segment(h) == 3]
+    n = len(h) // 5
+    once = [h[: 2 * n], h[n : 3 * n], h[3 * n : 4 * n], h[4 * n :]]
+    twice = [h[:0], h[:0], h[3 * n : 3 * n + 50], h[:0]]
+    f = line_dedup.merged([(line_dedup.squeezed(shape.places(a)), line_dedup.squeezed(shape.places(b))) for a, b in zip(once, twice)], shape.bits)
+    hit = f[shape.places(h)].all(axis=1)
+    assert hit[n : 2 * n].all() and hit[3 * n : 3 * n + 50].all() and hit[:n].mean() < 0.02 and hit[3 * n + 50 :].mean() < 0.02
+
+
+def test_line_dedup_columns_of_any_name(spark):
+    rows = [(i, "x" * 30 + "\nown", 1.5, "b") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, `a``b` double, `digest` string")
+    out = line_dedup.drop_repeated_lines(d, min_docs=2)
+    assert out.columns == [*d.columns, "__dropped"] and sorted((r.doc_id, r.text) for r in out.collect()) == [(0, "own"), (1, "own"), (2, "own"), (3, "x" * 30 + "\nown")]
