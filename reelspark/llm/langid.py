@@ -1,13 +1,13 @@
 """Language identification by character language models.
 
 For each language an interpolated Kneser-Ney model over four characters is counted from a bounded sample of its
-labelled rows. Its probabilities are stored in sorted arrays of n-gram keys, one row a key and one column a language,
-with the backed-off probability where a language never saw the key, so one search scores a position for all
+labelled rows. Its probabilities are stored in sorted arrays of hashed n-grams, one row an n-gram and one column a
+language, with the backed-off probability where a language never saw the n-gram, so one search scores a position for all
 languages. The language with the lowest cross-entropy per character is chosen; rows held back from the counts turn
 the cross-entropies into a score and set the limits above which a text is rejected as no known language.
 
-Texts are lower-cased; what isn't a letter is a word boundary. Four 16-bit characters make a 64-bit key, mixed
-bijectively; characters beyond the basic plane share one code.
+Texts are lower-cased; what isn't a letter is a word boundary. Four 16-bit characters make a 64-bit key; its hash is a
+bijection, so no two n-grams share one. Letters beyond the basic plane are dealt to the 2048 codes that no character has.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_rows, text_chunks
+from ._text import mix
 
 #: Labelled rows of each language that are counted at most (about), and one in so many is held back for calibration.
 SAMPLE, HELD = 4000, 10
@@ -43,7 +44,7 @@ def characters(text: str) -> np.ndarray:
     ok = letters()[cp]
     if not ok.any():
         return np.empty(0, np.uint64)
-    c = np.where(ok, np.minimum(cp, 0xFFFF), 32).astype(np.uint64)
+    c = np.where(ok, np.where(cp > 0xFFFF, 0xD800 + cp % 2048, cp), 32).astype(np.uint64)
     keep = np.ones(len(c), bool)
     keep[1:] = ok[1:] | ok[:-1]
     c = c[keep]
@@ -56,16 +57,18 @@ def grams(c: np.ndarray) -> np.ndarray:
     return (p[:-3] << np.uint64(48)) | (p[1:-2] << np.uint64(32)) | (p[2:-1] << B) | p[3:]
 
 
-@dataclass
 class Table:
-    """Log-probabilities by sorted key; for each key all languages."""
+    """Log-probabilities by sorted hash of the n-gram; for each n-gram all languages."""
 
-    keys: np.ndarray
-    values: np.ndarray
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashes = mix(keys)
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        hashes = mix(keys)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
 
 def stray(n: np.ndarray) -> np.ndarray:
@@ -107,7 +110,11 @@ class Models:
         return -np.add.reduceat(lp, starts, axis=0, dtype=np.float64) / np.array([[len(k)] for k in keys])
 
     def calibrate(self, h: np.ndarray, n: np.ndarray) -> None:
-        """Each language's limit, from texts held back: their cross-entropies and numbers of characters."""
+        """Each language's limit, from texts held back: their cross-entropies and numbers of characters. A language that
+        none of them is nearest to gets the largest of the others; without any, nothing is rejected."""
+        if not len(h):
+            self.limits = np.full(len(self.languages), np.inf)
+            return
         best, x = h.argmin(axis=1), h.min(axis=1) - stray(n)
         found = [np.quantile(x[best == i], QUANTILE) + MARGIN if np.any(best == i) else np.nan for i in range(len(self.languages))]
         self.limits = np.where(np.isnan(found), np.nanmax(found), found)
@@ -116,6 +123,15 @@ class Models:
         """Whether the lowest cross-entropy of texts of ``n`` characters is above its language's limit."""
         return h.min(axis=1) > self.limits[h.argmin(axis=1)] + stray(n)
 
+    def sharpen(self, h: np.ndarray, y: np.ndarray) -> None:
+        """The sharpness that explains the languages of texts held back, with a weak pull to the one it has, which
+        decides where there are few of them."""
+        prior, best = np.log(self.sharpness), []
+        for s in np.geomspace(0.5, 200, 40):
+            self.sharpness = float(s)
+            best.append(((np.log(s) - prior) ** 2 - np.sum(np.log(self.posterior(h)[np.arange(len(y)), y] + 1e-9)), s))
+        self.sharpness = float(min(best)[1])
+
     def posterior(self, h: np.ndarray) -> np.ndarray:
         z = -self.sharpness * (h - h.min(axis=1, keepdims=True))
         p = np.exp(z)
@@ -199,16 +215,9 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
     models = kneser_ney(np.array([number[x] for x in names]), counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy(), languages)
     held = d.filter("held").select("lang", "text").mapInArrow(partial(_entropies, models=models), "lang string, h array<double>, n long").filter("h is not null").collect()
     held = [r for r in held if r.lang in number]
-    models.limits = np.full(len(languages), -0.75 * models.floor)  # without a row to calibrate on
-    if held:
-        models.calibrate(np.array([r.h for r in held]), np.array([r.n for r in held]))
-    if len(held) >= 20:
-        h, y = np.array([r.h for r in held]), np.array([number[r.lang] for r in held])
-        best = []
-        for s in np.geomspace(0.5, 200, 40):
-            models.sharpness = float(s)
-            best.append((-np.mean(np.log(models.posterior(h)[np.arange(len(y)), y] + 1e-9)), s))
-        models.sharpness = float(min(best)[1])
+    h, y = np.array([r.h for r in held], float).reshape(-1, len(languages)), np.array([number[r.lang] for r in held], np.int64)
+    models.calibrate(h, np.array([r.n for r in held]))
+    models.sharpen(h, y)
     return models
 
 
@@ -227,7 +236,9 @@ def _predict(batches: Iterator[pa.RecordBatch], models: Models | None) -> Iterat
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
-    """``docs`` with ``__lang_pred``, ``__score`` (0 to 1) and ``__rejected`` (columns with two underscores are reserved).
+    """``docs`` with ``__lang_pred``, ``__score`` (0 to 1) and ``__rejected`` (columns with two underscores are reserved;
+    others pass through). Repeated rows get equal results, a row each; an empty table gives an empty table; texts of any
+    length are scored whole.
 
     A text that is null or has no letter is ``und``, with score 0, and rejected; so is all text without models. Any
     other text gets a learnt language; it is rejected if its model's cross-entropy is above that

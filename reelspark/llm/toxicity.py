@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import map_rows, text_chunks
 from ._text import mix, prefix, runs, span_hash
-from .quality import labelled_sample, platt
+from .quality import held_back, labelled_sample, platt
 
 DIMS = 1 << 20
 #: Labelled rows of each class that the machine is fitted on at most.
@@ -72,7 +72,7 @@ def terms(text: str) -> np.ndarray:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk, texts in text_chunks(batches, "text"):
         found = [terms(t or "").astype("<u4").tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("fold"), pa.array(found, pa.binary())], names=["label", "fold", "terms"])
+        yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("tie"), pa.array(found, pa.binary())], names=["label", "tie", "terms"])
 
 
 def _shares(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -150,14 +150,13 @@ def select_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def fit_machine(rows: list, rounds: int = 200, seed: int = 5) -> Machine | None:
-    """None without both classes."""
+    """None without both classes. rows: ``label, tie, terms``."""
+    rows = sorted(rows, key=lambda r: (r.tie, r.label))
     y = np.array([r.label for r in rows], float)
     if len(set(y)) < 2:
         return None
     rows_terms = [np.frombuffer(r.terms, "<u4").astype(np.int64) for r in rows]
-    held = np.array([r.fold == 0 for r in rows])
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
+    held = held_back(y)
     slots = select_terms([t for t, h in zip(rows_terms, held, strict=True) if not h], y[~held])
     if not len(slots):
         return Machine(slots, float(np.log(np.mean(y) / np.mean(1 - y))), np.empty(0), np.empty((0, FACTORS)))
@@ -186,13 +185,13 @@ def fit_machine(rows: list, rounds: int = 200, seed: int = 5) -> Machine | None:
     model = Machine(slots, b, w, v)
     xv = x @ v
     logit = (b + x @ w + 0.5 * (xv**2 - x @ (v * v)).sum(axis=1))[which]
-    model.scale = platt(logit[held] if held.any() else logit, y[held] if held.any() else y)
+    model.scale = platt(logit[held], y[held])
     return model
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, only=None) -> Machine | None:
     sample = labelled_sample(docs, labels, "toxic", per_class, only)
-    return fit_machine(sample.mapInArrow(_terms, "label int, fold int, terms binary").collect())
+    return fit_machine(sample.mapInArrow(_terms, "label int, tie long, terms binary").collect())
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Machine | None) -> Iterator[pa.RecordBatch]:
@@ -205,7 +204,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Machine | None) -> Iterator
 
 def score_toxicity(docs: DataFrame, model: Machine | None) -> DataFrame:
     """``docs`` with ``__score``, the probability of being toxic. Null and empty texts have no terms and score by the
-    bias alone; without a model all scores are 0."""
+    bias alone; without a model all scores are 0. Repeated rows get equal scores, a row each; an empty table gives an
+    empty table; texts of any length are read whole; all other columns pass through (two underscores are reserved)."""
     return map_rows(docs, partial(_score, model=model), "__score double")
 
 
