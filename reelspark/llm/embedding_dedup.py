@@ -3,10 +3,14 @@
 Cosine at least ``least`` is a Euclidean distance of at most eps = sqrt(2 - 2 least) between unit vectors. Pivots (a
 bounded sample of each large label) split a label into cells, each vector being at home with its nearest pivot p. By
 the triangle inequality a vector y can only have a partner at home with pivot q if y lies within eps of the boundary
-between its own cell and q's: (|yq|^2 - |yp|^2) / (2 |pq|) <= eps. There y is replicated, and cells join
+between its nearest pivot's cell and q's: (|yq|^2 - |yp|^2) / (2 |pq|) <= eps. There y is replicated, and cells join
 independently: each finds all partners of the vectors at home in it. Large cells are joined in blocks of bounded size,
 each block pair by itself.
 
+The pivots form a tree of two levels: a label is split by some of them, and each part by those that lie in it. A vector
+goes down to its own cell and, by the same bound on each level, to all cells where it may have partners; so the
+distances to a few hundred pivots place it among tens of thousands of cells.
+
 Equal vectors are one point with a count from the start. A block pair returns the number of partners of each vector
 and a spanning forest of its links, so a dense group gives rows in proportion to its size; components are contracted
 from the forests. In data without structure (independent directions in many dimensions) nearly every vector is within
@@ -15,19 +19,24 @@ eps of every boundary, by any metric; the join is then all pairs, in blocks, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import group_key, written
 from .components import connected_components
 
-#: Points at home in a cell, about; pivots of all labels together; points of a block.
-CELL, MAX_PIVOTS, BLOCK = 2000, 8192, 4096
+#: Points at home in a cell, about; pivots of all labels together, and their bytes; points of a block.
+CELL, MAX_PIVOTS, PIVOT_BYTES, BLOCK = 2000, 1 << 16, 32 << 20, 4096
+#: Distances that are held at a time.
+DISTANCES = 1 << 21
 #: Added to eps, so that rounding never loses a replica. Links themselves are decided by the cosine.
 SLACK = 1e-6
 
@@ -37,9 +46,51 @@ def _units(lists: pa.ListArray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[str, np.ndarray], eps: float) -> Iterator[pa.RecordBatch]:
+def _near(unit: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, is it the nearest) for the nearest pivot of each vector and those beyond whose boundary a partner
+    may lie. Distances are worked out for some rows at a time, those between pivots for the nearest ones only."""
+    rows, cells, own = [], [], []
+    step = max(1, DISTANCES // len(pivots))
+    for a in range(0, len(unit), step):
+        square = np.maximum(0, 2 - 2 * (unit[a : a + step] @ pivots.T))
+        home = square.argmin(axis=1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots[home] @ pivots.T)))
+        at = np.arange(len(home))
+        near = square - square[at, home][:, None] <= 2 * (eps + SLACK) * apart + SLACK
+        near[at, home] = True
+        row, cell = np.nonzero(near)
+        rows.append(row + a), cells.append(cell), own.append(home[row] == cell)
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
+
+
+@dataclass
+class Tree:
+    """The pivots of a label: ``top``, and for each of them those of its part, whose cells are numbered from ``first``."""
+
+    top: np.ndarray
+    parts: list[np.ndarray]
+    first: np.ndarray
+
+    @staticmethod
+    def of(pivots: np.ndarray) -> Tree:
+        top = pivots[: math.isqrt(len(pivots))]
+        home = np.concatenate([(pivots[i : i + 4096] @ top.T).argmax(axis=1) for i in range(0, len(pivots), 4096)])
+        parts = [pivots[home == k] if np.any(home == k) else top[k : k + 1] for k in range(len(top))]
+        return Tree(top, parts, np.cumsum([0, *map(len, parts)])[:-1])
+
+    def place(self, unit: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, is it the home) of each vector; a row has one home."""
+        row, part, own = _near(unit, self.top, eps)
+        out = []
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
+            r, c, home = _near(unit[row[at]], self.parts[k], eps)
+            out.append((row[at][r], c + self.first[k], home & own[at][r]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _assign(batches: Iterator[pa.RecordBatch], trees: Broadcast, eps: float) -> Iterator[pa.RecordBatch]:
     """(grp, cell, home, id, cnt, unit) for the home cell of each point and those it is replicated to."""
-    apart = {g: np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T))) for g, p in pivots.items()}
     for batch in batches:
         for start in range(0, len(batch), 2048):
             part = batch.slice(start, 2048)
@@ -47,20 +98,14 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[str, np.ndarray], ep
             for g in dict.fromkeys(groups):
                 rows = part.take(pa.array(np.flatnonzero(groups == g)))
                 unit = _units(rows.column("embedding").combine_chunks() if isinstance(rows.column("embedding"), pa.ChunkedArray) else rows.column("embedding"))
-                if g in pivots:
-                    square = np.maximum(0, 2 - 2 * (unit @ pivots[g].T))
-                    home = square.argmin(axis=1)
-                    mine = square[np.arange(len(unit)), home][:, None]
-                    near = square - mine <= 2 * (eps + SLACK) * apart[g][home] + SLACK
-                    near[np.arange(len(unit)), home] = True
-                    at, cell = np.nonzero(near)
-                    is_home = home[at] == cell
-                else:
-                    at, cell, is_home = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.ones(len(unit), bool)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([g] * len(at), pa.string()), pa.array(cell.astype(np.int32)), pa.array(is_home), rows.column("id").take(pa.array(at)),
-                    rows.column("cnt").take(pa.array(at)), pa.array([u.tobytes() for u in unit[at]], pa.binary()),
-                ], names=["grp", "cell", "home", "id", "cnt", "unit"])
+                tree = trees.value.get(g)
+                at, cell, is_home = tree.place(unit, eps) if tree else (np.arange(len(unit)), np.zeros(len(unit), np.int64), np.ones(len(unit), bool))
+                for a in range(0, len(at), 8192):
+                    i = at[a : a + 8192]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([g] * len(i), pa.string()), pa.array(cell[a : a + 8192].astype(np.int32)), pa.array(is_home[a : a + 8192]), rows.column("id").take(pa.array(i)),
+                        rows.column("cnt").take(pa.array(i)), pa.array([u.tobytes() for u in unit[i]], pa.binary()),
+                    ], names=["grp", "cell", "home", "id", "cnt", "unit"])
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -109,7 +154,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, cell: int = CELL, b
 
     Rows are compared where labels are equal and not null and vectors have one length. Null, empty and zero vectors,
     those with null or non-finite components, and rows without a vec_id link with nothing (n_links 0, component_id
-    their vec_id). n_links counts rows, copies included; component_id is the smallest vec_id reachable by links.
+    their vec_id). n_links counts rows, copies included; component_id is the smallest vec_id reachable by links. An
+    empty table gives an empty table; other columns don't reach the result. The last join, on the vectors themselves,
+    rests on adaptive execution to split a vector that a large part of all rows share.
     """
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
@@ -120,16 +167,16 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, cell: int = CELL, b
     points = v.filter("grp is not null").groupBy("grp", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("cnt"))
     points = written(points, "points")
     sizes = points.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
-    big = sizes.agg(F.sum("n")).first()[0] or 0
-    per = max(cell, -(-big // MAX_PIVOTS))
+    big, width = sizes.agg(F.sum("n")).first()[0] or 0, points.agg(F.max(F.size("embedding"))).first()[0] or 1
+    most = max(64, min(MAX_PIVOTS, PIVOT_BYTES // (8 * width)))
+    per = max(cell, -(-big // most))
     u = F.pmod(F.xxhash64("embedding", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = points.join(sizes, "grp").filter(u < F.ceil(F.col("n") / per) / F.col("n")).select("grp", "embedding")
-    pivots: dict[str, list] = {}
-    for r in chosen.limit(2 * MAX_PIVOTS).collect():  # MAX_PIVOTS on average: any pivots do
-        pivots.setdefault(r.grp, []).append(r.embedding)
-    arrays = {g: (x := np.array(p, float)) / np.linalg.norm(x, axis=1, keepdims=True) for g, p in pivots.items()}
+    found = chosen.limit(2 * most).toArrow()  # ``most`` on average: any pivots do
+    names = np.array(found.column("grp").to_pylist(), object)
+    trees = spark.sparkContext.broadcast({g: Tree.of(_units(found.filter(pa.array(names == g)).column("embedding").combine_chunks())) for g in dict.fromkeys(names)})  # PIVOT_BYTES, twice at most
     eps = float(np.sqrt(2 - 2 * least))
-    cells = written(points.mapInArrow(partial(_assign, pivots=arrays, eps=eps), "grp string, cell int, home boolean, id long, cnt long, unit binary"), "cells")
+    cells = written(points.mapInArrow(partial(_assign, trees=trees, eps=eps), "grp string, cell int, home boolean, id long, cnt long, unit binary"), "cells")
     counts = cells.groupBy("grp", "cell").agg(F.ceil(F.count_if("home") / block).alias("nh"), F.ceil(F.count("*") / block).alias("na")).filter("nh > 0")
     c = cells.join(counts, ["grp", "cell"]).withColumns({"hb": F.pmod(F.xxhash64("id", F.lit(1)), "nh"), "rb": F.pmod(F.xxhash64("id", F.lit(2)), "na")})
     c = c.withColumn("tasks", F.array_union(F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(F.col("hb").alias("h"), i.cast("long").alias("r")))).otherwise(F.array().cast("array<struct<h:bigint,r:bigint>>")), F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.cast("long").alias("h"), F.col("rb").alias("r")))))
