@@ -6,10 +6,12 @@ segment: -1 (left out), 0 (the segment's subset must be equal) or 1 (it may diff
 plus one sum to H + 1 at least, the pigeonhole principle gives a segment within its threshold for every link. Equal
 subsets, and subsets that are equal but for a deletion, share a key of the index: every set is indexed under its
 subsets' keys and, in D of the segments, under those of their one-deletion neighbourhoods. m and D are chosen for a band
-by cost (rows of the index, against candidates that small subsets bring), and each set spends what its allocation has
-to spare on leaving out the segments where its subset is empty or a single n-gram, which would meet many others.
+by cost: rows of the index, against the candidates that subsets of a size bring, which is measured on a sample of the
+table's own sets. Each set spends what its allocation has to spare on leaving out the segments where its subset is empty
+or a single n-gram, which would meet many others. The result is the same for any allocation.
 
-Sets are told apart by a 62-bit hash of their content, so exact copies are one set from the start. Candidates are
+Sets are named by a 62-bit hash of their content, so exact copies are one set from the start; a second hash, of 64 bits,
+finds sets that share a name by chance, and all but one of them get another. Candidates are
 verified in three rounds. In the first two each set meets the closest, by sketch, of the few sets that stand for each
 of its keys, and what is linked is merged;
 then all pairs that share a key but aren't merged yet are candidates. Large groups of near copies cost their size, not
@@ -38,8 +40,12 @@ from .components import connected_components
 SKETCH, SHORT = 2048, 256
 #: Ids that are broadcast to pick out documents; above, the documents are shuffled by id.
 BROADCAST_IDS = 1_000_000
-#: Weight of a candidate against a row of the index, and how fast candidates fall with the size of a subset.
-CANDIDATE_COST, CANDIDATE_BASE = 10.0, 0.3
+#: Weight of a candidate against a row of the index; sets on which their number is measured, about.
+CANDIDATE_COST, RATE_SETS = 10.0, 1000
+#: Where nothing was measured: the sets that a single n-gram brings, and how their number falls with each more.
+RATES = (3.0, 0.3)
+#: Sets that share a name by chance at most; 2**62 names give as many among some 10**12 sets.
+MAX_STRAYS = 100_000
 INDEX, PROBE = 1, 2
 #: Contents that a task remembers, so as not to index copies again.
 SEEN = 1_000_000
@@ -60,8 +66,18 @@ def difference(n: int, high: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def allocation(band: int, num: int, den: int) -> tuple[int, int]:
-    """(m, D) of a band: the segments, and those with one-deletion neighbourhoods. (0, 0): only equal sets link."""
+def allocation(band: int, num: int, den: int, rates: tuple[float, float] = RATES) -> tuple[int, int]:
+    """(m, D) of a band: the segments, and those with one-deletion neighbourhoods. (0, 0): only equal sets link.
+
+    rates: the candidates that a subset of one n-gram brings, and the factor for each more. Subsets' sizes are Poisson;
+    those of a size below two are left out where a set has something to spare, and aren't counted.
+    """
+    one, fall = rates
+
+    def bring(size: float) -> float:
+        size = max(size, 0.0)
+        return one / fall * max(0.0, math.exp(-size * (1 - fall)) - math.exp(-size) * (1 + size * fall))
+
     low, high = bands(num, den)[band], bands(num, den)[band + 1] - 1
     h = difference(high * den // num, high, num, den)  # of the largest set that probes here
     best = (0.0, 0, 0) if not h else None
@@ -69,15 +85,15 @@ def allocation(band: int, num: int, den: int) -> tuple[int, int]:
         size = low / m
         d = max(0, h + 1 + math.ceil(1.5 * m * math.exp(-size)) - m)
         if d <= m:
-            cost = m + d * size + CANDIDATE_COST * m * CANDIDATE_BASE**size
+            cost = m + d * size + CANDIDATE_COST * (m * bring(size) + d * size * bring(size - 1))
             best = min(best or (cost, m, d), (cost, m, d))
     return best[1:] if best else (h + 1, h + 1)
 
 
-def keys(s: np.ndarray, band: int, home: bool, num: int, den: int) -> np.ndarray:
+def keys(s: np.ndarray, band: int, home: bool, num: int, den: int, rates: tuple[float, float] = RATES) -> np.ndarray:
     """The keys under which a set (of mixed hashes) is indexed and probes, flags in the low bits; for a lower band
     than its own, only those with which it probes."""
-    m, d = allocation(band, num, den)
+    m, d = allocation(band, num, den, rates)
     high = bands(num, den)[band + 1] - 1
     if not m or not home and high * den < len(s) * num:
         return np.empty(0, np.uint64)
@@ -115,58 +131,117 @@ def ngrams(text: str, k: int) -> np.ndarray:
     return np.unique(windows(word_hashes(text.encode().lower()), k))
 
 
-def content(s: np.ndarray) -> int:
-    """A 62-bit hash of a set, times 4: keys' flags go below it."""
-    return int((mix(np.array([np.add.reduce(mix(s))], np.uint64) + np.uint64(len(s))) & ~np.uint64(3))[0].view(np.int64))
+def content(s: np.ndarray, bits: int = 62) -> int:
+    """A 62-bit hash of a set, times 4: keys' flags go below it. Fewer bits are for tests."""
+    h = mix(np.array([np.add.reduce(mix(s))], np.uint64) + np.uint64(len(s))) << np.uint64(62 - bits)
+    return int((h & ~np.uint64(3))[0].view(np.int64))
+
+
+def check(s: np.ndarray) -> int:
+    """A second hash of a set, of 64 bits."""
+    return int(mix(np.array([np.add.reduce(mix(s ^ np.uint64(0x6A09E667F3BCC909)))], np.uint64))[0].view(np.int64))
 
 
-def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The content of each document and, where a partition first meets it with a doc_id, its parity sketches."""
+class Names:
+    """The name of each set: its content's hash, or, of those that share one by chance, for all but one the second hash."""
+
+    def __init__(self, strays: dict[int, int], bits: int):
+        self.strays, self.bits = strays, bits
+
+    def of(self, s: np.ndarray) -> int:
+        name = content(s, self.bits)
+        return (check(s) & ~3) if self.strays and name in self.strays and check(s) != self.strays[name] else name
+
+
+def measured_rates(sets: list[np.ndarray], whole: int) -> tuple[float, float]:
+    """``rates`` of ``allocation``, from distinct sets (of mixed hashes) sampled among ``whole``.
+
+    Each set is split into segments of several numbers; for subsets of each size, the other sets that have the same
+    subset are counted. Sets that look like another's near copy are left out: their pairs have to be found anyway.
+    """
+    least = np.array([np.sort(mix(s))[:32] if len(s) >= 32 else np.resize(np.sort(mix(s)), 32) for s in sets if len(s)], np.uint64).reshape(-1, 32)
+    sets, kept = [s for s in sets if len(s)], []
+    for i in range(len(sets)):
+        if not kept or not np.any(np.count_nonzero(np.isin(least[kept], least[i]), axis=1) >= 16):
+            kept.append(i)
+    sets = [sets[i] for i in kept]
+    if len(sets) < 2:
+        return RATES
+    trials, hits = np.zeros(9), np.zeros(9)
+    for m in (1 << k for k in range(0, 13, 2)):
+        found, sizes = [], []
+        for s in sets:
+            seg = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(m, np.uint64)
+            np.add.at(sums, seg, s)
+            n = np.bincount(seg, minlength=m)
+            some = (n > 0) & (n < 9)
+            found.append(sums[some] + mix(np.flatnonzero(some).astype(np.uint64)))
+            sizes.append(n[some])
+        _, at, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        size = np.concatenate(sizes)
+        trials += np.bincount(size, minlength=9)
+        hits += np.bincount(size, times[at] - 1, 9)
+    rate = (hits + 0.01) / (trials + 0.01) * whole / len(sets)
+    z = np.flatnonzero((hits > 3) & (np.arange(9) > 0))
+    fall = float(np.exp(np.polyfit(z, np.log(rate[z]), 1, w=np.sqrt(hits[z]))[0])) if len(z) > 1 else RATES[1]
+    return max(float(rate[1]), 1e-3), min(max(fall, 0.02), 0.9)
+
+
+MEMBERS = "doc_id long, id long, check long, n long, sketch array<long>, h0 long, h1 long, h2 long, h3 long, sampled array<long>"
+
+
+def _members(batches: Iterator[pa.RecordBatch], k: int, bits: int, share: float) -> Iterator[pa.RecordBatch]:
+    """The content of each document and, where a partition first meets it with a doc_id, its parity sketches; the sets of
+    a share of all contents, chosen by their hash."""
     seen: set[int] = set()
     for chunk, texts in text_chunks(batches, "text"):
-        ids, sizes, sketches, shorts = [], [], [], []
+        ids, checks, sizes, sketches, shorts, sampled = [], [], [], [], [], []
         for doc, text in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
             s = ngrams(text or "", k)
             sizes.append(len(s))
-            ids.append(content(s) if len(s) else None)
-            if doc is None or not len(s) or ids[-1] in seen:
-                sketches.append(None), shorts.append([None] * 4)
+            ids.append(content(s, bits) if len(s) else None)
+            checks.append(check(s) if len(s) else None)
+            if doc is None or not len(s) or checks[-1] in seen:
+                sketches.append(None), shorts.append([None] * 4), sampled.append(None)
                 continue
             if len(seen) < SEEN:
-                seen.add(ids[-1])
+                seen.add(checks[-1])
+            sampled.append(s.view(np.int64) if (checks[-1] & ((1 << 32) - 1)) < share * (1 << 32) else None)
             parity = (np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
             sketches.append(np.packbits(parity).view(np.int64))
             shorts.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, SHORT), axis=0)).view(np.int64).tolist())
-        cols = [chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([h[i] for h in shorts], pa.int64()) for i in range(4))], names=["doc_id", "id", "n", "sketch", "h0", "h1", "h2", "h3"])
+        long, longs = pa.int64(), pa.list_(pa.int64())
+        cols = [chunk.column("doc_id"), pa.array(ids, long), pa.array(checks, long), pa.array(sizes, long), pa.array(sketches, longs)]
+        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([h[i] for h in shorts], long) for i in range(4)), pa.array(sampled, longs)], names=["doc_id", "id", "check", "n", "sketch", "h0", "h1", "h2", "h3", "sampled"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, names: Names, rates: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     """(key, id with the key's flags) of each content that a partition meets first."""
     seen: set[int] = set()
     for _, texts in text_chunks(batches, "text"):
         found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for text in texts:
             s = ngrams(text, k)
-            if not len(s) or (c := content(s)) in seen:
+            if not len(s) or (c := names.of(s)) in seen:
                 continue
             if len(seen) < SEEN:
                 seen.add(c)
             t, b = mix(s), bisect_right(bands(num, den), len(s)) - 1
-            for x in (keys(t, b, True, num, den), keys(t, b - 1, False, num, den) if b else ()):
+            for x in (keys(t, b, True, num, den, rates), keys(t, b - 1, False, num, den, rates) if b else ()):
                 if len(x):
                     found.append(x & ~np.uint64(3))
                     ids.append((x & np.uint64(3)) | np.uint64(c & 0xFFFFFFFFFFFFFFFF))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, ids)], names=["key", "id"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, names: Names) -> Iterator[pa.RecordBatch]:
     for _, texts in text_chunks(batches, "text"):
         sets = [ngrams(t, k) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array([content(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array([names.of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int, names: Names) -> DataFrame:
     """The links among ``pairs`` (``a, b`` contents)."""
     sides = members.filter("sketch is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc"))
     side = lambda x: sides.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("doc").alias(f"d{x}"))
@@ -177,25 +252,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, num
     ids = written(p.select(F.col("da").alias("doc")).union(p.select("db")).distinct(), "candidate-docs")
     few = ids.count() <= BROADCAST_IDS
     d = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = d.select("text").mapInArrow(partial(_sets, k=k), "id long, set array<long>")
+    sets = d.select("text").mapInArrow(partial(_sets, k=k, names=names), "id long, set array<long>")
     sets = written(sets, "candidate-sets").dropDuplicates(["id"])
     p = p.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
     return written(p.filter(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b"), "verified")
 
 
-def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, bits: int = 62) -> DataFrame:
     r"""``doc_id, n_shingles, component_id``: a row a row of ``docs`` (``doc_id`` long, ``text``).
 
     Words are runs of ``[^\x20\x09-\x0D]`` with A-Z in lower case; a set holds the k-word n-grams, or all words as one
     if there are fewer. Two documents link when their sets' Jaccard similarity is num/den or more, in whole numbers.
     component_id is the smallest doc_id reachable by links. Texts without words, and null texts, have empty sets and
-    link with nothing; so do rows without a doc_id, whose component is null. Repeated rows each give a row.
+    link with nothing; so do rows without a doc_id, whose component is null. Repeated rows each give a row; an empty
+    table gives an empty table; other columns don't reach the result. ``bits`` of the sets' names are for tests.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(docs.mapInArrow(partial(_members, k=k), "doc_id long, id long, n long, sketch array<long>, h0 long, h1 long, h2 long, h3 long"), "ngram-members")
+    whole = docs.count()
+    made = written(docs.mapInArrow(partial(_members, k=k, bits=bits, share=RATE_SETS / max(whole, 1)), MEMBERS), "ngram-members")
+    twins = made.filter("id is not null").groupBy("id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi")
+    strays = {r.id: r.lo for r in twins.select("id", "lo").take(MAX_STRAYS + 1)}  # in all likelihood none
+    if len(strays) > MAX_STRAYS:
+        raise ValueError("too many sets share a name")
+    names = Names(strays, bits)
+    if strays:
+        odd = docs.sparkSession.createDataFrame(list(strays.items()), "id long, lo long")
+        made = made.join(F.broadcast(odd), "id", "left").withColumn("id", F.when(F.col("check") != F.col("lo"), F.col("check").bitwiseAND(~3)).otherwise(F.col("id"))).drop("lo")
     members = made.filter("id is not null and doc_id is not null")
-    rows = docs.filter("doc_id is not null and text is not null").select("text").mapInArrow(partial(_keys, k=k, num=num, den=den), "key long, id long")
+    sample = members.filter("sampled is not null").dropDuplicates(["id"]).select("sampled").toArrow()  # RATE_SETS, about
+    rates = measured_rates([mix(x.values.to_numpy().view(np.uint64)) for x in sample.column("sampled")], whole)
+    rows = docs.filter("doc_id is not null and text is not null").select("text").mapInArrow(partial(_keys, k=k, num=num, den=den, names=names, rates=rates), "key long, id long")
     bare, flag = F.col("id").bitwiseAND(~3), F.col("id").bitwiseAND(3)
     w = Window.partitionBy("key")
     rows = rows.select("key", "id", F.min(bare).over(w).alias("lo"), F.max(bare).over(w).alias("hi"), F.max(F.col("id").bitwiseAND(PROBE)).over(w).alias("p"), F.min(F.when(F.col("id").bitwiseAND(INDEX) > 0, bare)).over(w).alias("hub"))
@@ -226,13 +313,13 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5)
 
     links, roots = None, None
     for _ in range(2):
-        new = _verified(nearest(unmerged(roots)), docs, members, k, num, den)
+        new = _verified(nearest(unmerged(roots)), docs, members, k, num, den, names)
         links = new if links is None else links.union(new)
         roots = connected_components(links)
     left = written(unmerged(roots), "unmerged")
     x, y = left.filter(F.col("flag").bitwiseAND(PROBE) > 0).alias("x"), left.filter(F.col("flag").bitwiseAND(INDEX) > 0).alias("y")
     pairs = x.join(y, F.expr(f"x.key = y.key and {could('x.', 'y.')}")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    roots = connected_components(links.union(_verified(pairs, docs, members, k, num, den)))
+    roots = connected_components(links.union(_verified(pairs, docs, members, k, num, den, names)))
     least = members.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left")
     whole = least.filter("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
     least = least.join(whole, "root", "left").select("id", F.coalesce("whole", "least").alias("least"))

@@ -66,6 +66,30 @@ def test_ngram_join(spark, docs, none, k, num, den):
         assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_sets_that_share_a_name_by_chance(spark):
+    """With names of three bits nearly all sets share one; no link and no set is mistaken for another."""
+    rows = []
+    for i in range(40):
+        w = prose(300 + i // 4, 60).split()
+        w[10 + i % 4] = "edit"
+        rows.append((i, " ".join(w if i % 4 else w[:30])))
+    rows += [(100, rows[5][1]), (101, rows[8][1])]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), bits=3).collect()}
+    assert got == brute(rows, 5, Fraction(4, 5)) and len(set(got.values())) > 15
+
+
+def test_allocation_follows_the_data():
+    """Where subsets of n-grams are shared widely, deletions buy larger segments; where they aren't, none are used."""
+    rng = np.random.default_rng(5)
+    own = [ngram_join.mix(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(60)]
+    common = [ngram_join.mix(rng.choice(3000, 300, replace=False).astype(np.uint64)) for _ in range(60)]
+    few, many = ngram_join.measured_rates(own, 10**6), ngram_join.measured_rates(common, 10**6)
+    assert few[0] < 1e3 < many[0] and 0.02 <= many[1] <= 0.5
+    band = ngram_join.bisect_right(ngram_join.bands(90, 100), 300) - 1
+    assert ngram_join.allocation(band, 90, 100, few)[1] == 0 < ngram_join.allocation(band, 90, 100, (1e5, 0.1))[1]
+    assert ngram_join.measured_rates([], 0) == ngram_join.RATES == ngram_join.measured_rates(own[:1], 5)
+
+
 def test_a_row_without_an_id_before_its_copies(spark):
     """The first row of a text in its partition has no doc_id: the text's links to near copies stay."""
     w = prose(11, 200).split()
@@ -79,8 +103,8 @@ def test_a_row_without_an_id_before_its_copies(spark):
 
 def test_keys_meet_for_every_link():
     rng = np.random.default_rng(3)
-    for num, den in ((90, 100), (4, 5), (1, 2)):
-        for _ in range(600):
+    for num, den, rates in ((90, 100, ngram_join.RATES), (4, 5, ngram_join.RATES), (1, 2, ngram_join.RATES), (90, 100, (1e6, 0.9)), (4, 5, (1e5, 0.8)), (4, 5, (1e-3, 0.02))):
+        for _ in range(400):
             n = int(rng.integers(2, 150))
             base = rng.integers(0, 1 << 63, 4 * n + 8).astype(np.uint64)
             a, cut, more = base[:n], int(rng.integers(0, n // 2 + 1)), int(rng.integers(0, n + 1))
@@ -92,7 +116,7 @@ def test_keys_meet_for_every_link():
             for s in (a, b):
                 t = ngram_join.mix(np.unique(s))
                 band = ngram_join.bisect_right(ngram_join.bands(num, den), len(t)) - 1
-                found.append(np.concatenate([ngram_join.keys(t, band, True, num, den), ngram_join.keys(t, band - 1, False, num, den) if band else t[:0]]))
+                found.append(np.concatenate([ngram_join.keys(t, band, True, num, den, rates), ngram_join.keys(t, band - 1, False, num, den, rates) if band else t[:0]]))
             meets = lambda p, q: np.intersect1d(p[p & np.uint64(2) > 0] >> np.uint64(2), q[q & np.uint64(1) > 0] >> np.uint64(2)).size
             assert meets(*found) or meets(*found[::-1])
 
