@@ -198,3 +198,21 @@ def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All vectors at cosine 0.93. A row without a vec_id is kept."""
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+    AND isfinite(list_dot_product(e, e)) AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), parts AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY ALL
+)
+SELECT p.vec_id, (SELECT count(*) FROM links WHERE a = p.vec_id)::BIGINT AS n_links, component_id::BIGINT AS component_id, p.vec_id = component_id AS kept FROM parts p
+"""

@@ -27,8 +27,8 @@ from ._text import mix
 #: Labelled rows of each language that are counted at most (about), and one in so many is held back for calibration.
 SAMPLE, HELD = 4000, 10
 #: A text is rejected above this quantile of the cross-entropies held back, plus a margin in nats, plus what a short text
-#: may stray by chance: three standard deviations of one character's log-probability (about 1.25), over the root of their number.
-QUANTILE, MARGIN, STRAY = 0.99, 1.0, 3.75
+#: may stray by chance, or by a key or a name in it: four standard deviations of one character's log-probability (about 1.25), over the root of their number.
+QUANTILE, MARGIN, STRAY = 0.99, 1.0, 5.0
 UNKNOWN = "und"
 B = np.uint64(16)
 

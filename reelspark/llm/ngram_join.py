@@ -337,3 +337,23 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All documents by 3-word shingles at 0.9."""
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), each AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM each x JOIN each y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 90 * (len(p.s) + len(q.s) - n)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other)::BIGINT AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY ALL
+"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op2_embedding_dedup
+from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .langid import op3_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op5_curriculum_mix
-from .ngram_join import op1_ngram_join
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op6_best_fit_packing
 from .quality import op7_quality_rules
 from .sharding import op10_interleaved_shards
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL}
