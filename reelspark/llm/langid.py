@@ -203,9 +203,12 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
     in HELD of them only calibrates. The share of each language doesn't matter.
     """
     d = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    shares = d.groupBy("lang").agg(F.count("*").alias("__n")).filter(F.col("lang") != UNKNOWN)
+    shares = {r.lang: per_language / r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("lang") != UNKNOWN).collect()}  # a row a language
+    if not shares:
+        return None
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    d = d.join(shares, "lang").filter(u < per_language / F.col("__n")).withColumn("held", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HELD)) == 0)
+    d = d.filter(u < share).withColumn("held", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HELD)) == 0)
     counts = d.filter(~F.col("held")).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not len(counts):
         return None
