@@ -393,8 +393,7 @@ def rename_status(spark, d):
 SELECT path, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END || '.mkv' AS dest_name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM w)""")
 def collision_suffix(spark, d):
     r = C.releases(spark, d).selectExpr("concat('/in/', replace(p_brand, '#', ''), '/', replace(name, '.mkv', ''), '.', p_type, '.mkv') as path", "concat('/in/', replace(p_brand, '#', '')) as dir", "concat(p_name, ' ', season, 'x', episode, '.mkv') as new_name")
-    r = r.withColumn("file_id", F.monotonically_increasing_id())
-    return r.select("file_id", "path").join(allocate.allocate(r), "file_id").select("path", "dest_name")
+    return allocate.allocate(r.withColumn("file_id", F.col("path"))).select(F.col("file_id").alias("path"), "dest_name")  # paths differ
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY AND ts IS NOT NULL GROUP BY ALL")
