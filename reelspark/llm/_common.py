@@ -75,7 +75,7 @@ def open_store(path: str, mode: str):
     store, at = fs.FileSystem.from_uri(uri)
     if mode == "w":
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(at)
+        return store.open_output_stream(at, compression=None)
     return pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)
 
 

@@ -158,16 +158,16 @@ def test_op10(spark, tables):
         assert all(abs(mine[s] - n * len(v) / len(got)) <= 2 for s, n in total.items())
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_embedding_dedup", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_embedding_dedup", "op9_line_dedup", "op11_hard_negatives", "op12_warc_bundles"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     cur = c.execute(entry.oracle_sql()[name])
     cols = [x[0] for x in cur.description]
     df = entry.queries()[name](spark, DATA)
-    assert sorted(df.columns) == sorted(cols) and sorted(tuple(r[x] for x in cols) for r in df.collect()) == sorted(cur.fetchall())
+    assert sorted(df.columns) == sorted(cols) and sorted((tuple(r[x] for x in cols) for r in df.collect()), key=repr) == sorted(cur.fetchall(), key=repr)
 
 
 def test_the_vocabularies_are_parameters():
