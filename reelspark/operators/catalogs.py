@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import fixed as X
 from reelspark.functions.base import cut, hit
+from reelspark.operators.search import Index, search
 
 
 def key_title(c: Column) -> Column:
@@ -41,6 +42,18 @@ def search_shows(titles: DataFrame, hits: DataFrame) -> DataFrame:
     return j.groupBy("title").agg(F.min_by("show_id", F.struct("variant", (~exact).alias("inexact"), "rank")).alias("show_id"))
 
 
+def show_hits(titles: DataFrame, index: Index, k: int = 10) -> DataFrame:
+    """``query, rank, show_id, name, score`` for ``search_shows``: the best k shows of an index of their names for every
+    variant of the titles."""
+    asked = titles.select("title").distinct().select(F.explode(search_variants(F.col("title"))).alias("query"))
+    return search(asked, index, k).withColumnRenamed("id", "show_id")
+
+
+def page_hits(titles: DataFrame, index: Index) -> DataFrame:
+    """``query, rank, page`` for ``translations`` and ``synonyms``: the first pages of an index of pages' names."""
+    return search(titles.select(F.col("title").alias("query")), index, X.SEARCH_HITS).select("query", "rank", F.col("name").alias("page"))
+
+
 def episode_titles(files: DataFrame, episodes: DataFrame) -> DataFrame:
     """files (``show_id, season, episode``) with ``ep_title``: the first entry of that number, even if unnamed."""
     first = episodes.groupBy("show_id", "season", "number").agg(F.min_by("name", "ord").alias("ep_title"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions import media, names, paths, quality
-from reelspark.operators import allocate, catalogs, evidence, render, voting, wikitext
+from reelspark.operators import allocate, catalogs, evidence, render, search, voting, wikitext
 from reelspark.plans import corpora as C
 from reelspark.plans.pipeline import plan
 from reelspark.sources import scan
@@ -448,6 +448,39 @@ def plan_paths(spark, d):
     return plan(f)
 
 
+TITLE = "concat(p_name, case when p_partkey % 7 = 0 then concat(' ', p_name) else '' end, ' ', p_type, ' ', p_size)"
+#: Every title, and every query with its words in another order, some with words that few or no titles have.
+TITLES_SQL = """
+titles AS (SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' ' || p_name ELSE '' END || ' ' || p_type || ' ' || p_size AS name FROM part),
+asked AS (SELECT DISTINCT p_size || ': ' || upper(p_type) || CASE p_partkey % 3 WHEN 0 THEN ' & ' || p_name WHEN 1 THEN ' unheard' ELSE '' END AS query FROM part),
+tokens AS (SELECT id, term, len(w) AS length, len(list_filter(w, lambda x: x = term)) AS tf FROM (SELECT id, w, unnest(list_distinct(w)) AS term FROM (SELECT id, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM titles))),
+counts AS (SELECT count(*) AS n, sum(length) AS total FROM (SELECT DISTINCT id, length FROM tokens)),
+terms AS (SELECT term, CAST(floor(1000.0 * ln(1.0 + (n - df + 0.5) / (df + 0.5))) AS BIGINT) AS weight FROM (SELECT term, count(*)::DOUBLE AS df FROM tokens GROUP BY ALL), counts),
+impacts AS (SELECT id, term, weight, (weight * tf * 22 * total) // (10 * tf * total + 3 * total + 9 * length * n) AS impact FROM tokens JOIN terms USING (term), counts),
+words AS (SELECT DISTINCT query, unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM asked),
+whole AS (SELECT query, sum(coalesce(weight, (SELECT CAST(floor(1000.0 * ln(1.0 + (n + 0.5) / 0.5)) AS BIGINT) FROM counts))) AS weight FROM words LEFT JOIN terms USING (term) GROUP BY ALL),
+hits AS (SELECT query, id, sum(impact) AS points, sum(weight) AS matched FROM words JOIN impacts USING (term) GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY points DESC, id) AS INT) AS rank FROM hits)"""
+
+
+@query(f"WITH {TITLES_SQL} SELECT query, rank, id, name, round(matched / weight, 6) AS score FROM best JOIN whole USING (query) JOIN titles USING (id) WHERE rank <= 3")
+def title_search(spark, d):
+    """The first three titles of an index of all parts' titles for each query."""
+    p = part(spark, d)
+    index = search.build_index(p.selectExpr("p_partkey as id", f"{TITLE} as name"))
+    asked = p.selectExpr("concat(p_size, ': ', upper(p_type), case p_partkey % 3 when 0 then concat(' & ', p_name) when 1 then ' unheard' else '' end) as query")
+    return search.search(asked, index, 3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT 'The ' || upper(p_name) || '! ' || replace(p_brand, '#', '') || ' s' || p_size AS title, min(p_partkey) AS show_id FROM part GROUP BY ALL")
+def show_search(spark, d):
+    """From titles to shows through the search: all variants of each title are looked up in an index of shows' names."""
+    p = part(spark, d).selectExpr("p_partkey as id", "p_name", "concat(replace(p_brand, '#', ''), ' s', p_size) as rest")
+    titles = p.selectExpr("concat('The ', upper(p_name), '! ', rest) as title").distinct()
+    index = search.build_index(p.selectExpr("id", "concat(p_name, ' ', rest) as name"))
+    return catalogs.search_shows(titles, catalogs.show_hits(titles, index))
+
+
 def queries() -> dict:
     return dict(Q)
 
