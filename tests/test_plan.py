@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,24 +61,70 @@ def test_allocate(spark):
     assert [got[i] for i in range(len(rows))] == ["N.mkv", "N_1.mkv", "N_1_1.mkv", "M_1.mkv", "M.mkv", "E_2.mkv", "Q.mkv", "Q_1.mkv", "Q_2.mkv", "R.mkv", "P_1.mkv"]
 
 
-def test_allocation_as_one_by_one(spark):
-    """Against renames one after another, in a corpus full of names that look like suffixed ones."""
-    paths = [f"/{'ab'[i % 2]}/{n}" for i, n in enumerate(["A.mkv", "A_1.mkv", "B", "A_1_1.mkv", "A_2.mkv", "C.x", ".hidden", "A_3.mkv", "D", "E", "F", "G", "A.mkv", "H", "I", "J"])]
-    want = [["A.mkv", "A_1.mkv", "B", ".hidden", "A_1.mkv"][(i * 7) % 5] for i in range(len(paths))]
-    there = {(p.rpartition("/")[0], p.rpartition("/")[2]) for p in paths}
-    reserved, expected = set(), {}
-    for i in sorted(range(len(paths)), key=lambda i: (paths[i], i)):
-        folder, old = paths[i].rpartition("/")[::2]
-        base, ext = os.path.splitext(want[i])
-        name, n = want[i], 0
+def one_by_one(files, there, moves):
+    """Renames one after another: files (id, path, name wanted), there: (directory, name) of all that lies there."""
+    there, reserved, out = set(there), set(), {}
+    for i, path, name in sorted(files, key=lambda f: (f[1], f[0])):
+        folder, old = path.rpartition("/")[::2]
+        base, ext = os.path.splitext(name)
+        new, n = name, 0
         if old != name:
-            while (folder, name) in there or name in reserved:
+            while (folder, new) in there or new in reserved:
                 n += 1
-                name = f"{base}_{n}{ext}"
-            reserved.add(name)
-        expected[i] = name
-    w = spark.createDataFrame([(i, p, p.rpartition("/")[0], n) for i, (p, n) in enumerate(zip(paths, want))], "file_id long, path string, dir string, new_name string")
-    assert {r.file_id: r.dest_name for r in allocate.allocate(w, spark.createDataFrame(sorted(there), "dir string, name string")).collect()} == expected
+                new = f"{base}_{n}{ext}"
+            reserved.add(new)
+            if moves:
+                there.discard((folder, old))
+                there.add((folder, new))
+        out[i] = new
+    return out
+
+
+def allocated(spark, files, there, moves):
+    w = spark.createDataFrame([(i, p, p.rpartition("/")[0], n) for i, p, n in files], "file_id long, path string, dir string, new_name string").repartition(3)
+    rows = allocate.allocate(w, spark.createDataFrame(sorted(there), "dir string, name string"), sequential=moves).collect()
+    assert len(rows) == len(files)
+    return {r.file_id: r.dest_name for r in rows}
+
+
+@pytest.mark.parametrize("moves", [False, True])
+@pytest.mark.parametrize("seed", range(6))
+def test_allocation_as_one_by_one(spark, seed, moves):
+    """Corpora full of names that look like suffixed ones, wanted by files that hold them, above each other or beside."""
+    r = random.Random(seed)
+    stems = ["A", "A_1", "A_2", "A_1_1", "A_01", "B", "B_3", ".hidden", "A_99999999999999999999"][: 3 + seed * 2]
+    name = lambda: r.choice(stems) + r.choice(["", "", "_1", "_2", "_3", "_4", "_10"]) + r.choice([".mkv", ".mkv", ""])
+    paths = sorted({f"{r.choice(['', '/a', '/b', '/a/b', '/c'])}/{name()}" for _ in range(120)} | {f"/d/x{i}" for i in range(40)} | {f"/a/zz{i}.mkv" for i in range(20)})
+    few = [name() for _ in range(1 + seed)]
+    files = [(i, p, r.choice(few) if r.random() < 0.8 else name()) for i, p in enumerate(paths)]
+    kept = {tuple(p.rpartition("/")[::2]) for p in paths} | {(r.choice(["/a", "/c", "/e"]), name()) for _ in range(10)}
+    files = [f for f in files if r.random() < 0.8]
+    assert allocated(spark, files, kept, moves) == one_by_one(files, kept, moves)
+
+
+def test_names_that_are_freed(spark):
+    """Each file takes the name of the one before it, two change places, and a whole directory is named again."""
+    shift = [(i, f"/s/{i:03}.mkv", f"{i - 1:03}.mkv") for i in range(1, 50)]
+    swap = [(100, "/t/a", "b"), (101, "/t/b", "a")]
+    again = [(200 + i, f"/u/N_{i}.mkv" if i else "/u/N.mkv", "N.mkv") for i in range(60)]
+    files = [*shift, *swap, *again]
+    there = {tuple(p.rpartition("/")[::2]) for _, p, _ in files}
+    real, dry = allocated(spark, files, there, True), allocated(spark, files, there, False)
+    assert real == one_by_one(files, there, True) and dry == one_by_one(files, there, False)
+    assert all(real[i] == n for i, _, n in shift) and (real[100], real[101]) == ("b_1", "a") and dry[2] == "001_1.mkv"
+
+
+def test_what_settles_a_family(spark, monkeypatch):
+    """A family of many files is settled by a few rows, and all of them are right."""
+    files = [(i, f"/m/{i:05}.mkv", "N.mkv") for i in range(3000)] + [(5000 + i, f"/n/{i:05}.mkv", "N.mkv") for i in range(2000)] + [(9000, "/o/x.mkv", "N_7.mkv")]
+    there = {("/n", "N.mkv"), *(("/n", f"N_{k}.mkv") for k in range(3500, 3600)), ("/n", "N_5.mkv")}
+    assert allocated(spark, files, there, True) == one_by_one(files, there, True)
+    spans = allocate.Spans()
+    for a, b in ((5, 6), (1, 1), (9, 9), (2, 2), (7, 8)):
+        spans.add(a, b)
+    assert (spans.starts, spans.ends) == ([1, 5], [2, 9]) and spans.end(8) == 9 and spans.end(3) is None and spans.next(2) == 5
+    spans.remove(7)
+    assert (spans.starts, spans.ends) == ([1, 5, 8], [2, 6, 9])
 
 
 def test_plan_keeps_what_lies_beside(spark):
