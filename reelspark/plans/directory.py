@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def process_directory(spark: SparkSession, directory: str, options: Options | No
     many files were renamed, were seen and failed."""
     found = scan.find_video_files(spark, directory, recursive=recursive).select("path")
     files = cut(found.withColumn("file_id", F.monotonically_increasing_id()))
+    options = replace(options or Options(), moves=not dry_run)
     done = sink.apply(cut(plan(files, options)), dry_run)
     c = counters(done).first()
     return done, (c.renamed, c.total, c.errors)

@@ -6,6 +6,7 @@ values from those columns and parses nothing.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import media, names, paths, quality
@@ -396,6 +397,20 @@ def collision_suffix(spark, d):
     return allocate.allocate(r.withColumn("file_id", F.col("path"))).select(F.col("file_id").alias("path"), "dest_name")  # paths differ
 
 
+@query("""WITH w AS (SELECT '/in/' || p_brand AS dir, p_brand || ' ' || lpad(p_partkey::VARCHAR, 9, '0') AS old, p_partkey FROM part),
+f AS (SELECT p_partkey, coalesce(lag(old) OVER (PARTITION BY dir ORDER BY old), split_part(dir, '/', 3)) AS new, lag(old) OVER (PARTITION BY dir ORDER BY old) IS NULL AS first FROM w)
+SELECT p_partkey AS file_id, new || '.mkv' AS moved, new || CASE WHEN first THEN '' ELSE '_1' END || '.mkv' AS dry FROM f""")
+def sequential_renames(spark, d):
+    """Every file of a directory wants the name of the file before it: free by then in a real run, taken in a dry one."""
+    p = part(spark, d).selectExpr("p_partkey as file_id", "concat('/in/', p_brand) as dir", "concat(p_brand, ' ', lpad(p_partkey, 9, '0'), '.mkv') as old", "p_brand")
+    before = p.selectExpr("file_id as other", "p_brand", "old as new_name")
+    last = p.withColumn("other", F.lag("file_id").over(Window.partitionBy("dir").orderBy("old")))
+    f = last.join(before, ["other", "p_brand"], "left").select("file_id", F.concat("dir", F.lit("/"), "old").alias("path"), "dir", F.coalesce("new_name", F.concat("p_brand", F.lit(".mkv"))).alias("new_name"))
+    there = p.select("dir", F.col("old").alias("name"))
+    real, dry = (allocate.allocate(f, there, sequential=s).select("file_id", F.col("dest_name").alias(n)) for s, n in ((True, "moved"), (False, "dry")))
+    return real.join(dry, "file_id")
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY AND ts IS NOT NULL GROUP BY ALL")
 def ttl_filter(spark, d):
     e = C.table(spark, d, "events").withColumn("cached_at", F.col("ts").cast("timestamp"))

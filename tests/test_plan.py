@@ -1,7 +1,9 @@
+import json
 import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from reelspark.functions import media
@@ -178,6 +180,87 @@ def test_scan_and_sink(spark, tmp_path):
     assert done[0].dest_name == "New_1.mkv" and (tmp_path / "New_1.mkv").exists() and not (tmp_path / "movie.mkv").exists() and done[1].status == "error"
 
 
+PLAN = "file_id long, path string, old_name string, new_name string, dest_name string, status string, reason string"
+
+
+def planned(spark, folder, moves):
+    """A plan of moves (old name, wanted, given) in one folder."""
+    return spark.createDataFrame([(i, f"{folder}/{a}", a, w, b, "renamed", "") for i, (a, w, b) in enumerate(moves)], PLAN)
+
+
+def make(folder, *names):
+    folder.mkdir(parents=True, exist_ok=True)
+    for n in names:
+        (folder / n).write_bytes(n.encode())
+
+
+def test_renames_in_order(spark, tmp_path):
+    """Long chains, in which each file waits for the one before it, circles, and files that wait for nothing."""
+    chain = [(f"{i:03}.mkv", f"{i - 1:03}.mkv", f"{i - 1:03}.mkv") for i in range(1, 120)]
+    free = [(f"f{i}", f"g{i}", f"g{i}") for i in range(30)]
+    circle = [("x", "y", "y"), ("y", "z", "z"), ("z", "x", "x")]
+    make(tmp_path, *(a for a, _, _ in [*chain, *free, *circle]))
+    p = planned(spark, tmp_path, [*chain, *free, *circle]).repartition(7)
+    c = {r.path.rpartition("/")[2]: r.chain.rpartition("/")[2] for r in sink.chains(p.select("path", F.concat(F.lit(f"{tmp_path}/"), "dest_name").alias("dest"))).collect()}
+    assert {c[a] for a, _, _ in chain} == {"001.mkv"} and all(c[a] == a for a, _, _ in free) and {c[a] for a in "xyz"} == {"x"}
+    done = {r.old_name: r.dest_name for r in sink.apply(p).collect()}
+    assert all(done[a] == b and (tmp_path / b).read_bytes() == a.encode() for a, _, b in [*chain, *free])
+    # the first of a circle can't wait for itself; the others find the names that were freed
+    assert (done["x"], done["y"], done["z"]) == ("y_1", "z_1", "x") and sorted(os.listdir(tmp_path))[-3:] == ["x", "y_1", "z_1"]
+
+
+def test_repeated_attempts(tmp_path):
+    """A second attempt of a task reports what the first one did, whatever it was lost in."""
+    make(tmp_path / "m", "a", "b", "c", "d", "e", "T_a", "U")
+    writer = sink.RenameWriter(str(tmp_path / "j"))
+    rows = [Row(file_id=str(i), path=str(tmp_path / "m" / n), new_name=f"T_{n}", dest_name=f"T_{n}", known=None) for i, n in enumerate("abcd")]
+    outcome = lambda m: {r["file_id"]: r["done_name"] or "!" for r in map(json.loads, open(m.path))}
+    first = outcome(writer.write(iter(rows[:2])))  # another program had made T_a
+    assert first == {"0": "T_a_1", "1": "T_b"}
+    (tmp_path / "m" / "T_a").unlink()
+    make(tmp_path / "m", "T_a")
+    os.link(tmp_path / "m" / "c", tmp_path / "m" / "T_c")  # the first attempt was lost between link and unlink
+    j = sink.Journal(str(tmp_path / "j" / "journal" / "000000"))
+    j.intend(sink.identity(str(tmp_path / "m" / "c")), str(tmp_path / "m" / "c"), str(tmp_path / "m" / "T_c"))
+    j.out.write('{"identity": "cut sho')
+    j.close()
+    os.unlink(tmp_path / "m" / "d")  # by another program, to which the journal knows nothing
+    message = writer.write(iter(rows))
+    assert outcome(message) == {"0": "T_a_1", "1": "T_b", "2": "T_c", "3": "!"}
+    assert sorted(os.listdir(tmp_path / "m")) == ["T_a", "T_a_1", "T_b", "T_c", "U", "e"] and (tmp_path / "m" / "T_c").read_bytes() == b"c"
+    os.link(tmp_path / "m" / "e", tmp_path / "m" / "T_e")  # a second name that no attempt has made is another file's
+    e = Row(file_id="e", path=str(tmp_path / "m" / "e"), new_name="T_e", dest_name="T_e", known=None)
+    assert outcome(writer.write(iter([e]))) == {"e": "T_e_1"}
+    writer.commit([message, None])
+    assert json.load(open(tmp_path / "j" / "manifest.json")) == [message.path]
+
+
+def test_two_attempts_at_a_time(tmp_path):
+    """Speculative attempts of one task, side by side: no file is lost, and both report the name that it has."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = [f"n{i}" for i in range(200)]
+    make(tmp_path / "m", *names, *(f"T{i}" for i in range(0, 200, 3)))
+    rows = [Row(file_id=n, path=str(tmp_path / "m" / n), new_name=f"T{n[1:]}", dest_name=f"T{n[1:]}", known=None) for n in names]
+    writer = sink.RenameWriter(str(tmp_path / "j"))
+    with ThreadPoolExecutor(3) as pool:
+        messages = list(pool.map(lambda _: writer.write(iter(rows)), range(3)))
+    for m in messages:
+        for r in map(json.loads, open(m.path)):
+            assert r["failure"] is None and (tmp_path / "m" / r["done_name"]).read_bytes() == r["file_id"].encode()
+    assert len(os.listdir(tmp_path / "m")) == 200 + 67
+
+
+def test_a_plan_is_applied_again(spark, tmp_path):
+    make(tmp_path / "m", "a", "b")
+    p = planned(spark, tmp_path / "m", [("a", "A", "A"), ("b", "B", "B"), ("gone", "C", "C")])
+    journal = str(tmp_path / "j")
+    key = lambda d: [(r.dest_name, r.status) for r in d.orderBy("file_id").collect()]
+    assert key(sink.apply(p.limit(1), journal=journal)) == [("A", "renamed")]
+    assert key(sink.apply(p, journal=journal)) == [("A", "renamed"), ("B", "renamed"), ("C", "error")]
+    assert sorted(os.listdir(tmp_path / "m")) == ["A", "B"] and key(sink.apply(p.limit(0))) == []
+
+
 def test_renames_without_links(tmp_path, monkeypatch):
     def no_link(*a, **k):
         raise OSError(1, "not permitted")
