@@ -137,19 +137,26 @@ class Settled:
         return out
 
 
+#: Runs of a group of families, about.
+RUNS = 20_000
 SETTLED = "family string, part int, run long, rank long, number long"
 
 
 def _settle(runs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """The intervals that each run of a family takes: numbers from ``number`` on for the files from ``rank`` on.
-
-    runs: ``part, run`` (their order), kind (0 for a run, 1 for a freed name), new_name, places, folder, n; held: ``folder, name, first, last``."""
-    files = runs[runs["kind"] == 0]
-    s = Settled({n: [(p["name"], p["number"]) for p in x] for n, x in zip(files["new_name"], files["places"], strict=True)})
-    for r in held.sort_values(["first"]).itertuples():
-        s.held[r.folder, r.name].add(r.first, r.last)
+    """The intervals that each run of some families takes: numbers from ``number`` on for the files from ``rank`` on.
+
+    runs: ``family, part, run`` (their order), kind (0 for a run, 1 for a freed name), new_name, places, folder, n; held:
+    ``family, folder, name, first, last``."""
+    wanted: dict[str, dict] = defaultdict(dict)
+    for f, kind, n, x in zip(runs["family"], runs["kind"], runs["new_name"], runs["places"], strict=True):
+        if not kind:
+            wanted[f][n] = [(p["name"], p["number"]) for p in x]
+    settled = {f: Settled(w) for f, w in wanted.items()}
+    for r in held.sort_values("first").itertuples():
+        settled[r.family].held[r.folder, r.name].add(r.first, r.last)
     out = []
     for r in runs.sort_values(["part", "run"]).itertuples():
+        s = settled[r.family]
         if r.kind:
             for p in r.places:
                 s.free(r.folder, p["name"], p["number"])
@@ -191,10 +198,13 @@ def _settled(w: DataFrame, held: DataFrame) -> DataFrame:
     island = F.col("number") - F.row_number().over(Window.partitionBy("family", "folder", "name").orderBy("number"))
     spans = p.withColumn("island", island).groupBy("family", "folder", "name", "island").agg(F.min("number").alias("first"), F.max("number").alias("last")).drop("island")
 
+
     def settle(runs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return _settle(runs, held)
 
-    took = runs.groupBy("family").cogroup(spans.groupBy("family")).applyInPandas(settle, SETTLED)
+    runs = cut_lineage(runs)
+    some = F.pmod(F.xxhash64("family"), F.lit(1 + runs.count() // RUNS))  # many small families are one group
+    took = runs.groupBy(some).cogroup(spans.groupBy(some)).applyInPandas(settle, SETTLED)
     files = d.filter("kind = 0").select("family", "part", "run", "rank", "file_id", "new_name", F.lit(None).cast("long").alias("shift"))
     both = files.unionByName(took.select("family", "part", "run", "rank", (F.col("number") - F.col("rank")).alias("shift")), allowMissingColumns=True)
     upto = Window.partitionBy("family", "part", "run").orderBy("rank", F.col("shift").isNull()).rowsBetween(Window.unboundedPreceding, 0)
