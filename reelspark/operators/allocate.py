@@ -153,7 +153,8 @@ def _settle(runs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             wanted[f][n] = [(p["name"], p["number"]) for p in x]
     settled = {f: Settled(w) for f, w in wanted.items()}
     for r in held.sort_values("first").itertuples():
-        settled[r.family].held[r.folder, r.name].add(r.first, r.last)
+        s = settled[r.family]
+        (s.held[r.folder, r.name] if isinstance(r.folder, str) else s.taken[r.name]).add(r.first, r.last)
     out = []
     for r in runs.sort_values(["part", "run"]).itertuples():
         s = settled[r.family]
@@ -182,9 +183,9 @@ def _ranked(df: DataFrame) -> DataFrame:
 def _settled(w: DataFrame, held: DataFrame) -> DataFrame:
     """``file_id, new_name, n`` for files (``family, file_id, path, dir, new_name``) of families that hold more than one name.
 
-    held: ``family, dir, name, freed_at`` (the path of the file that frees it, or null)."""
+    held: ``family, dir, name, freed_at`` (the path of the file that frees it, or null); without a dir, a name is taken everywhere."""
     held = held.withColumn("folder", F.concat(F.lit("="), F.col("dir")))
-    beside = held.select("family", "dir", "folder").distinct()
+    beside = held.filter("dir is not null").select("family", "dir", "folder").distinct()
     w = frequent_join(w, beside, ["family", "dir"], "left").withColumn("folder", F.coalesce("folder", F.lit("")))
     rows = w.select("family", "path", "file_id", F.lit(0).alias("kind"), "new_name", "folder")
     frees = held.filter("freed_at is not null").select("family", F.col("freed_at").alias("path"), F.lit(None).cast(dict(w.dtypes)["file_id"]).alias("file_id"), F.lit(1).alias("kind"), F.col("name").alias("new_name"), "folder")
@@ -212,8 +213,9 @@ def _settled(w: DataFrame, held: DataFrame) -> DataFrame:
     return both.filter("new_name is not null").select("file_id", "new_name", "n")
 
 
-def allocate(wanted: DataFrame, existing: DataFrame | None = None, *, sequential: bool = False) -> DataFrame:
-    """``file_id, dest_name`` for each row of ``wanted`` (``file_id, path, dir, new_name``); existing: ``dir, name``.
+def allocate(wanted: DataFrame, existing: DataFrame | None = None, *, sequential: bool = False, reserved: DataFrame | None = None) -> DataFrame:
+    """``file_id, dest_name`` for each row of ``wanted`` (``file_id, path, dir, new_name``); existing: ``dir, name``; reserved:
+    ``name``, given by earlier batches and taken in all directories.
 
     A file that already has its name keeps it and takes none. Names of ``existing`` are taken in their directory; with
     ``sequential`` those of files of ``wanted`` only until the file is moved, in path order, as in a real run.
@@ -233,7 +235,11 @@ def allocate(wanted: DataFrame, existing: DataFrame | None = None, *, sequential
             held = held.join(moved, ["dir", "name"], "left")
         else:
             held = held.withColumn("freed_at", F.lit(None).cast("string"))
-        held = cut_lineage(held.select("family", "dir", "name", "freed_at"))
+        held = held.select("family", "dir", "name", "freed_at")
+    if reserved is not None:
+        given = reserved.select("name").distinct().withColumns({"family": family(F.col("name")), "dir": F.lit(None).cast("string"), "freed_at": F.lit(None).cast("string")})
+        held = held.unionByName(given.join(w.select("family").distinct(), "family", "left_semi"))
+    held = cut_lineage(held)
     mixed = cut_lineage(kinds.union(held.select("family")).distinct().withColumn("mixed", F.lit(True)))
     w = frequent_join(w, mixed, ["family"], "left")
     plain = _ranked(w.filter("mixed is null").select("file_id", "path", "new_name")).select("file_id", "new_name", "n")

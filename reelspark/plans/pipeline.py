@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ class Options:
     """template: of the user's, else the defaults. season: settles that field for all files. catalogs: found rows
     (``file_id, title, year, ep_title``) by provider. probes: ``file_id, json``. existing: ``dir, name`` of what lies beside
     the files besides themselves. moves: files are moved one after another, in path order, so that later ones may take the
-    names of earlier ones; else the plan is that of a dry run, which frees no name."""
+    names of earlier ones; else the plan is that of a dry run, which frees no name. names: what earlier batches have taken, given
+    the names that are wanted now (see ``streaming.arrivals``)."""
 
     known_title: str = ""
     template: str = ""
@@ -30,6 +32,7 @@ class Options:
     probes: DataFrame | None = None
     existing: DataFrame | None = None
     moves: bool = False
+    names: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None
 
 
 def skipped(p: DataFrame) -> DataFrame:
@@ -96,7 +99,14 @@ def plan(files: DataFrame, options: Options | None = None) -> DataFrame:
     p = p.select("file_id", "path", F.col("basename").alias("old_name"), F.when(F.col("s.status") == "renamed", F.col("new_name")).otherwise(F.col("basename")).alias("new_name"), "s.status", "s.reason")
     p = p.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     there = p.select("dir", F.col("old_name").alias("name"))
-    dest = A.allocate(p.filter("status = 'renamed'").select("file_id", "path", "dir", "new_name"), there if o.existing is None else there.unionByName(o.existing.select("dir", "name")), sequential=o.moves)
+    there = there if o.existing is None else there.unionByName(o.existing.select("dir", "name"))
+    wanted = p.filter("status = 'renamed'").select("file_id", "path", "dir", "new_name")
+    reserved = None
+    if o.names is not None:
+        wanted = cut(wanted)
+        held, reserved = o.names(wanted)
+        there = there.unionByName(held)
+    dest = A.allocate(wanted, there, sequential=o.moves, reserved=reserved)
     return p.join(dest, "file_id", "left").select("file_id", "path", "old_name", "new_name", F.coalesce("dest_name", "old_name").alias("dest_name"), "status", "reason")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import media, names, paths, quality
 from reelspark.operators import allocate, catalogs, evidence, render, search, voting, wikitext
 from reelspark.plans import corpora as C
+from reelspark.plans.cut import cut
 from reelspark.plans.pipeline import plan
 from reelspark.sources import scan
 
@@ -411,6 +412,18 @@ def sequential_renames(spark, d):
     return real.join(dry, "file_id")
 
 
+@query("""SELECT p_partkey AS file_id, p_name || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END || '.mkv' AS dest_name
+FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey % 3, p_type, p_partkey) AS k FROM part)""")
+def names_across_batches(spark, d):
+    """Three batches, each planned with what those before it have taken."""
+    p = part(spark, d).selectExpr("p_partkey as file_id", "concat('/in/', p_type, '/', lpad(p_partkey, 9, '0')) as path", "concat('/in/', p_type) as dir", "concat(p_name, '.mkv') as new_name")
+    out = p.select("file_id", F.col("new_name").alias("dest_name")).limit(0)
+    for b in range(3):
+        given = allocate.allocate(p.filter(F.col("file_id") % 3 == b), reserved=out.select(F.col("dest_name").alias("name")) if b else None)
+        out = out.unionByName(cut(given))
+    return out
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY AND ts IS NOT NULL GROUP BY ALL")
 def ttl_filter(spark, d):
     e = C.table(spark, d, "events").withColumn("cached_at", F.col("ts").cast("timestamp"))
