@@ -64,19 +64,41 @@ def _title_rule(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), False).when(x == y, True).when(numbered, False).when(within | F.coalesce(a["qid"] == b["qid"], F.lit(False)), True)
 
 
+def _opinion(o: Column) -> Column:
+    """An opinion as votes see it; o: a struct, with or without ``qid``."""
+    return F.struct(*[o[c].alias(c) for c in ("feed_ord", "provider", "value", "confidence", "weak")], normal_title(o["value"]).alias("norm"), o["qid"].alias("qid"))
+
+
+def agreed(ballots: DataFrame) -> DataFrame:
+    """Ballots (``field, all``: a field's opinions in order; other columns stay) with the opinions that count, ``ops``, and which
+    of them ``agree``: n * n flags. Only titles and their like may need a ratio, and so Python."""
+    explicit = F.exists("all", lambda o: ~o["weak"])
+    g = ballots.withColumn("ops", F.filter("all", lambda o: ~o["weak"] | ~explicit)).drop("all")
+    pairs = lambda rule: F.flatten(F.transform("ops", lambda a: F.transform("ops", lambda b: rule(a, b))))
+    title = F.coalesce(F.col("field").isin(*TITLES), F.lit(False))
+    plain = g.filter(~title).withColumn("agree", pairs(lambda a, b: F.coalesce(a["value"] == b["value"], F.lit(False))))
+    t = g.filter(title).withColumn("known", pairs(_title_rule))
+    t = t.withColumn("asked", F.when(F.exists("known", lambda k: k.isNull()), F.transform("ops", lambda o: o["norm"])).otherwise(F.array().cast("array<string>")))
+    return plain.unionByName(t.withColumn("agree", _agreement("asked", "known")).drop("known", "asked"))
+
+
 def gathered(opinions: DataFrame) -> DataFrame:
     """A row a file and field with its opinions in order, and ``agree``: n * n flags."""
     v = voters(opinions)
-    qid = F.col("qid") if "qid" in v.columns else F.lit(None).cast("string")
-    one = F.struct("feed_ord", "provider", "value", "confidence", "weak", normal_title(F.col("value")).alias("norm"), qid.alias("qid"))
-    g = v.groupBy("file_id", "field").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    explicit = F.exists("all", lambda o: ~o["weak"])
-    g = g.select("file_id", "field", F.filter("all", lambda o: ~o["weak"] | ~explicit).alias("ops"))
-    pairs = lambda rule: F.flatten(F.transform("ops", lambda a: F.transform("ops", lambda b: rule(a, b))))
-    title = F.col("field").isin(*TITLES)
-    g = g.withColumn("known", F.when(title, pairs(_title_rule)).otherwise(pairs(lambda a, b: a["value"] == b["value"])))
-    g = g.withColumn("asked", F.when(F.exists("known", lambda k: k.isNull()), F.transform("ops", lambda o: o["norm"])).otherwise(F.array().cast("array<string>")))
-    return g.select("file_id", "field", "ops", _agreement("asked", "known").alias("agree"))
+    v = v if "qid" in v.columns else v.withColumn("qid", F.lit(None).cast("string"))
+    o = F.struct("feed_ord", "provider", "value", "confidence", "weak", "qid")
+    return agreed(v.groupBy("file_id", "field").agg(F.array_sort(F.collect_list(_opinion(o))).alias("all")))
+
+
+def ballots(files: DataFrame) -> DataFrame:
+    """Ballots (``file_id, field, at, all``) of files whose opinions come in one row (``file_id, at, opinions``: array of structs of
+    feed_ord, provider, field, value, confidence, weak, qid): what ``gathered`` collects, without a shuffle."""
+    fine = F.filter("opinions", lambda o: F.coalesce(o["value"], F.lit("")) != "")
+    f = files.withColumn("opinions", fine)
+    f = f.select("file_id", "at", "opinions", F.explode(F.array_distinct(F.transform("opinions", lambda o: o["field"]))).alias("field"))
+    mine = F.filter("opinions", lambda o: o["field"] == F.col("field"))
+    mine = F.transform(mine, lambda o: o.withField("weak", F.coalesce(o["weak"], F.lit(False)) & F.col("field").isin(*X.EXPENSIVE)))
+    return f.select("file_id", "field", "at", F.array_sort(F.transform(mine, _opinion)).alias("all"))
 
 
 CLUSTER = "array<struct<lead:int,members:array<int>,score:double,vw:double>>"
@@ -106,7 +128,7 @@ def clusters(g: DataFrame) -> DataFrame:
         return let(at, lambda k: F.when(k == 0, F.array_append(acc, new)).otherwise(F.transform(acc, lambda c, j: F.when(j == k - 1, joined(c)).otherwise(c))))
 
     out = F.aggregate(F.sequence(F.lit(0), n - 1), F.from_json(F.lit("[]"), CLUSTER), step)
-    return g.select("file_id", "field", "ops", out.alias("clusters"))
+    return g.select(*[c for c in g.columns if c != "agree"], out.alias("clusters"))
 
 
 def verdicts(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
@@ -114,7 +136,13 @@ def verdicts(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
 
     scores: ``provider, field, score`` from earlier runs, the third tie-break; it has a row a provider and field.
     """
-    c = clusters(gathered(opinions))
+    return judged(gathered(opinions), scores)
+
+
+def judged(g: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Verdicts on gathered opinions; columns besides ``field, ops, agree`` stay."""
+    c = clusters(g)
+    keep = [c for c in g.columns if c not in ("field", "ops", "agree")]
     if scores is not None:
         s = scores.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("provider", "score"))).alias("succ"))
         c = c.join(F.broadcast(s), "field", "left")  # a row for each of the fixed fields
@@ -136,7 +164,7 @@ def verdicts(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
 
     c = c.withColumn("r", F.array_sort(F.transform("clusters", ranked)))
     win, run = F.col("r")[0], F.try_element_at("r", F.lit(2))
-    c = c.select("file_id", "field", win.alias("w"), F.coalesce(run["score"], F.lit(0.0)).alias("run"), run.isNotNull().alias("rival"), F.aggregate("r", F.lit(0.0), lambda a, k: a + k["score"]).alias("total"))
+    c = c.select(*keep, "field", win.alias("w"), F.coalesce(run["score"], F.lit(0.0)).alias("run"), run.isNotNull().alias("rival"), F.aggregate("r", F.lit(0.0), lambda a, k: a + k["score"]).alias("total"))
     c = c.withColumn("share", F.when(F.col("total") > 0, F.col("w.score") / F.col("total")).otherwise(0.0))
     n, score = F.size("w.providers"), F.col("w.score")
     tied = F.col("rival") & (F.abs(score - F.col("run")) < 1e-9)
@@ -146,7 +174,7 @@ def verdicts(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     cheap = F.when((n >= 2) | (F.col("share") >= X.CHEAP_SHARE), "accept").otherwise("guess")
     decision = F.when(F.col("field").isin(*X.EXPENSIVE), dear).otherwise(cheap)
     posterior = F.least(score / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")) * F.col("w.mean"), F.lit(X.POSTERIOR_CAP))
-    return c.select("file_id", "field", F.col("w.value").alias("value"), F.col("w.providers").alias("providers"), "share", posterior.alias("posterior"), tied.alias("by_priority"), decision.alias("decision")).withColumn("usable", F.col("decision") != "skip")
+    return c.select(*keep, "field", F.col("w.value").alias("value"), F.col("w.providers").alias("providers"), "share", posterior.alias("posterior"), tied.alias("by_priority"), decision.alias("decision")).withColumn("usable", F.col("decision") != "skip")
 
 
 def vote(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
