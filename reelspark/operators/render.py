@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -11,9 +12,105 @@ from reelspark.functions import fixed as X
 from reelspark.functions.base import cut
 
 
+#: [[fill]align][sign][z][#][0][width][grouping][.precision][type]
+SPEC = re.compile(r"(?:(?P<fill>.)?(?P<align>[<>=^]))?(?P<sign>[+\- ])?(?P<z>z)?(?P<alt>\#)?(?P<zero>0)?(?P<width>\d+)?(?P<group>[,_])?(?:\.(?P<precision>\d+))?(?P<kind>[a-zA-Z%])?", re.S)
+#: Fields that are whole numbers; all others are texts.
+NUMBERS = ("season", "episode", "year")
+
+
+def parts_of(template: str) -> list[tuple[str, str | None, str, str | None]]:
+    """(text, field, spec, conversion) of a template; ValueError for what it can't mean: braces that don't match, fields
+    without a name, attributes, indexes, and specs that hold fields."""
+    out = []
+    for text, field, spec, conversion in string.Formatter().parse(template):
+        if field is not None:
+            if not re.fullmatch(r"[^\W\d]\w*", field):
+                raise ValueError(f"a template's fields are plain names: {{{field}}}")
+            if "{" in spec:
+                raise ValueError(f"a field's format can't hold fields: {{{field}:{spec}}}")
+            if conversion not in (None, "r", "s", "a"):
+                raise ValueError(f"no such conversion: !{conversion}")
+            compiled(F.lit(None), spec, conversion is None and field in NUMBERS)
+        out.append((text, field, spec or "", conversion))
+    return out
+
+
 def fields_of(template: str) -> list[str]:
     """The fields that a template uses; a malformed template raises ValueError here, before any file is touched."""
-    return [f for _, f, _, _ in string.Formatter().parse(template) if f]
+    return [f for _, f, _, _ in parts_of(template) if f is not None]
+
+
+def quoted(c: Column, ascii_only: bool = False) -> Column:
+    """The text as a literal: in single quotes, or double ones where it has single ones only; backslashes, quotes, line
+    breaks and tabs escaped, and with ``ascii_only`` all that isn't ASCII."""
+    double = c.contains("'") & ~c.contains('"')
+    t = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for plain, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(plain), F.lit(name))
+    t = F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    if not ascii_only:
+        return t
+    code = lambda ch: F.ascii(ch)
+    escaped = lambda ch: F.when(code(ch) < 128, ch).when(code(ch) < 256, F.format_string("\\x%02x", code(ch))).when(code(ch) < 65536, F.format_string("\\u%04x", code(ch))).otherwise(F.format_string("\\U%08x", code(ch)))
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0)), escaped), "")
+
+
+def _padded(sign: Column, body: Column, fill: str, align: str, width: int) -> Column:
+    """sign and body in ``width`` code points: ``=`` pads between them, ``^`` puts the odd one on the right."""
+    room = F.greatest(F.lit(width) - F.length(sign) - F.length(body), F.lit(0))
+    pad = lambda n: F.repeat(F.lit(fill), n.cast("int"))
+    left = F.floor(room / 2)
+    return {
+        "<": F.concat(sign, body, pad(room)), ">": F.concat(pad(room), sign, body), "=": F.concat(sign, pad(room), body), "^": F.concat(pad(left), sign, body, pad(room - left)),
+    }[align]
+
+
+def _grouped(digits: Column, by: str, size: int) -> Column:
+    return F.regexp_replace(digits, rf"(?<=[0-9a-fA-F])(?=(?:[0-9a-fA-F]{{{size}}})+$)", by)
+
+
+def compiled(c: Column, spec: str, whole: bool) -> Column:
+    """``format(c, spec)`` of a text or (``whole``) a whole number; nulls count as empty and 0. ValueError for a spec that has
+    no meaning for it, and for the general float format and zeros between grouped digits, which aren't offered."""
+    m = SPEC.fullmatch(spec)
+    if m is None:
+        raise ValueError(f"no such format: {spec!r}")
+    g = m.groupdict()
+    width, kind = int(g["width"] or 0), g["kind"] or ""
+    if not whole:
+        bad = [k for k in ("sign", "z", "alt", "group") if g[k]]
+        if bad or kind not in ("", "s") or g["align"] == "=":
+            raise ValueError(f"a text can't be formatted by {spec!r}")
+        t = F.coalesce(c.cast("string"), F.lit(""))
+        t = t if g["precision"] is None else F.substring(t, 1, int(g["precision"]))
+        return _padded(F.lit(""), t, g["fill"] or ("0" if g["zero"] and not g["align"] else " "), g["align"] or "<", width) if width else t
+    decimal = kind in tuple("eEfF%")
+    if kind not in ("", *"bcdnoxXeEfF%") or (g["z"] and not decimal) or (g["precision"] is not None and not decimal):
+        raise ValueError(f"a whole number can't be formatted by {spec!r}")
+    if (kind == "c" and (g["sign"] or g["group"] or g["alt"])) or (kind == "n" and g["group"]) or (kind in tuple("eE") and g["group"]) or (g["group"] and g["zero"] and not g["align"]):
+        raise ValueError(f"a whole number can't be formatted by {spec!r}")
+    n = F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    size, digits, prefix = F.abs(n), F.abs(n).cast("string"), ""
+    if kind == "b":
+        digits, prefix = F.bin(size), "0b"
+    elif kind in tuple("oxX"):
+        digits, prefix = F.format_string(f"%{kind}", size), f"0{kind}"
+    elif kind == "c":
+        digits = F.char(size)
+    elif decimal:
+        p = int(g["precision"] if g["precision"] is not None else 6)
+        digits = F.format_string(f"%.{p}{'f' if kind in 'fF%' else kind}", (size * F.lit(100) if kind == "%" else size).cast("double")) if kind in tuple("eE") else F.concat((size * (100 if kind == "%" else 1)).cast("string"), F.lit("." + "0" * p if p else ("." if g["alt"] else "")))
+    if g["group"]:
+        every = 4 if kind in tuple("boxX") else 3
+        head = F.regexp_extract(digits, r"^[0-9a-fA-F]+", 0)
+        digits = F.concat(_grouped(head, g["group"], every), F.substring(digits, F.length(head) + 1, F.length(digits)))
+    tail = "%" if kind == "%" else ""
+    plus = {"+": "+", " ": " "}.get(g["sign"] or "", "")
+    sign = F.lit("") if kind == "c" else F.concat(F.when(n < 0, "-").otherwise(plus), F.lit(prefix if g["alt"] else ""))
+    align = g["align"] or ("=" if g["zero"] else "<" if kind == "c" else ">")
+    fill = g["fill"] or ("0" if g["zero"] else " ")
+    body = F.concat(digits, F.lit(tail))
+    return _padded(sign, body, fill, align, width) if width else F.concat(sign, body)
 
 
 def sanitize(name: Column) -> Column:
@@ -24,22 +121,21 @@ def sanitize(name: Column) -> Column:
     return cut(cut(n, r"[|\x00-\x1f]", "_"), r"[. ]+$")
 
 
-def _formatted(c: Column, spec: str) -> Column:
-    if spec.endswith("d"):
-        return F.format_string(f"%{spec}", F.coalesce(c.cast("int"), F.lit(0)))
-    return F.coalesce(c.cast("string"), F.lit(""))
-
-
 def render(template: str, columns: dict[str, Column]) -> Column:
     """The cleaned and sanitised name; empty if the template has a field that there is no column for."""
     parts = []
-    for text, field, spec, _ in string.Formatter().parse(template):
+    for text, field, spec, conversion in parts_of(template):
         if text:
             parts.append(F.lit(text))
         if field is not None:
             if field not in columns:
                 return F.lit("")
-            parts.append(_formatted(columns[field], spec or ""))
+            c = columns[field]
+            if conversion in ("r", "a"):
+                c = F.coalesce(c, F.lit(0)).cast("string") if field in NUMBERS else quoted(F.coalesce(c.cast("string"), F.lit("")), conversion == "a")
+            elif conversion == "s" and field in NUMBERS:
+                c = F.coalesce(c, F.lit(0))
+            parts.append(compiled(c, spec, conversion is None and field in NUMBERS))
     n = F.concat(*parts) if parts else F.lit("")
     for pattern in (r"\s*\[\s*\]\s*", r"\s*\(\s*\)\s*", r"\s*\{\s*\}", r"\s*\(\s*0\s*\)\s*"):
         n = cut(n, X.U + pattern)
