@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from reelspark.functions import fixed as X
 from reelspark.functions.base import cut, group, hit, number
+from reelspark.plans.cut import cut as cut_lineage
 
 
 @F.pandas_udf(T.StringType())
@@ -101,3 +102,38 @@ def first_year(pages: DataFrame) -> DataFrame:
     dates = F.regexp_extract_all("text", F.lit(X.WIKI_DATE_FIELD), F.lit(0))
     years = pages.select("title", F.explode(dates).alias("d")).select("title", F.regexp_extract("d", r"(?:19|20)\d{2}", 0).alias("y"))
     return years.groupBy("title").agg(F.min(F.col("y").cast("int")).alias("year"))
+
+
+def redirected(redirects: DataFrame) -> DataFrame:
+    """``page, target``: where redirects (``page, target``, a page once) lead in the end. Pages that lead into a circle lead nowhere.
+
+    Pointers double: each round halves every page's way, and what isn't done after as many rounds as the longest way could
+    need is a circle.
+    """
+    r = redirects.filter("page is not null and target is not null")
+    more = r.select(F.col("page").alias("target"), F.lit(True).alias("more")).distinct()
+    p = cut_lineage(r.join(more, "target", "left").select("page", "target", F.col("more").isNull().alias("done")))
+    going, rounds = p.filter("not done").count(), 0
+    while going and rounds <= going.bit_length():
+        far = p.select(F.col("page").alias("target"), F.col("target").alias("far"), F.col("done").alias("far_done"))
+        p = cut_lineage(p.join(far, "target", "left").select("page", F.when(F.col("done"), F.col("target")).otherwise(F.col("far")).alias("target"), (F.col("done") | F.col("far_done")).alias("done")))
+        rounds += 1
+    return p.filter("done").select("page", "target")
+
+
+def followed(pages: DataFrame) -> DataFrame:
+    """``page, text`` of pages (``page, text, redirect``; see ``sources.dump``): a redirect has the text of the page that it leads to
+    in the end; one that leads nowhere is left out."""
+    own = pages.filter("redirect is null").select("page", "text")
+    to = redirected(pages.filter("redirect is not null").select("page", F.col("redirect").alias("target")))
+    return own.unionByName(to.join(own.withColumnRenamed("page", "target"), "target").select("page", "text"))
+
+
+def show_years(shows: DataFrame, search: DataFrame, texts: DataFrame) -> DataFrame:
+    """``title, year`` of shows (``title``): the first year on the pages of its first season, its own name, and that name as a
+    series or anime; where none of them has one, on the page that a search for the title finds (``query, rank, page``)."""
+    t = shows.select("title").filter("title <> ''").distinct()
+    names = F.array(F.concat("title", F.lit(" season 1")), "title", F.concat("title", F.lit(" (TV series)")), F.concat("title", F.lit(" (anime)")))
+    own = first_year(t.select("title", F.explode(names).alias("page")).join(texts, "page"))
+    rest = t.join(own, "title", "left_anti").join(search.filter("rank = 1").select(F.col("query").alias("title"), "page"), "title")
+    return own.unionByName(first_year(rest.join(texts, "page")))

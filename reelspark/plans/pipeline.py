@@ -14,13 +14,14 @@ from reelspark.operators import allocate as A
 from reelspark.operators import evidence as E
 from reelspark.operators import render as R
 from reelspark.operators import voting as V
+from reelspark.plans import lookups as L
 from reelspark.plans.cut import cut
 
 
 @dataclass
 class Options:
     """template: of the user's, else the defaults. season: settles that field for all files. catalogs: found rows
-    (``file_id, title, year, ep_title``) by provider. probes: ``file_id, json``. existing: ``dir, name`` of what lies beside
+    (``file_id, title, year, ep_title``) by provider; library: tables in which they are looked up. probes: ``file_id, json``. existing: ``dir, name`` of what lies beside
     the files besides themselves. moves: files are moved one after another, in path order, so that later ones may take the
     names of earlier ones; else the plan is that of a dry run, which frees no name. names: what earlier batches have taken, given
     the names that are wanted now (see ``streaming.arrivals``)."""
@@ -29,6 +30,7 @@ class Options:
     template: str = ""
     season: int = 0
     catalogs: dict[str, DataFrame] = field(default_factory=dict)
+    library: L.Library | None = None
     probes: DataFrame | None = None
     existing: DataFrame | None = None
     moves: bool = False
@@ -54,6 +56,9 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     o = options or Options()
     p = skipped(E.parsed(files)).withColumns({"dir_title": paths.title_from_path(F.col("path")), "dir_season": paths.season_from_path(F.col("path"))})
     p = cut(p.withColumn("title", _asked_title(o.known_title)))
+    if o.library is not None and o.library.wiki is not None:
+        named = L.translated(p.filter("skip_reason = ''").select("file_id", "title", "is_series", "year"), o.library)
+        p = cut(p.join(named.select("file_id", F.col("title").alias("named")), "file_id", "left").withColumn("title", F.coalesce("named", "title")).drop("named"))
     go = p.filter("skip_reason = ''")
     local = E.together(E.filename_opinions(go, o.known_title), E.dirname_opinions(go, F.col("dir_title"), F.col("dir_season")), *([E.file_opinions(o.probes.join(go.select("file_id"), "file_id"))] if o.probes is not None else []))
     local = cut(local)
@@ -67,8 +72,9 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     if o.season > 0:
         p = p.withColumns({"season": F.lit(o.season), "season_assumed": F.lit(False), "is_series": F.lit(True), "refused": F.array_remove("refused", "season")})
     p = cut(p)
-    asked = p.filter("skip_reason = ''").select("file_id", "title", "season_assumed")
-    online = [E.catalog_opinions(asked, name, found) for name, found in o.catalogs.items()]
+    asked = p.filter("skip_reason = ''").select("file_id", "title", "season_assumed", "is_series", "is_special", "season", "episode", "year", F.lit("").alias("ep_title"))
+    catalogs = o.catalogs | (L.found(asked.filter("title <> ''"), o.library) if o.library is not None else {})
+    online = [E.catalog_opinions(asked, name, found) for name, found in catalogs.items()]
     cheap = V.fuse(E.together(local, *online).filter(~F.col("field").isin(*X.EXPENSIVE)))
     wide = V.usable_values(cheap, ("title", "year", "ep_title", "resolution", "source", "codec", "audio", "hdr", "mod", "quality", "channels"))
     wide = wide.select("file_id", *[F.col(c).alias(f"w_{c}") for c in wide.columns if c != "file_id"])

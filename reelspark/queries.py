@@ -10,11 +10,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import media, names, paths, quality
-from reelspark.operators import allocate, catalogs, evidence, render, search, voting, wikitext
+from reelspark.operators import allocate, catalogs, entities, evidence, render, search, voting, wikitext
 from reelspark.plans import corpora as C
+from reelspark.plans import lookups
 from reelspark.plans.cut import cut
-from reelspark.plans.pipeline import plan
+from reelspark.plans.pipeline import Options, identify, plan
 from reelspark.sources import scan
+from reelspark.streaming import scores
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -509,6 +511,81 @@ def show_search(spark, d):
     return catalogs.search_shows(titles, catalogs.show_hits(titles, index))
 
 
+@query(f"""SELECT p_partkey AS file_id, {CAP.format('p_name')} AS title, CAST(([1990, 1985, 2005])[length(p_name) % 3 + 1] AS INT) AS year,
+CASE length(p_name) % 3 WHEN 0 THEN 'Tale of ' WHEN 1 THEN 'Page of ' END || p_name || ' ' || ((p_size % 5 + 1) * 100 + p_partkey % 40 + 1) AS ep_title FROM part""")
+def library_lookups(spark, d):
+    """Title, year and episode title after both votes, of files whose names say nothing of the last two: shows through an index
+    of their names, episodes and years of pages, films through their search."""
+    p = part(spark, d)
+    s, e = "lpad(p_size % 5 + 1, 2, '0')", "lpad(p_partkey % 40 + 1, 2, '0')"
+    f = p.selectExpr("p_partkey as file_id", f"concat('/lib/', replace(p_name, ' ', '.'), case when length(p_name) % 3 = 2 then '' else concat('.S', {s}, 'E', {e}) end, '.1080p.mkv') as path")
+    n = p.selectExpr("p_name", "initcap(p_name) as title", "length(p_name) % 3 as k").distinct()
+    numbers = "inline(flatten(transform(sequence(1, 5), s -> transform(sequence(1, 40), e -> struct(s as season, e as number)))))"
+    shows = n.filter("k = 0").select("p_name", "title", F.dense_rank().over(Window.orderBy("p_name")).cast("long").alias("show_id"))
+    episodes = shows.selectExpr("show_id", "p_name", numbers).selectExpr("show_id", "season", "number", "concat('Tale of ', p_name, ' ', season * 100 + number) as name", "'regular' as type", "season * 100 + number as ord")
+    index = search.build_index(shows.selectExpr("show_id as id", "title as name"))
+    lists = n.filter("k = 1").selectExpr("p_name", "title", numbers)
+    block = F.concat(F.lit("{{Episode list\n| EpisodeNumber = "), "number", F.lit("\n| Title = Page of "), "p_name", F.lit(" "), F.col("season") * 100 + F.col("number"), F.lit("\n}}\n"))
+    seasons = lists.groupBy("title", "season").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("b")))), lambda x: x["b"]), "").alias("b"))
+    texts = seasons.groupBy("title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("season", "b"))), lambda x: F.concat(F.lit("== Season "), x["season"], F.lit(" ==\n"), x["b"])), "").alias("text"))
+    texts = texts.select(F.concat(F.lit("List of "), "title").alias("page"), "text").unionByName(n.filter("k = 1").selectExpr("title as page", "'| first_aired = {{Start date|1985|1|1}}' as text"))
+    hits = n.filter("k = 1").selectExpr("concat('List of ', title, ' episodes') as query", "1 as rank", "concat('List of ', title) as page")
+    none = lambda schema: spark.createDataFrame([], schema)
+    wiki = lookups.Wiki(hits, none("page string, qid string"), none("qid string, types array<string>, year int, labels map<string,string>"), none("page string, to_lang string, name string"), texts)
+    films = lookups.Films(none("query string, rank int, show_id long, first_air_date string"), none("show_id long, season int, number int, name string, ord int"), n.filter("k = 2").selectExpr("title as query", "1 as rank", "title", "'' as original_title", "'2005-06-07' as release_date"))
+    found = identify(f, Options(library=lookups.Library("en", wiki, lookups.Shows(index, shows.selectExpr("show_id", "title as name", "'1990-02-03' as premiered"), episodes), films)))
+    return found.select("file_id", "title", "year", F.when(F.col("is_series"), F.col("ep_title")).alias("ep_title"))
+
+
+@query("""SELECT 'Q' || p_partkey AS qid, CASE WHEN p_partkey % 5 = 3 THEN '' ELSE 'Q11424,Q' || (20000 + p_size) END AS types,
+CAST(CASE p_partkey % 5 WHEN 0 THEN 1950 + p_size WHEN 1 THEN 1970 + p_size WHEN 2 THEN NULL WHEN 3 THEN 1950 + p_size ELSE 2000 END AS INT) AS year, 'Name of ' || p_name AS label
+FROM part WHERE p_partkey % 7 <> 6""")
+def entity_years(spark, d):
+    """Entities from answers as text: several types and dates, dates without a year or of other kinds, claims without a value, dates of
+    a beginning only, no dates, and answers that are cut short."""
+    snak = lambda v: "{\"mainsnak\":{\"datavalue\":{\"value\":" + v + "}}}"
+    time = lambda y: snak("{\"time\":\"" + y + "-01-01T00:00:00Z\"}")
+    none, text, unknown = "{\"mainsnak\":{\"snaktype\":\"novalue\"}}", snak("\"+1234\""), time("+19xx")
+    cases = [
+        f'"P577":[{unknown},{none},{time("+<a>")},{time("+1900")}],"P580":[{time("+1900")}]', f'"P577":[{text},{unknown}],"P580":[{time("-<b>")}]', f'"P577":[{none}]',
+        f'"P577":[{time("+<a>")}]', f'"P577":[{time("+0000")},{time("+1999")}],"P580":[{time("+2000")}]',
+    ]
+    types = '"P31":[' + ",".join([snak('{"id":"Q<t>"}'), none, snak('"Q5"'), snak('{"id":""}'), snak('{"id":"Q11424"}')]) + "]"
+    dates = F.element_at(F.array(*map(F.lit, cases)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    claims = F.concat(F.lit('"claims":{'), F.when(F.col("p_partkey") % 5 == 3, F.lit("")).otherwise(F.lit(types + ",")), dates, F.lit("}"))
+    label = F.concat(F.lit('"labels":{"en":{"language":"en","value":"Name of '), "p_name", F.lit('"}}'))
+    body = F.concat(F.lit('{"entities":{"Q'), "p_partkey", F.lit('":{'), label, F.lit(","), claims, F.lit("}}}"))
+    for name, value in (("<a>", F.col("p_size") + 1950), ("<b>", F.col("p_size") + 1970), ("<t>", F.col("p_size") + 20000)):
+        body = F.replace(body, F.lit(name), value.cast("string"))
+    body = F.when(F.col("p_partkey") % 7 == 6, F.substring(body, 1, 40)).otherwise(body)
+    raw = part(spark, d).select(F.concat(F.lit("Q"), "p_partkey").alias("qid"), body.alias("json"))
+    return entities.entities(raw).select("qid", F.array_join("types", ",").alias("types"), "year", F.col("labels")["en"].alias("label"))
+
+
+@query("""SELECT p_name AS title, CAST(1 AS INT) AS season, CAST(p_size AS INT) AS number, arg_min(p_type || ' ' || p_partkey, p_partkey) AS ep_title FROM part WHERE length(p_name) % 3 <> 2 GROUP BY ALL""")
+def redirected_episodes(spark, d):
+    """Episodes of pages that are reached through redirects of one and of many steps; of pages in a circle there are none."""
+    p = part(spark, d)
+    block = F.concat(F.lit("{{Episode list\n| EpisodeNumber = "), F.col("p_size"), F.lit("\n| Title = "), F.col("p_type"), F.lit(" "), F.col("p_partkey"), F.lit("\n}}"))
+    texts = p.groupBy("p_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    own = texts.selectExpr("concat(p_name, ' 9') as page", "text", "cast(null as string) as redirect")
+    steps = texts.selectExpr("p_name", "length(p_name) % 3 as k", "explode(sequence(0, 8)) as i").filter("k > 0 or i = 8")
+    target = "concat(p_name, ' ', case when k = 2 and i = 8 then 3 else i + 1 end)"
+    pages = own.unionByName(steps.selectExpr("concat(p_name, ' ', i) as page", "'#REDIRECT' as text", f"{target} as redirect"))
+    search = texts.selectExpr("concat('List of ', p_name, ' episodes') as query", "1 as rank", "concat(p_name, case when length(p_name) % 3 = 0 then ' 8' else ' 0' end) as page")
+    found = wikitext.show_episodes(texts.select(F.col("p_name").alias("title")), search, wikitext.followed(pages))
+    return found.select("title", "season", "number", "ep_title")
+
+
+@query(SQL["update_scores"])
+def ballot_wins(spark, d):
+    """Wins of providers from files that arrive with all their opinions, as the stream of scores counts them."""
+    o = C.opinions(spark, d).withColumn("qid", F.lit(None).cast("string"))
+    one = F.struct("feed_ord", "provider", "field", "value", F.col("confidence").cast("double").alias("confidence"), "weak", "qid")
+    files = o.groupBy("file_id").agg(F.collect_list(one).alias("opinions")).withColumn("at", F.expr("timestamp '2024-01-01 00:00:00'"))
+    return scores.wins(files).groupBy("provider", "field").agg(F.sum("won").alias("score"))
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -1,15 +1,18 @@
-"""Video files under a directory as a table, through a Python data source; a partition a sub-directory."""
+"""Video files under a directory as a table: a frontier of directories, or a Python data source with a partition a sub-directory."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from reelspark.functions import fixed as X
+from reelspark.plans.cut import cut
 
 SCHEMA = "path string, size long"
 
@@ -56,10 +59,45 @@ class VideoFiles(DataSource):
         return _Reader(self.options)
 
 
+def _listed(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+    """Directories to look into, and names of video files, in each of the directories."""
+    for b in batches:
+        for top in b["path"]:
+            rows = []
+            try:
+                with os.scandir(top) as entries:
+                    for e in entries:
+                        if e.is_dir(follow_symlinks=False):
+                            if deep and not hidden(e.name):
+                                rows.append((e.path, True))
+                        elif os.path.splitext(e.name)[1][1:].lower() in X.VIDEO_EXTENSIONS:
+                            rows.append((e.path, False))
+            except OSError:  # it has gone, or may not be read
+                continue
+            for a in range(0, len(rows), 65536):
+                yield pd.DataFrame(rows[a : a + 65536], columns=["path", "folder"])
+
+
+def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(p, os.path.getsize(p)) for p in b["path"] if os.path.isfile(p)]
+        yield pd.DataFrame(rows, columns=["path", "size"])
+
+
 def find_video_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """``path, size``, sorted by path in code-point order. All executors must see the directory."""
-    spark.dataSource.register(VideoFiles)
-    return spark.read.format("videofiles").option("recursive", str(recursive)).load(directory).orderBy("path")
+    """``path, size``, sorted by path in code-point order. All executors must see the directory; a missing one is empty.
+
+    Directories are a frontier that is listed level by level, each level dealt anew over all tasks, and so are the files, whose sizes
+    are asked for afterwards; so neither a deep tree nor a large directory keeps one task busy with all of it.
+    """
+    level = spark.createDataFrame([(directory,)] if os.path.isdir(directory) else [], "path string")
+    files = spark.createDataFrame([], "path string")
+    tasks = spark.sparkContext.defaultParallelism
+    while not level.isEmpty():
+        found = cut(level.repartition(tasks).mapInPandas(partial(_listed, deep=recursive), "path string, folder boolean"))
+        files = files.unionByName(found.filter("not folder").select("path"))
+        level = found.filter("folder").select("path")
+    return files.repartition(tasks).mapInPandas(_sized, SCHEMA).orderBy("path")
 
 
 def is_video(path: Column) -> Column:
