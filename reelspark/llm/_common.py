@@ -65,14 +65,33 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         _remove(spark, f.rsplit("/", 1)[0])
 
 
-def open_store(path: str, mode: str):
-    """A stream at a URI of any store that pyarrow knows; local files are memory-mapped for reading."""
+def _store(path: str):
+    """The store of a URI, of any kind that pyarrow knows, and the path in it."""
     from pyarrow import fs
 
     uri = path if ":" in path.split("/")[0] else f"file://{path}"
     for name in ("s3a:", "s3n:"):  # Hadoop's names of a store that pyarrow calls s3
         uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
-    store, at = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def stored_rows(path: str) -> Iterator[dict]:
+    """The rows of a table that Spark has written as Parquet, one at a time, in a task."""
+    from pyarrow import fs, parquet
+
+    store, at = _store(path)
+    for f in sorted(store.get_file_info(fs.FileSelector(at)), key=lambda f: f.path):
+        if f.base_name.startswith("part-"):
+            with store.open_input_file(f.path) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(batch_size=1):
+                    yield from batch.to_pylist()
+
+
+def open_store(path: str, mode: str):
+    """A stream at a URI of any store that pyarrow knows; local files are memory-mapped for reading."""
+    from pyarrow import fs
+
+    store, at = _store(path)
     if mode == "w":
         store.create_dir(at.rpartition("/")[0], recursive=True)
         return store.open_output_stream(at, compression=None)

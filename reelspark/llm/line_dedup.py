@@ -3,9 +3,11 @@ r"""Removal of lines that repeat across documents.
 Two Bloom filters tell keys of lines that were seen once from those that were seen twice. Both are cut into segments by
 the key's hash and built where the lines are: a partition sets, for each segment, the bits of the keys it has seen (once)
 and of those it has seen in two documents (twice). What travels is the set bits, sorted and compressed, never a line or
-its hash. A segment's filters are merged bit by bit: what two partitions have both seen once was seen twice. The merged
-twice-seen filters are written to the shared folder, and every task holds its keys against them segment by segment, so
-a task has a few filters in memory, however many there are.
+its hash. A segment's filters are merged bit by bit: what two partitions have both seen once was seen twice. Few keys
+are, so a merged twice-seen filter is folded in half, again and again, until a quarter of its bits would be set: its size
+follows the keys that repeat, not all keys. The folded filters are a table in the shared folder. A task collects the
+hashes of its keys (HELD_KEYS at a time, more than a partition of usual size has), sorts them by segment and goes through
+the table once, with one filter in memory.
 
 A line whose key isn't in the twice-seen filter is unique and never moves. Suspected repeats are shuffled as 128-bit
 digests with their document, counted exactly, and the document that keeps a line is chosen; what filters suspect
@@ -16,9 +18,9 @@ after the partial count.
 from __future__ import annotations
 
 import hashlib
-import uuid
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, new_path, open_store, text_chunks, written
+from ._common import map_rows, new_path, stored_rows, text_chunks, written
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Bits for each key, and positions set for each.
@@ -36,8 +38,10 @@ BITS, PROBES = 12, 6
 SEGMENT_BITS, SEGMENTS = 1 << 25, 16
 #: Bytes of text for each key, about: where lines are shorter, more of them are suspected wrongly.
 KEY_BYTES = 40
-#: Keys that a task collects before it sets their bits, and filters that a worker remembers.
-HELD, REMEMBERED = 500_000, 24
+#: Keys that a task collects before it sets their bits, and before it holds them against the filters.
+HELD, HELD_KEYS = 500_000, 2_000_000
+#: A filter is folded as long as no more than this part of its bits is set.
+FILL = 0.25
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -52,7 +56,7 @@ class Shape:
     def __init__(self, text_bytes: int):
         keys = max(1, text_bytes // KEY_BYTES)
         self.segments = max(SEGMENTS, -(-keys * BITS // SEGMENT_BITS))
-        self.bits = max(512, -(-keys * BITS // self.segments // 8) * 8)
+        self.bits = 1 << (max(512, -(-keys * BITS // self.segments)) - 1).bit_length()  # a power of two, as folding needs
 
     def segment(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(40)) % np.uint64(self.segments)).astype(np.int64)
@@ -110,48 +114,58 @@ def merged(pieces: list[tuple[bytes, bytes]], bits: int) -> np.ndarray:
     return twice
 
 
-def _merge(table: pa.Table, root: str, bits: int) -> pa.Table:
-    """Writes the segment's twice-seen filter. Files of lost attempts are in no manifest and are never read."""
+def folded(flags: np.ndarray) -> np.ndarray:
+    """The filter as bytes, folded in half while few enough of its bits are set; a power of two of bits in any case."""
+    while len(flags) > 512:
+        half = flags[: len(flags) // 2] | flags[len(flags) // 2 :]
+        if half.mean() > FILL:
+            break
+        flags = half
+    return np.packbits(flags)
+
+
+def _merge(table: pa.Table, bits: int) -> pa.Table:
+    """The segment's twice-seen filter; no row if nothing was seen twice."""
     twice = merged(list(zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True)), bits)
-    path = f"{root}/{table.column('segment')[0].as_py()}-{uuid.uuid4().hex}" if twice.any() else ""
-    if path:
-        with open_store(path, "w") as out:
-            out.write(zstandard.compress(np.packbits(twice).tobytes(), 1))
-    return pa.table({"segment": table.column("segment").slice(0, 1), "path": pa.array([path], pa.string())})
+    found = [folded(twice).tobytes()] if twice.any() else []
+    return pa.table({"segment": table.column("segment").slice(0, len(found)), "filter": pa.array(found, pa.binary())})
 
 
-@lru_cache(maxsize=REMEMBERED)
-def _filter(path: str) -> np.ndarray:
-    with open_store(path, "r") as source:
-        return np.frombuffer(zstandard.decompress(source.read()), np.uint8)
+def holds(filter_: bytes, places: np.ndarray) -> np.ndarray:
+    """Which keys (a row of bits each) a folded filter may hold."""
+    f = np.frombuffer(filter_, np.uint8)
+    places = places & np.uint32(8 * len(f) - 1)
+    return ((f[places >> np.uint32(3)] >> (np.uint8(7) - (places & np.uint32(7)).astype(np.uint8))) & 1).all(axis=1)
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], files: dict[int, str], shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
+def _suspects(batches: Iterator[pa.RecordBatch], filters: str, shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
     """(digest, doc_id) of each key of a document that may repeat."""
 
-    def found(docs: list[int], keys: list[bytes]) -> pa.RecordBatch:
-        h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-        seg, keep = shape.segment(h), np.zeros(len(h), bool)
+    def found(docs: array, hashes: array, digests: bytearray) -> Iterator[pa.RecordBatch]:
+        h, d = np.frombuffer(hashes, np.uint64), np.frombuffer(docs, np.int64)
+        seg = shape.segment(h)
         order = np.argsort(seg, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
-            if path := files.get(int(seg[at[0]])):
-                places = shape.places(h[at])
-                keep[at] = ((_filter(path)[places >> np.uint32(3)] >> (np.uint8(7) - (places & np.uint32(7)).astype(np.uint8))) & 1).all(axis=1)
-        at = np.flatnonzero(keep)
-        return pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in at], pa.binary()), "doc_id": pa.array([docs[i] for i in at], pa.int64())})
-
-    docs, keys = [], []
+        seg = seg[order]
+        for row in stored_rows(filters):
+            at = order[np.searchsorted(seg, row["segment"]) : np.searchsorted(seg, row["segment"], side="right")]
+            at = at[holds(row["filter"], shape.places(h[at]))] if len(at) else at
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([bytes(digests[16 * i : 16 * i + 16]) for i in at.tolist()], pa.binary()), "doc_id": pa.array(d[at])})
+
+    docs, hashes, digests = array("q"), array("Q"), bytearray()
     for chunk, texts in text_chunks(batches, "text"):
         for doc, text in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
             new = {line_key(x, least) for x in text.split("\n")}
             new.discard(None)
-            keys.extend(new)
+            for k in new:
+                hashes.append(xxhash.xxh3_64_intdigest(k))
+                digests += hashlib.blake2b(k, digest_size=16).digest()
             docs.extend([doc] * len(new))
-        if len(keys) > HELD // 8:
-            yield found(docs, keys)
-            docs, keys = [], []
-    if keys:
-        yield found(docs, keys)
+        if len(hashes) > HELD_KEYS:
+            yield from found(docs, hashes, digests)
+            docs, hashes, digests = array("q"), array("Q"), bytearray()
+    if hashes:
+        yield from found(docs, hashes, digests)
 
 
 def repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> DataFrame:
@@ -166,13 +180,13 @@ def repeated_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> Da
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     shape = Shape(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     pieces = d.select("text").mapInArrow(partial(_filters, shape=shape, least=least), "segment long, once binary, twice binary")
-    root = new_path(spark, "line-filters")
 
     def merge(table: pa.Table) -> pa.Table:
-        return _merge(table, root, shape.bits)
+        return _merge(table, shape.bits)
 
-    files = {r.segment: r.path for r in pieces.groupBy("segment").applyInArrow(merge, "segment long, path string").filter("path <> ''").collect()}  # a row a segment
-    found = written(d.mapInArrow(partial(_suspects, files=files, shape=shape, least=least), "digest binary, doc_id long"), "line-suspects").distinct()
+    filters = new_path(spark, "line-filters")
+    pieces.groupBy("segment").applyInArrow(merge, "segment long, filter binary").write.option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(filters)
+    found = written(d.mapInArrow(partial(_suspects, filters=filters, shape=shape, least=least), "digest binary, doc_id long"), "line-suspects").distinct()
     kept = found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     lost = found.join(kept.select("digest", "keeper"), "digest").filter("doc_id <> keeper")
     return written(lost.groupBy("doc_id").agg(F.collect_list("digest").alias("drop")), "lines-lost")

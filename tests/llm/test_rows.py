@@ -202,3 +202,33 @@ def test_line_dedup_columns_of_any_name(spark):
     d = spark.createDataFrame(rows, "doc_id int, text string, `a``b` double, `digest` string")
     out = line_dedup.drop_repeated_lines(d, min_docs=2)
     assert out.columns == [*d.columns, "__dropped"] and sorted((r.doc_id, r.text) for r in out.collect()) == [(0, "own"), (1, "own"), (2, "own"), (3, "x" * 30 + "\nown")]
+
+
+def test_line_dedup_goes_through_many_segments(spark, monkeypatch):
+    """Hundreds of segments, keys held in small lots, filters folded to what repeats: nothing that repeats is missed."""
+    monkeypatch.setattr(line_dedup, "SEGMENTS", 300)
+    monkeypatch.setattr(line_dedup, "HELD_KEYS", 500)
+    monkeypatch.setattr(line_dedup, "HELD", 300)
+    texts = ["\n".join(f"line number {(i * 37 + j * j) % (900 if j % 3 else 100_000)} of a document, twenty" for j in range(12)) for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    holders = defaultdict(set)
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            holders[x].add(i)
+    gone = {x: max(v) for x, v in holders.items() if len(v) >= 3}
+    want = {i: "\n".join(x for x in t.split("\n") if gone.get(x, i) == i) for i, t in enumerate(texts)}
+    assert len(gone) > 100 and {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(d).collect()} == want
+
+
+def test_folded_filters():
+    """A folded filter holds all that it held before, in a size that follows what was seen twice."""
+    shape = line_dedup.Shape(200_000 * line_dedup.KEY_BYTES)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    sizes = []
+    for n in (0, 1, 50, 3000, 12_000):
+        flags = np.zeros(shape.bits, bool)
+        flags[shape.places(h[:n]).ravel()] = True
+        f = line_dedup.folded(flags).tobytes()
+        assert line_dedup.holds(f, shape.places(h[:n])).all() and line_dedup.holds(f, shape.places(h[n:])).mean() < 0.01
+        sizes.append(len(f))
+    assert sizes[0] == 64 and sizes == sorted(sizes) and sizes[2] <= 256 and shape.bits & (shape.bits - 1) == 0
