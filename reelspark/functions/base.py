@@ -27,6 +27,11 @@ def group(c: Column, pattern: str, n: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))
 
 
+def number_in(c: Column, pattern: str, n: int = 1) -> Column:
+    """A group of the first match as a number; null where there is none. The pattern runs once: nothing is no number."""
+    return number(F.regexp_extract(c, pattern, n))
+
+
 def number(c: Column) -> Column:
     return c.try_cast("int")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .base import cut, group, hit, let, number
+from .base import cut, group, hit, let, number, number_in
 
 MODIFIER_ANYWHERE = X.I + r"(?<!^)(?:" + "|".join(f"(?:{p})" for _, p in X.MODIFIERS) + r")\b"
 
@@ -35,21 +35,21 @@ def season_episode(name: Column) -> Column:
     A season without an episode is carried on to the forms that give only an episode; these assume season 1 (also in
     place of a carried 0) if there is none.
     """
-    s, e = number(group(name, X.SERIES, 1)), number(group(name, X.SERIES, 2))
-    alone, bracket = number(group(name, X.EPISODE_ALONE)), number(group(name, X.EPISODE_BRACKETS))
-    carried = F.coalesce(F.nullif(s, F.lit(0)), F.lit(1))
-
     def made(season, episode, assumed):
         return F.struct(season.cast("int").alias("season"), episode.cast("int").alias("episode"), assumed.alias("assumed"))
 
-    no = F.lit(False)
-    out = F.when(e.isNotNull(), made(s, e, no))
-    out = out.when(hit(name, X.SERIES_X), made(number(group(name, X.SERIES_X, 1)), number(group(name, X.SERIES_X, 2)), no))
-    for found in (alone, bracket):
-        out = out.when(found.isNotNull() & ~found.isin(*X.NOT_EPISODES), made(carried, found, s.isNull()))
-    for pattern in (X.SEASON_DOT_EPISODE, X.SEASON_DOT_DIGIT):
-        out = out.when(hit(name, pattern), made(number(group(name, pattern, 1)), number(group(name, pattern, 2)), no))
-    return out.otherwise(made(s, F.lit(None), no))
+    def other(s: Column) -> Column:
+        no, carried = F.lit(False), F.coalesce(F.nullif(s, F.lit(0)), F.lit(1))
+        out = F.when(hit(name, X.SERIES_X), made(number_in(name, X.SERIES_X, 1), number_in(name, X.SERIES_X, 2), no))
+        for pattern in (X.EPISODE_ALONE, X.EPISODE_BRACKETS):
+            found = number_in(name, pattern)
+            out = out.when(found.isNotNull() & ~found.isin(*X.NOT_EPISODES), made(carried, found, s.isNull()))
+        for pattern in (X.SEASON_DOT_EPISODE, X.SEASON_DOT_DIGIT):
+            out = out.when(hit(name, pattern), made(number_in(name, pattern, 1), number_in(name, pattern, 2), no))
+        return out.otherwise(made(s, F.lit(None), no))
+
+    both = F.struct(number_in(name, X.SERIES, 1).alias("s"), number_in(name, X.SERIES, 2).alias("e"))
+    return let(both, lambda m: F.when(m["e"].isNotNull(), made(m["s"], m["e"], F.lit(False))).otherwise(other(m["s"])))
 
 
 def is_special(name: Column) -> Column:
@@ -70,7 +70,7 @@ def _second(rest: Column, first: Column) -> Column:
             (num != "") & ~hit(after, X.U + r"^\.\d") & ~hit(after, X.TECH_UNITS) & ~num.isin(*X.RESOLUTION_WIDTHS) & (F.length(num) < 4)
             & hit(sep, r"[-+&_]") & (n > first) & (n - first <= X.MAX_RANGE_GAP), n,
         )
-        return F.when(hit(r, marker), number(group(r, marker))).otherwise(bare)
+        return F.when(hit(r, marker), number_in(r, marker)).otherwise(bare)
 
     return let(F.substring(rest, F.length(sep) + 1, F.length(rest)), of)
 
@@ -85,7 +85,7 @@ def episode_pairs(name: Column) -> Column:
         def pair(mark: Column, i: Column) -> Column:
             # what follows marker i: text, marker, text, ... up to the end
             tail = F.concat_ws("", F.flatten(F.zip_with(F.slice(between, i + 2, F.size(between)), F.concat(F.slice(marks, i + 2, F.size(marks)), F.array(F.lit(""))), lambda t, m: F.array(t, m))))
-            first = number(group(mark, X.U + r"(?:s\d{1,2}e|e|x)(\d{1,3})"))
+            first = number_in(mark, X.U + r"(?:s\d{1,2}e|e|x)(\d{1,3})")
             return F.struct(first.alias("first"), _second(tail, first).alias("second"))
 
         return F.filter(F.transform(marks, pair), lambda p: p["second"].isNotNull())
