@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .base import any_pattern, cut, first_label, group, hit, let, number
+from .base import any_pattern, cut, first_label, group, hit, let, number, quoted
 from .names import basename, clean_title
 
 
@@ -89,10 +89,10 @@ def supplementary_reason(path: Column) -> Column:
     def by_name(stem: Column) -> Column:
         plain = F.trim(cut(stem, r"[._]", " "))
         hits = any_pattern(stem, X.SUPPLEMENTARY_STEMS) | any_pattern(plain, X.SUPPLEMENTARY_STEMS)
-        return F.when(hits, F.concat(F.lit("supplementary filename: '"), stem, F.lit("'"))).otherwise("")
+        return F.when(hits, F.concat(F.lit("supplementary filename: "), quoted(stem))).otherwise("")
 
     found = F.try_element_at(dirs, F.lit(1))
-    return F.coalesce(F.concat(F.lit("supplementary directory: '"), found, F.lit("'")), let(_stem(path), by_name), F.lit(""))
+    return F.coalesce(F.concat(F.lit("supplementary directory: "), quoted(found)), let(_stem(path), by_name), F.lit(""))
 
 
 def is_supplementary(path: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelspark.functions import fixed as X
-from reelspark.functions.base import cut
+from reelspark.functions.base import cut, quoted
 
 
 #: [[fill]align][sign][z][#][0][width][grouping][.precision][type]
@@ -40,21 +40,6 @@ def fields_of(template: str) -> list[str]:
     return [f for _, f, _, _ in parts_of(template) if f is not None]
 
 
-def quoted(c: Column, ascii_only: bool = False) -> Column:
-    """The text as a literal: in single quotes, or double ones where it has single ones only; backslashes, quotes, line
-    breaks and tabs escaped, and with ``ascii_only`` all that isn't ASCII."""
-    double = c.contains("'") & ~c.contains('"')
-    t = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for plain, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        t = F.replace(t, F.lit(plain), F.lit(name))
-    t = F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
-    if not ascii_only:
-        return t
-    code = lambda ch: F.ascii(ch)
-    escaped = lambda ch: F.when(code(ch) < 128, ch).when(code(ch) < 256, F.format_string("\\x%02x", code(ch))).when(code(ch) < 65536, F.format_string("\\u%04x", code(ch))).otherwise(F.format_string("\\U%08x", code(ch)))
-    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0)), escaped), "")
-
-
 def _padded(sign: Column, body: Column, fill: str, align: str, width: int) -> Column:
     """sign and body in ``width`` code points: ``=`` pads between them, ``^`` puts the odd one on the right."""
     room = F.greatest(F.lit(width) - F.length(sign) - F.length(body), F.lit(0))
@@ -145,17 +130,20 @@ def render(template: str, columns: dict[str, Column]) -> Column:
     return sanitize(n)
 
 
-def rename_status(new_name: Column, old_name: Column, skip_reason: Column, refused: Column, title: Column, ep_title: Column, uses: Column) -> Column:
+def rename_status(new_name: Column, old_name: Column, skip_reason: Column, refused: Column, title: Column, ep_title: Column, uses: Column, season: Column | None = None, episode: Column | None = None) -> Column:
     """struct(status, reason): ``skipped``, ``unchanged`` or ``renamed``; the first reason that applies.
 
-    refused, uses: arrays of field names that voting refused and that the template needs.
+    refused, uses: arrays of field names that voting refused and that the template needs; season, episode: null where a name has
+    none (not looked at if they aren't given).
     """
     made = lambda s, r: F.struct(F.lit(s).alias("status"), r.alias("reason"))
     disputed = F.filter(F.array(F.lit("season"), F.lit("episode")), lambda f: F.array_contains(refused, f) & F.array_contains(uses, f))
+    out = F.when(F.coalesce(skip_reason, F.lit("")) != "", made("skipped", skip_reason)).when(F.coalesce(F.length(title), F.lit(0)) < 2, made("skipped", F.lit("no title")))
+    for field, value in (("season", season), ("episode", episode)):
+        if value is not None:
+            out = out.when(F.array_contains(uses, field) & value.isNull(), made("skipped", F.lit(f"no {field}")))
     return (
-        F.when(F.coalesce(skip_reason, F.lit("")) != "", made("skipped", skip_reason))
-        .when(F.coalesce(F.length(title), F.lit(0)) < 2, made("unchanged", F.lit("no title")))
-        .when(F.size(disputed) > 0, made("unchanged", F.concat(F.lit("disputed: "), F.array_join(disputed, ", "))))
+        out.when(F.size(disputed) > 0, made("unchanged", F.concat(F.lit("disputed: "), F.array_join(disputed, ", "))))
         .when(F.array_contains(uses, "ep_title") & (F.coalesce(ep_title, F.lit("")) == ""), made("skipped", F.lit("no episode title")))
         .when(F.coalesce(new_name, F.lit("")).isin("") | (new_name == old_name), made("unchanged", F.lit("same name")))
         .otherwise(made("renamed", F.lit("")))

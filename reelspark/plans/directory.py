@@ -43,7 +43,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-sn", "--season-number", type=int, default=0, help="season of all files")
     p.add_argument("-p", "--pattern", default="", help="template of new names")
     p.add_argument("-n", "--dry-run", action="store_true", help="show new names, rename nothing")
-    p.add_argument("-l", "--language", default="en", help="language of new names, a code of two letters")
+    p.add_argument("-l", "--language", default="", help="language of new names, a code such as en; files whose titles aren't known in it are skipped")
     p.add_argument("--library", default="", metavar="FOLDER", help="tables of catalogs to look titles up in")
     p.add_argument("--probe", action="store_true", help="read container facts, where a prober is installed")
     p.add_argument("-d", "--directory", default="", help="where the files are; the current directory by default")
@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
-    if not re.fullmatch("[a-z]{2}", a.language):
+    if a.language and not re.fullmatch(r"[a-z]{2,6}(?:-[a-z]+)*", a.language):
         raise ValueError(f"unknown language code {a.language!r}")
     R.fields_of(a.pattern)
     if a.library and not os.path.isdir(a.library):
@@ -77,7 +77,7 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
     spark = spark or SparkSession.builder.appName("reelspark").getOrCreate()
     raw = a.title.strip() or a.title_opt.strip()
     known = spark.range(1).select(names.clean_title(F.lit(raw))).first()[0] if raw else ""
-    library = library_at(spark, os.path.abspath(a.library), a.language) if a.library else None
+    library = replace(library_at(spark, os.path.abspath(a.library), a.language or "en"), explicit=bool(a.language)) if a.library else None
     options = Options(known_title=known, template=a.pattern, season=a.season_number, library=library)
     prober = COMMAND if a.probe and shutil.which(COMMAND[0]) else None
     done, (renamed, total, errors) = process_directory(spark, directory, options, dry_run=a.dry_run, prober=prober)

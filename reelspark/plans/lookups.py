@@ -54,10 +54,13 @@ class Films:
 
 @dataclass
 class Library:
+    """explicit: the language was asked for, so files whose titles aren't known in it are skipped."""
+
     language: str = "en"
     wiki: Wiki | None = None
     shows: Shows | None = None
     films: Films | None = None
+    explicit: bool = False
 
 
 #: Tables of a library on disk, a Parquet table each, and which of its parts they make up.

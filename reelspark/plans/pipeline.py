@@ -58,7 +58,12 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     p = cut(p.withColumn("title", _asked_title(o.known_title)))
     if o.library is not None and o.library.wiki is not None:
         named = L.translated(p.filter("skip_reason = ''").select("file_id", "title", "is_series", "year"), o.library)
-        p = cut(p.join(named.select("file_id", F.col("title").alias("named")), "file_id", "left").withColumn("title", F.coalesce("named", "title")).drop("named"))
+        p = p.join(named.select("file_id", F.col("title").alias("named")), "file_id", "left")
+        if o.library.explicit:  # a title in another language that isn't known in the one that was asked for
+            source = paths.detect_language(F.col("title"))
+            lost = (F.col("named") == F.col("title")) & source.isNotNull() & (source != o.library.language)
+            p = p.withColumn("skip_reason", F.when(F.coalesce(lost, F.lit(False)), F.concat(F.lit("no translation from "), source)).otherwise(F.col("skip_reason")))
+        p = cut(p.withColumn("title", F.coalesce("named", "title")).drop("named"))
     go = p.filter("skip_reason = ''")
     local = E.together(E.filename_opinions(go, o.known_title), E.dirname_opinions(go, F.col("dir_title"), F.col("dir_season")), *([E.file_opinions(o.probes.join(go.select("file_id"), "file_id"))] if o.probes is not None else []))
     local = cut(local)
@@ -101,7 +106,7 @@ def plan(files: DataFrame, options: Options | None = None) -> DataFrame:
     new = F.when(F.col("is_series"), R.render(series, cols)).otherwise(R.render(films, cols))
     uses = F.when(F.col("is_series"), F.array(*[F.lit(f) for f in R.fields_of(series)])).otherwise(F.array(*[F.lit(f) for f in R.fields_of(films)]))
     p = p.withColumn("new_name", new)
-    p = p.withColumn("s", R.rename_status(F.col("new_name"), F.col("basename"), F.col("skip_reason"), F.col("refused"), F.col("title"), F.col("ep_title"), uses))
+    p = p.withColumn("s", R.rename_status(F.col("new_name"), F.col("basename"), F.col("skip_reason"), F.col("refused"), F.col("title"), F.col("ep_title"), uses, F.col("season"), F.col("episode")))
     p = p.select("file_id", "path", F.col("basename").alias("old_name"), F.when(F.col("s.status") == "renamed", F.col("new_name")).otherwise(F.col("basename")).alias("new_name"), "s.status", "s.reason")
     p = p.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     there = p.select("dir", F.col("old_name").alias("name"))

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ def test_a_plan_with_catalogs(spark):
     assert new[3][1] == new[4][1] == "skipped"
     known = {r.file_id: (r.title, r.ep_title) for r in lookups.identified(evidence.parsed(f), library(spark)).collect()}
     assert known[0][0] == "Dark" and known[1] == ("Show", "The Third") and known[2][0] == "Some Film"
+    french = Options(library=replace(library(spark, "fr"), explicit=True))
+    assert [(r.status, r.reason) for r in plan(f.filter("file_id < 2"), french).orderBy("file_id").collect()] == [("skipped", "no translation from ru"), ("renamed", "")]
     german = lookups.translated(evidence.parsed(f), library(spark, "de")).filter("file_id = 0").first()
     assert german.title == "Dunkel"
 

@@ -42,3 +42,17 @@ def test_templates(spark):
 def test_what_has_no_meaning(template):
     with pytest.raises(ValueError):
         render.fields_of(template)
+
+
+def test_reasons(spark):
+    """What keeps a file from a new name, the first that applies; names in reasons are quoted."""
+    from reelspark.functions import paths
+    from reelspark.plans.pipeline import Options, plan
+
+    rows = ["/tv/It's \"X\"/Deleted Scenes/a.mkv", "/tv/it's.trailer/Behind the scenes of it's.mkv", "/tv/Show.S02.mkv"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "file_id long, path string")
+    assert [r[0] for r in df.select(paths.supplementary_reason(F.col("path"))).collect()][:2] == ["supplementary directory: 'Deleted Scenes'", 'supplementary filename: "Behind the scenes of it\'s"']
+    p = plan(df.filter("file_id = 2"), Options(template="{title}.{episode}.{ext}")).first()
+    assert p.status in ("skipped", "renamed") and (p.status != "skipped" or p.reason == "no episode")
+    s = lambda **k: spark.range(1).select(render.rename_status(F.lit("n"), F.lit("o"), F.lit(""), F.array().cast("array<string>"), F.lit(k.get("title", "T t")), F.lit("e"), F.array(F.lit("season"), F.lit("episode")), F.lit(k.get("season", 1)).cast("int"), F.lit(k.get("episode", 1)).cast("int")).alias("s")).first().s[:]
+    assert (s(), s(title="T"), s(season=None), s(episode=None)) == (("renamed", ""), ("skipped", "no title"), ("skipped", "no season"), ("skipped", "no episode"))
