@@ -18,32 +18,39 @@ from reelspark.llm.packing import pack_sequences
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay: those without a letter, and those that no model explains, go."""
+    """Documents whose language is known stay: those without a letter (null and empty texts too), and those that no model
+    explains, go. Rows are judged one by one, so repeated rows share their fate and ids may be null; a null lang isn't learnt
+    from. Texts count whole. Without a labelled row nothing is known and no row stays; an empty table stays empty."""
     models = train_languages(docs.select("doc_id", "text", "lang").filter(F.coalesce(fold() != 1, F.lit(True))))
     return identify(docs, models).filter("not __rejected").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 or more code points that three or more documents share stay in the last of them only. No document
-    goes here, not even one that is left empty; ``n_chars`` follows the text."""
+    goes here, not even one that is left empty; ``n_chars`` follows the text. Rows with a null text or doc_id stay as they are, rows
+    of one doc_id are one document, and an empty table stays empty; texts of any length are split whole."""
     out = drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id: five words, 0.8 or more."""
+    """One document of each group of near copies stays, that of the smallest doc_id: five words, 0.8 or more. Rows without a doc_id
+    or without words are no copies and stay; rows that repeat a doc_id stay or go together; an empty table stays empty."""
     return one_of_each(docs, k=5, num=4, den=5)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their weights, in training order. Documents are taken whole, some not at all and some twice."""
+    """The sources at their weights, in training order. Documents are taken whole, some not at all and some twice; those without
+    words (null texts too) never. A null source is one of its own, after all others; a null doc_id is like any other;
+    repeated rows are interchangeable; an empty table stays empty."""
     size = word_count(F.col("text"))
     mixed = curriculum(docs, size, F.col("source"), [F.col("doc_id"), F.xxhash64("text")], whole=True)
     return in_order(mixed).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens. A null text is its end id; repeated rows, and those
+    without a doc_id, are packed as often as they come; long texts are cut; an empty table gives no pieces."""
     import public_tokenizers
 
     return pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
