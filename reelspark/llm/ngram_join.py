@@ -266,7 +266,8 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     if there are fewer. Two documents link when their sets' Jaccard similarity is num/den or more, in whole numbers.
     component_id is the smallest doc_id reachable by links. Texts without words, and null texts, have empty sets and
     link with nothing; so do rows without a doc_id, whose component is null. Repeated rows each give a row; an empty
-    table gives an empty table; other columns don't reach the result. ``bits`` of the sets' names are for tests.
+    table gives an empty table; other columns don't reach the result. Texts of any length are read whole; the set of
+    one lies in one task. ``bits`` of the sets' names are for tests.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = docs.count()
@@ -328,7 +329,11 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows without a doc_id stay."""
+    """``docs`` without the documents whose component has a smaller doc_id (see ``ngram_components``).
+
+    Rows without a doc_id, and those without words, stay; rows that repeat the doc_id that stays all stay, and those of one
+    that goes all go. Columns pass through whatever their names, but for ``__gone``; an empty table gives an empty table.
+    """
     gone = written(ngram_components(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -112,7 +112,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
 
     Null text counts as empty: such a document is its end id. Ids of each document lie in exactly one piece; with
     ``keep_ids`` a piece carries them (``ids``, little-endian 32-bit). Repeated rows are packed as often as they
-    come. A sequence's pieces leave no gap before its padding. An empty table gives an empty table; columns other than
+    come; of pieces of one length, any order is as good, and reruns agree on it but for rows without an id. Texts of any
+    length are cut into full windows first. A sequence's pieces leave no gap before its padding. An empty table gives an empty table; columns other than
     ``doc_id`` and ``text`` don't reach the result, so no name can clash.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -119,8 +119,9 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, length: int = 2048, rows: int = 256) -> DataFrame:
     """Write all documents (``doc_id`` long, ``text``; null text counts as empty) and return the manifest, a row a file.
 
-    Files follow each other in ascending doc_id (null ids first; equal ids in the order of their texts' hashes).
-    A table without rows gives an empty manifest and no files.
+    Files follow each other in ascending doc_id (null ids first; equal ids in the order of their texts' hashes; repeated
+    rows are written as often as they come). Texts of any length are encoded whole and may fill many sequences. A table
+    without rows gives an empty manifest and no files. Other columns aren't read, so no name can clash.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))

@@ -33,3 +33,13 @@ def test_stages(spark, docs):
 def test_run(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and cp.ORACLE_SQL is None
+
+
+def test_stages_on_empty_tables(spark, none):
+    """Each stage by itself, and a table in which no row is labelled."""
+    d = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in cp.STAGES:
+        out = stage(spark, d, "")
+        assert out.count() == 0 and (name == "packing" or out.columns == d.columns)
+    unknown = spark.createDataFrame([(1, "some words without a language", None, None, 29), (2, None, None, None, None)], d.schema)
+    assert cp.language(spark, unknown, "").count() == 0
