@@ -50,6 +50,17 @@ def test_search(spark, monkeypatch, block, k):
     assert all(r.name == names[r.id] for r in got)
 
 
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_copies_are_one_posting(spark, k):
+    """Titles of the same words cost what one of them does, whatever their order, and come out by their ids."""
+    titles = [(i * 7 % 600, ("a b c", "c B a!", "b c", "a c c", f"d{i % 5} b")[i % 5]) for i in range(600)]
+    index = search.build_index(spark.createDataFrame(titles, "id long, name string").repartition(3))
+    assert index.blocks.agg(F.sum(F.size("entries"))).first()[0] == 9
+    queries = ["a b", "B, a", "a c", "c", "d4 a b c", "b unknown"]
+    got = search.search(spark.createDataFrame([(q,) for q in queries], "query string"), index, k).collect()
+    assert sorted((r["query"], r["rank"], r["id"], round(r["score"], 9)) for r in got) == plain_search(titles, queries, k)
+
+
 def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "id long, name string")
     index = search.build_index(none)
