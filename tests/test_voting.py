@@ -70,3 +70,11 @@ def test_scores_break_ties_and_entities_join(spark):
     t = opinions(spark, [op("filename", "title", "Yuru Camp"), op("tvmaze", "title", "Laid-Back Camp")])
     assert len(by_case(vote(t))[0, "title"].providers) == 1
     assert len(by_case(vote(t.withColumn("qid", F.lit("Q1"))))[0, "title"].providers) == 2
+
+
+def test_filters_of_verdicts_do_not_repeat_the_vote(spark):
+    """A filter of usable verdicts looks at what the vote has settled; it doesn't hold the vote itself."""
+    o = opinions(spark, [op("filename", "season", "1", 0.9)])
+    plan = usable_values(vote(o), ("season",))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("aggregate(" in line for line in plan.splitlines() if "Filter " in line)
+    assert [tuple(r) for r in usable_values(vote(o), ("season",)).collect()] == [(0, "1")]
