@@ -23,6 +23,8 @@ YEAR = U + r"(?<![a-zA-Z])((?:19|20)\d{2})(?![a-zA-Z]|p|i)"
 EXTENSION = r"\.([a-zA-Z0-9]+)$"
 NOT_EPISODES = (480, 576, 720)
 MULTI_MARKER = U + r"(?:^|[.\s\-_+&,])+(?:s\d{1,2}e\d{1,3}|\d{1,2}x\d{2,3})"
+#: What follows a marker where a second episode may: all that ``names.episode_pairs`` finds, and some more.
+SECOND_EPISODE = U + r"(?:^|[.\s\-_+&,])(?:s\d{1,2}e\d{1,3}+|\d{1,2}x\d{2,3}+)(?:[.\s\-_+&,]|and)*+(?:[se]\d|\d{1,2}x\d|(?!\d{4}|(?:480|576|720)(?!\d))\d)"
 RESOLUTION_WIDTHS = ("480", "576", "720", "1080", "2160")
 TECH_UNITS = I + r"^[\s.\-]*(?:bit|bits|fps|hz|khz|mhz|ch|channels?|kbps|mbps|vbr|cbr)\b"
 MAX_RANGE_GAP = 2
@@ -130,6 +132,11 @@ MODIFIERS = (
     ("OM", r"\bOM\b"),
     ("INT", r"\bINT\b"),
 )
+#: What any match of a rule for audio, HDR, remux, 3D or modifiers holds, in ASCII texts.
+RARE = (
+    r"(?i)remux|\b(?:TrueHD|DTS|FLAC|AAC|AC3|DD|MP3|PCM|Opus|Dolby|DOVI|DV|HDR|HLG|3D|Special|Collector|Altern|Director|Theatrical|Extended|Fan|Open|IMAX|Criterion|Unrated|Uncut"
+    r"|Rema|Restored|Internal|Proper|Repack|Convert|Upscale|Hybrid|DC|SE|CE|OM|INT)"
+)
 
 # --- Fixed values: directories ---------------------------------------------------------------------------------------
 GENERIC_WORDS = (

@@ -90,7 +90,8 @@ def episode_pairs(name: Column) -> Column:
 
         return F.filter(F.transform(marks, pair), lambda p: p["second"].isNotNull())
 
-    return let(F.lower(without_extension(name)), of)
+    none = F.array().cast("array<struct<first:int,second:int>>")
+    return let(F.lower(without_extension(name)), lambda n: F.when(hit(n, X.SECOND_EPISODE), of(n)).when(n.isNotNull(), none))
 
 
 def episode_numbers(name: Column) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import fixed as X
 from reelspark.functions import media, names, paths, quality
+from reelspark.plans.cut import spread
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """files (``file_id, path``) with the fields that a name gives, a row a file."""
     name = names.basename(F.col("path"))
-    p = files.select("*", name.alias("basename"))
+    p = spread(files).select("*", name.alias("basename"))
     p = p.select("*", names.season_episode(F.col("basename")).alias("se"), quality.quality(F.col("basename")).alias("q"), names.is_special(F.col("basename")).alias("is_special"), names.title_before_marker(F.col("basename")).alias("title"))
     return p.select(
         *files.columns, "basename", "title", names.dotted(F.col("title")).alias("dot_title"), names.dotted(F.col("q.label")).alias("dot_quality"), "is_special",

@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt to all cores: for work that costs far more than reading its rows, which a small file leaves to few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the checkpoint folder, as a path of the file system; ValueError if that folder is in another store."""
     root = _checkpoint_dir(spark)

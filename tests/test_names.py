@@ -88,3 +88,27 @@ def test_supplementary(spark):
 @pytest.mark.parametrize("title,lang", [("Тьма", "ru"), ("進撃", "ja"), ("Ωμέγα", "el"), ("Dark", None), (None, None)])
 def test_language(spark, title, lang):
     assert values(spark, [title], paths.detect_language) == [lang]
+
+
+def test_parsing_is_dealt_to_all_cores(spark):
+    """A small file of names is one task's to read, but not to parse."""
+    from reelspark.operators import evidence
+
+    files = spark.range(40).coalesce(1).selectExpr("id as file_id", "concat('/a/x.S01E0', id % 10, '.mkv') as path")
+    p = evidence.parsed(files)
+    assert p.rdd.getNumPartitions() > 1 and p.count() == 40
+
+
+def test_second_episodes_are_told_at_a_glance(spark):
+    """Names with a second episode all pass the look that spares others the search; null stays null."""
+    from pyspark.sql import functions as F
+
+    from reelspark.functions import fixed, names
+    from reelspark.functions.base import hit
+
+    yes = ["a.S01E01E02", "a.S01E01-02", "a.s01e01 and S01E02", "a.1x01-1x02", "a 1x09+10", "a.S01E01.and.E02.", "a.S01E07 & 08", "a_S01E01_-_02", "S01E01E02.mkv"]
+    no = ["a.S01E01.1080p", "a.S01E01", "a.S01E01.720p.mkv", "a.S01E01.x264", "and", "", "a.S01E01-99", "a.S01E001-002.1080p"]
+    d = spark.createDataFrame([(n,) for n in [*yes, *no, None]], "n string").select("n", names.is_multi_episode(F.col("n")).alias("m"), hit(F.lower("n"), fixed.SECOND_EPISODE).alias("look"))
+    got = {r.n: (r.m, r.look) for r in d.collect()}
+    assert all(got[n] == (True, True) for n in yes) and not any(got[n][0] for n in no) and got[None][0] is None
+    assert not got["a.S01E01.1080p"][1] and not got["a.S01E01.720p.mkv"][1]
