@@ -47,16 +47,22 @@ def label(q: Column) -> Column:
 
 
 def quality(name: Column) -> Column:
-    """struct(resolution, source, codec, audio, hdr, is_remux, is_3d, modifiers, label); nulls where nothing matches."""
+    """struct(resolution, source, codec, audio, hdr, is_remux, is_3d, modifiers, label); nulls where nothing matches. Most names
+    hold nothing that the rules for the last six could match; one look tells that."""
 
-    def of(n: Column) -> Column:
+    def rare(n: Column) -> Column:
+        return F.struct(n.alias("n"), ((F.length(n) < F.octet_length(n)) | hit(n, X.RARE)).alias("rare"))
+
+    def of(v: Column) -> Column:
+        n, r = v["n"], v["rare"]
         q = F.struct(
-            resolution(n).alias("resolution"), source(n).alias("source"), codec(n).alias("codec"), audio(n).alias("audio"), hdr(n).alias("hdr"),
-            hit(n, X.I + X.REMUX).alias("is_remux"), hit(n, X.I + X.THREE_D).alias("is_3d"), modifiers(n).alias("modifiers"),
+            resolution(n).alias("resolution"), source(n).alias("source"), codec(n).alias("codec"), F.when(r, audio(n)).alias("audio"), F.when(r, hdr(n)).alias("hdr"),
+            F.coalesce(r & hit(n, X.I + X.REMUX), F.lit(False)).alias("is_remux"), F.coalesce(r & hit(n, X.I + X.THREE_D), F.lit(False)).alias("is_3d"),
+            F.when(F.coalesce(r, F.lit(True)), modifiers(n)).otherwise(F.array().cast("array<string>")).alias("modifiers"),
         )
         return let(q, lambda v: v.withField("label", label(v)))
 
-    return let(normalised(name), of)
+    return let(let(normalised(name), rare), of)
 
 
 def strip_modifiers(title: Column) -> Column:

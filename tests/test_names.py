@@ -112,3 +112,17 @@ def test_second_episodes_are_told_at_a_glance(spark):
     got = {r.n: (r.m, r.look) for r in d.collect()}
     assert all(got[n] == (True, True) for n in yes) and not any(got[n][0] for n in no) and got[None][0] is None
     assert not got["a.S01E01.1080p"][1] and not got["a.S01E01.720p.mkv"][1]
+
+
+def test_rare_rules_are_tried_where_they_can_match(spark):
+    """What the one look for rare rules lets through is all that these rules match, in any case and script."""
+    from pyspark.sql import functions as F
+
+    from reelspark.functions import fixed, quality
+
+    tokens = ["TrueHD", "dts-hd", "DTS", "flac", "AAC5.1", "AC3", "DDP5.1", "mp3", "PCM", "Opus", "Dolby.Vision", "DOVI", "DV", "hdr10+", "HLG", "HDR", "Uhd.Remux", "BDRemux", "3D", *(m.replace("'", "") for m, _ in fixed.MODIFIERS), "Repack", "ﬁn", "Тьма.dv", "none"]
+    n = F.col("n")
+    d = spark.createDataFrame([(f"a.{t}.1080p.mkv",) for t in tokens], "n string").select("n", quality.quality(n).alias("q"), quality.audio(n).alias("audio"), quality.hdr(n).alias("hdr"), quality.modifiers(n).alias("mods"))
+    rows = d.collect()
+    assert all((r.q.audio, r.q.hdr, r.q.modifiers) == (r.audio, r.hdr, r.mods) for r in rows)
+    assert sum(bool(r.audio or r.hdr or r.mods or r.q.is_remux or r.q.is_3d) for r in rows) == len(tokens) - 2
