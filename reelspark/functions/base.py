@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -45,7 +46,22 @@ def first_label(c: Column, rules: Iterable[tuple], flags: str = "(?iuU)") -> Col
 
 
 def any_pattern(c: Column, patterns: Iterable[str], flags: str = "(?iuU)") -> Column:
-    return hit(c, flags + "|".join(f"(?:{p})" for p in patterns))
+    """Does one of the patterns match? Those that begin with ``^`` share it, so that all fail at once elsewhere."""
+    patterns = list(patterns)
+    first = [p[1:] for p in patterns if p.startswith("^") and "|" not in re.sub(r"\(\?:[^()]*\)", "", p)]
+    other = [f"(?:{p})" for p in patterns if p[1:] not in first or not p.startswith("^")]
+    return hit(c, flags + "|".join(([f"^(?:{'|'.join(first)})"] if first else []) + other))
+
+
+def before_match(c: Column, pattern: str) -> Column:
+    """What stands before the first match of a pattern without ``.``; empty without a match. Unlike ``split``, which compiles its
+    pattern for each row."""
+    return F.regexp_extract(c, r"(?s)^(.*?)(?-s)" + pattern, 1)
+
+
+def after_match(c: Column, pattern: str) -> Column:
+    """What stands after the first match of a pattern that has groups only where ``re`` sees them, and no ``.``; empty without a match."""
+    return F.regexp_extract(c, r"(?s)^.*?(?-s)" + pattern + r"(?s)(.*)", len(re.findall(r"(?<!\\)\((?!\?)", pattern)) + 1)
 
 
 def quoted(c: Column, ascii_only: bool = False) -> Column:

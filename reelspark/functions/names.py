@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .base import cut, group, hit, let, number, number_in
+from .base import after_match, before_match, cut, hit, let, number, number_in
 
 MODIFIER_ANYWHERE = X.I + r"(?<!^)(?:" + "|".join(f"(?:{p})" for _, p in X.MODIFIERS) + r")\b"
 
@@ -48,7 +48,8 @@ def season_episode(name: Column) -> Column:
             out = out.when(hit(name, pattern), made(number_in(name, pattern, 1), number_in(name, pattern, 2), no))
         return out.otherwise(made(s, F.lit(None), no))
 
-    both = F.struct(number_in(name, X.SERIES, 1).alias("s"), number_in(name, X.SERIES, 2).alias("e"))
+    # the marker alone says what its groups are, and is short
+    both = let(F.regexp_extract(name, X.SERIES, 0), lambda m: F.struct(number_in(m, X.SERIES, 1).alias("s"), number_in(m, X.SERIES, 2).alias("e")))
     return let(both, lambda m: F.when(m["e"].isNotNull(), made(m["s"], m["e"], F.lit(False))).otherwise(other(m["s"])))
 
 
@@ -114,9 +115,9 @@ def without_last_year(name: Column) -> Column:
         years = F.regexp_extract_all(name, F.lit(X.YEAR), F.lit(0))
         n = F.size(years)
         head = F.array_join(F.zip_with(F.slice(between, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(years, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda t, y: F.concat(t, y)), "")
-        return F.when(n == 0, name).otherwise(F.concat(head, F.element_at(between, -2), F.element_at(between, -1)))
+        return F.concat(head, F.element_at(between, -2), F.element_at(between, -1))
 
-    return let(F.split(name, X.YEAR, -1), of)
+    return F.when(hit(name, X.YEAR), let(F.split(name, X.YEAR, -1), of)).otherwise(name)
 
 
 def clean_title(name: Column) -> Column:
@@ -146,13 +147,24 @@ def squeeze(c: Column) -> Column:
     return F.trim(cut(c, X.U + r"\s+", " "))
 
 
-def title_before_marker(name: Column) -> Column:
-    """The title before the first kind of marker that matches; all of the name without one."""
+def before_marker(name: Column) -> Column:
+    """What stands before the first kind of marker that matches; all of the name without one."""
     out = None
     for p in (X.SERIES, X.SERIES_X, X.SEASON_DOT_EPISODE, X.SEASON_DOT_DIGIT, X.EPISODE_ALONE):
-        before = F.element_at(F.split(name, p, 2), 1)
+        before = before_match(name, p)
         out = F.when(hit(name, p), before) if out is None else out.when(hit(name, p), before)
-    return let(out.otherwise(name), lambda b: F.when(strip(b) == "", F.lit("")).otherwise(clean_title(b)))
+    # most names have the first kind, with something before it: one search tells
+    return let(before_match(name, X.SERIES), lambda b: F.when(b != "", b).otherwise(out.otherwise(name)))
+
+
+def title_of(before: Column) -> Column:
+    """The title that stands before a marker."""
+    return F.when(strip(before) == "", F.lit("")).otherwise(clean_title(before))
+
+
+def title_before_marker(name: Column) -> Column:
+    """The title before the first kind of marker that matches; all of the name without one."""
+    return let(before_marker(name), title_of)
 
 
 def _clean_ep_title(raw: Column) -> Column:
@@ -166,11 +178,14 @@ def _clean_ep_title(raw: Column) -> Column:
 def episode_title(name: Column) -> Column:
     """What a name says after its marker, if it has two characters or more; else empty."""
     bare = without_extension(name)
-    after = lambda p: F.try_element_at(F.split(bare, p, 2), F.lit(2))
-    dotted = F.when(hit(bare, X.SEASON_DOT_EPISODE), _clean_ep_title(after(X.SEASON_DOT_EPISODE)))
-    marked = F.when(hit(bare, X.SERIES), _clean_ep_title(cut(after(X.SERIES), X.I + r"\s*E\d{1,3}\s*")))
     long = lambda c: let(c, lambda v: F.when(F.length(v) >= 2, v))
-    return F.coalesce(long(dotted), long(marked), F.lit(""))
+
+    def of(b: Column) -> Column:
+        dotted = F.when(hit(b, X.SEASON_DOT_EPISODE), long(_clean_ep_title(after_match(b, X.SEASON_DOT_EPISODE))))
+        marked = F.when(hit(b, X.SERIES), long(_clean_ep_title(cut(after_match(b, X.SERIES), X.I + r"\s*E\d{1,3}\s*"))))
+        return F.coalesce(dotted, marked, F.lit(""))
+
+    return let(bare, of)
 
 
 def dotted(c: Column) -> Column:

@@ -62,18 +62,19 @@ def season_from_path(path: Column) -> Column:
 
     def candidate(d: Column, parent: Column) -> Column:
         positive = lambda c: F.nullif(number(c), F.lit(0))
-        pn, dn = norm(parent), norm(d)
-        suffix = F.when((pn != "") & dn.startswith(F.concat(pn, F.lit(" "))), F.substring(dn, F.length(pn) + 2, F.length(dn)))
+        suffix = lambda pn, dn: F.when((pn != "") & dn.startswith(F.concat(pn, F.lit(" "))), F.substring(dn, F.length(pn) + 2, F.length(dn)))
+        rest = let(norm(parent), lambda pn: let(norm(d), lambda dn: suffix(pn, dn)))
+        word = let(rest, lambda s: F.when(s.isNotNull(), F.coalesce(_word_number(s, X.SEASON_WORDS), _word_number(s, X.ROMAN))))
         trailing = number(group(d, X.U + r"(?:^|[\s.])(\d{1,2})$"))
         return F.coalesce(
             positive(group(d, X.SERIES)), positive(group(d, X.I + r"season\s*(\d{1,2})")), positive(group(d, X.I + r"(?:part|vol|volume)\s*(\d{1,2})")),
-            F.when(F.lower(d).isin("specials", "special"), 0), _word_number(suffix, X.SEASON_WORDS), _word_number(suffix, X.ROMAN),
+            F.when(F.lower(d).isin("specials", "special"), 0), word,
             F.when(trailing.between(1, 50), trailing),
         )
 
     def of(up: Column) -> Column:
-        found = F.transform(up, lambda d, i: candidate(d, F.coalesce(F.try_element_at(up, i + 2), F.lit(""))))
-        return F.try_element_at(F.array_compact(found), F.lit(1))
+        both = F.transform(up, lambda d, i: F.struct(d.alias("d"), F.coalesce(F.try_element_at(up, i + 2), F.lit("")).alias("parent")))
+        return F.aggregate(both, F.lit(None).cast("int"), lambda a, x: F.when(a.isNotNull(), a).otherwise(candidate(x["d"], x["parent"])))
 
     return let(ancestors(path), of)
 
@@ -82,17 +83,23 @@ def _stem(path: Column) -> Column:
     return cut(basename(path), r"(?<=.)\.[^.]*$")
 
 
-def supplementary_reason(path: Column) -> Column:
-    """Why a file is bonus content: its outermost directory that matches, else its own name; empty if it isn't."""
+def supplementary_directory(path: Column) -> Column:
+    """Why a file's directories make it bonus content: the outermost that matches; null if none does."""
     dirs = F.filter(F.reverse(ancestors(path)), lambda d: any_pattern(d, X.SUPPLEMENTARY_DIRS))
+    return let(F.try_element_at(dirs, F.lit(1)), lambda d: F.when(d.isNotNull(), F.concat(F.lit("supplementary directory: "), quoted(d))))
+
+
+def supplementary_reason(path: Column, by_dir: Column | None = None) -> Column:
+    """Why a file is bonus content: its outermost directory that matches, else its own name; empty if it isn't. by_dir: a column
+    that holds what its directories say, where that was worked out before."""
+    by_dir = supplementary_directory(path) if by_dir is None else by_dir
 
     def by_name(stem: Column) -> Column:
         plain = F.trim(cut(stem, r"[._]", " "))
         hits = any_pattern(stem, X.SUPPLEMENTARY_STEMS) | any_pattern(plain, X.SUPPLEMENTARY_STEMS)
         return F.when(hits, F.concat(F.lit("supplementary filename: "), quoted(stem))).otherwise("")
 
-    found = F.try_element_at(dirs, F.lit(1))
-    return F.coalesce(F.concat(F.lit("supplementary directory: "), quoted(found)), let(_stem(path), by_name), F.lit(""))
+    return F.coalesce(by_dir, let(_stem(path), by_name), F.lit(""))
 
 
 def is_supplementary(path: Column) -> Column:

@@ -27,6 +27,19 @@ def parsed(files: DataFrame) -> DataFrame:
     )
 
 
+def parsed_once(files: DataFrame) -> DataFrame:
+    """``parsed`` with ``dir_title, dir_season, dir_reason`` of the path (reason: of bonus content). A name or a directory that
+    many files have is parsed once; null paths are one of each."""
+    within = F.substring("path", F.lit(1), F.length("path") - F.length(F.substring_index("path", "/", -1)))
+    f = files.withColumns({"basename": names.basename(F.col("path")), "__dir": within})
+    by_name = parsed(f.select(F.col("basename").alias("path")).distinct()).drop("path")
+    d = F.col("__dir")
+    by_dir = spread(f.select("__dir").distinct()).select("__dir", paths.title_from_path(d).alias("dir_title"), paths.season_from_path(d).alias("dir_season"), paths.supplementary_directory(d).alias("dir_reason"))
+    n, p = by_name.withColumnRenamed("basename", "__name"), by_dir.withColumnRenamed("__dir", "__within")
+    f = f.join(n, F.col("basename").eqNullSafe(F.col("__name")), "left").drop("__name")
+    return f.join(p, F.col("__dir").eqNullSafe(F.col("__within")), "left").drop("__within", "__dir")
+
+
 def identity(p: DataFrame) -> DataFrame:
     """parsed rows with one nested ``identity``: candidates with confidences, media type, status and warnings.
 

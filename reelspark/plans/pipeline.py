@@ -39,7 +39,8 @@ class Options:
 
 def skipped(p: DataFrame) -> DataFrame:
     """parsed rows with ``skip_reason``; empty for those that go on."""
-    return p.withColumn("skip_reason", F.when(F.col("is_multi_episode"), "multi-episode file").otherwise(paths.supplementary_reason(F.col("path"))))
+    by_dir = F.col("dir_reason") if "dir_reason" in p.columns else None
+    return p.withColumn("skip_reason", F.when(F.col("is_multi_episode"), "multi-episode file").otherwise(paths.supplementary_reason(F.col("path"), by_dir)))
 
 
 def _asked_title(known: str):
@@ -54,7 +55,7 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     """A row a file of ``files`` (``file_id, path``): the parsed fields with the verdicts applied, ``refused`` and
     ``skip_reason``. Files that are skipped cause no look-up and no vote."""
     o = options or Options()
-    p = skipped(E.parsed(files)).withColumns({"dir_title": paths.title_from_path(F.col("path")), "dir_season": paths.season_from_path(F.col("path"))})
+    p = skipped(E.parsed_once(files)).drop("dir_reason")
     p = cut(p.withColumn("title", _asked_title(o.known_title)))
     if o.library is not None and o.library.wiki is not None:
         named = L.translated(p.filter("skip_reason = ''").select("file_id", "title", "is_series", "year"), o.library)
@@ -108,7 +109,7 @@ def plan(files: DataFrame, options: Options | None = None) -> DataFrame:
     p = p.withColumn("new_name", new)
     p = p.withColumn("s", R.rename_status(F.col("new_name"), F.col("basename"), F.col("skip_reason"), F.col("refused"), F.col("title"), F.col("ep_title"), uses, F.col("season"), F.col("episode")))
     p = p.select("file_id", "path", F.col("basename").alias("old_name"), F.when(F.col("s.status") == "renamed", F.col("new_name")).otherwise(F.col("basename")).alias("new_name"), "s.status", "s.reason")
-    p = p.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    p = cut(p.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))  # rendered once, not again for each look at the status
     there = p.select("dir", F.col("old_name").alias("name"))
     there = there if o.existing is None else there.unionByName(o.existing.select("dir", "name"))
     wanted = p.filter("status = 'renamed'").select("file_id", "path", "dir", "new_name")

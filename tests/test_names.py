@@ -126,3 +126,37 @@ def test_rare_rules_are_tried_where_they_can_match(spark):
     rows = d.collect()
     assert all((r.q.audio, r.q.hdr, r.q.modifiers) == (r.audio, r.hdr, r.mods) for r in rows)
     assert sum(bool(r.audio or r.hdr or r.mods or r.q.is_remux or r.q.is_3d) for r in rows) == len(tokens) - 2
+
+
+def test_shared_names_and_directories_are_parsed_once_with_the_same_fields(spark):
+    from reelspark.operators import evidence
+    from reelspark.plans.pipeline import skipped
+
+    given = ["/tv/Show/Season 2/Show.S02E03.A.Title.1080p.mkv", "/tv/Other Show/Show.S02E03.A.Title.1080p.mkv", "/tv/Show/Extras/a.mkv", "/x/a.mkv", "a.mkv", "/a.mkv", "", None, None, "/tv/Show Ni/7x08.mkv/", "C:\\tv\\Show\\b.S01E01.mkv", "/m/Дом/Дом.2001.mkv", "/m/ü'/trailer.mkv"]
+    files = spark.createDataFrame(list(enumerate(given)), "file_id long, path string")
+    p = F.col("path")
+    want = skipped(evidence.parsed(files)).withColumns({"dir_title": paths.title_from_path(p), "dir_season": paths.season_from_path(p)})
+    once = evidence.parsed_once(files)
+    got = skipped(once).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert [r[0] for r in got.orderBy("file_id").select("dir_season").head(2)] == [2, None]
+
+
+def test_matches_are_split_as_by_split(spark):
+    from reelspark.functions import fixed as X
+    from reelspark.functions.base import after_match, before_match
+
+    given = ["A.S01E02.b\nc", "S01E02", "x - 3x04 y", "01.02.t", "2.3", "b 12.mkv", "[12]a", "none", "", "Show.s1e2.S03E04.z", "😀.S01E02.ü"]
+    df = spark.createDataFrame([(g,) for g in given], "n string")
+    n = F.col("n")
+    for p in (X.SERIES, X.SERIES_X, X.SEASON_DOT_EPISODE, X.SEASON_DOT_DIGIT, X.EPISODE_ALONE):
+        both = F.split(n, p, 2)
+        for r in df.filter(n.rlike(p)).select(both.alias("w"), before_match(n, p).alias("b"), after_match(n, p).alias("a")).collect():
+            assert list(r.w) == [r.b, r.a]
+
+
+def test_titles_are_cleaned_from_what_stands_before_a_marker(spark):
+    given = ["A.Show.S01E02.mkv", "S01E02.x.mkv", "the show 3x04.S05E06.mkv", "[G] Show - 01 [1080p].mkv", "01.02.t.mkv", "2.6.mkv", " .S01E01", "none", "", None]
+    both = values(spark, given, lambda n: F.struct(names.title_before_marker(n).alias("a"), names.title_of(names.before_marker(n)).alias("b")))
+    assert [r.a for r in both] == [r.b for r in both]
+    assert (both[0].a, both[1].a, both[6].a, both[-1].a) == ("A Show", "", "", None)
