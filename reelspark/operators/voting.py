@@ -191,6 +191,12 @@ def fuse(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     return verdicts(opinions, scores).drop("share").withColumnRenamed("posterior", "confidence")
 
 
+def readings(opinions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """What ``vote`` and ``fuse`` say together, from one vote: their verdicts differ in the confidence only, the ``share`` of the
+    one and the ``posterior`` of the other."""
+    return verdicts(opinions, scores)
+
+
 def usable_values(v: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """A row a file with the usable value of each field."""
     return v.filter("usable").groupBy("file_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])

@@ -78,3 +78,19 @@ def test_filters_of_verdicts_do_not_repeat_the_vote(spark):
     plan = usable_values(vote(o), ("season",))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("aggregate(" in line for line in plan.splitlines() if "Filter " in line)
     assert [tuple(r) for r in usable_values(vote(o), ("season",)).collect()] == [(0, "1")]
+
+
+def test_both_readings_come_from_one_vote(spark):
+    from reelspark.operators.voting import readings
+
+    o = opinions(
+        spark,
+        [op("filename", "season", "1", 0.9), op("dirname", "season", "2", 0.8), op("tmdb", "year", "1999", 0.7)],
+        [op("filename", "season", "1", 0.6, True), op("file", "codec", "x264", 0.95), op("filename", "codec", "HEVC", 0.5)],
+        [op("filename", "title", "A Show", 0.9), op("tvmaze", "title", "A Show!", 0.9), op("dirname", "title", "Other", 0.2), op("file", "season", "", 0.2)],
+    )
+    a, b, r = by_case(vote(o)), by_case(fuse(o)), by_case(readings(o))
+    assert a.keys() == b.keys() == r.keys() and len(r) == 5
+    for k, x in r.items():
+        assert (x.value, x.decision, x.usable, x.share) == (a[k].value, a[k].decision, a[k].usable, a[k].confidence)
+        assert (x.value, x.decision, x.usable, x.posterior) == (b[k].value, b[k].decision, b[k].usable, b[k].confidence)
