@@ -220,7 +220,7 @@ def allocate(wanted: DataFrame, existing: DataFrame | None = None, *, sequential
     A file that already has its name keeps it and takes none. Names of ``existing`` are taken in their directory; with
     ``sequential`` those of files of ``wanted`` only until the file is moved, in path order, as in a real run.
     """
-    w = wanted.select("file_id", "path", "dir", "new_name").withColumn("old", F.substring_index("path", "/", -1))
+    w = cut_lineage(wanted.select("file_id", "path", "dir", "new_name").withColumn("old", F.substring_index("path", "/", -1)))  # worked out once
     same = w.filter("old = new_name").select("file_id", F.col("new_name").alias("dest_name"))
     w = cut_lineage(w.filter("old <> new_name").withColumn("family", family(F.col("new_name"))))
     kinds = w.groupBy("family").agg(F.min("new_name").alias("lo"), F.max("new_name").alias("hi")).filter("lo <> hi").select("family")

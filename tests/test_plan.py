@@ -303,3 +303,16 @@ def test_identity(spark):
     assert [x.media_type for x in i] == ["series_episode", "series_episode", "movie", "series_episode", "series_episode", "unknown", "series_episode"]
     assert [x.status for x in i] == ["ambiguous", "identified", "identified", "identified", "identified", "unresolved", "identified"]
     assert i[4].episodes == [1, 2] and i[4].is_multi_episode.value and i[2].is_multi_episode is None and i[6].season.confidence == 0.7
+
+
+def test_wanted_names_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(s):
+        seen.add(1)
+        return s
+
+    w = spark.createDataFrame([(i, f"/d/{i}", "/d", "a.mkv" if i else "0") for i in range(6)], "file_id long, path string, dir string, new_name string")
+    w = w.withColumn("new_name", F.udf(note, "string").asNondeterministic()("new_name"))
+    assert sorted(r.dest_name for r in allocate.allocate(w, w.select("dir", F.lit("b").alias("name"))).collect()) == ["0", "a.mkv", "a_1.mkv", "a_2.mkv", "a_3.mkv", "a_4.mkv"]
+    assert seen.value == 6
