@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +22,8 @@ BUCKET_ROWS = 2048
 SUPER = 1024
 
 _OWN: dict[str, str] = {}
+#: What this Python worker keeps from task to task.
+_KEPT: dict[Any, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -137,8 +141,28 @@ def bucket_of(hashed: Column, n: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Parts of the batches with about ``chars`` bytes of text at most (a longer text comes alone), and their texts."""
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """``make()``, kept for this worker's next tasks that ask for ``key``. Spark reuses workers, so the tasks of other stages give it
+    back (see ``text_chunks``); of several keys the last stays."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Drops what the worker keeps, and returns to the system what it has freed, where the C library can."""
+    _KEPT.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = 1 << 21, keeps: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches with about ``chars`` bytes of text at most (a longer text comes alone), and their texts. Unless
+    the caller ``keeps`` something, it first gives back what earlier stages left in the worker."""
+    if not keeps:
+        give_back()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         sizes = [n or 0 for n in pc.binary_length(col).to_pylist()]

@@ -13,10 +13,10 @@ from __future__ import annotations
 import os
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 
+from ._common import kept
 from ._text import mix
 
 #: Characters on which Python, Rust and Unicode may disagree about white space: such texts are encoded whole.
@@ -256,8 +256,7 @@ class Encoder:
         return [ids + self.end for ids in out]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, end_id: int) -> Encoder:
-    """One encoder a Python worker; workers are reused from task to task."""
+    """One encoder a Python worker, for all tasks that tokenize; workers are reused from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, end_id)
+    return kept(("encoder", path, end_id), lambda: Encoder(path, end_id))

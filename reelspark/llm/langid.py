@@ -30,6 +30,8 @@ SAMPLE, HELD = 4000, 10
 #: may stray by chance, or by a key or a name in it: four standard deviations of one character's log-probability (about 1.25), over the root of their number.
 QUANTILE, MARGIN, STRAY = 0.99, 1.0, 5.0
 UNKNOWN = "und"
+#: Bytes of text that are scored together, about: a character takes some 150 bytes meanwhile, so a worker needs some 40 MB.
+CHARS = 1 << 18
 B = np.uint64(16)
 
 
@@ -173,7 +175,7 @@ def kneser_ney(lang: np.ndarray, keys: np.ndarray, counts: np.ndarray, languages
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, texts in text_chunks(batches, "text"):
+    for chunk, texts in text_chunks(batches, "text", CHARS):
         keys, lang, name = [], [], chunk.column("lang").to_pylist()
         names = sorted(set(name))
         for t, x in zip(texts, name, strict=True):
@@ -186,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entropies(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
-    for chunk, texts in text_chunks(batches, "text"):
+    for chunk, texts in text_chunks(batches, "text", CHARS):
         cs = [characters(t or "") for t in texts]
         ok = [i for i, c in enumerate(cs) if len(c)]
         out: list[list[float] | None] = [None] * len(cs)
@@ -225,7 +227,7 @@ def train_languages(docs: DataFrame, per_language: int = SAMPLE) -> Models | Non
 
 
 def _predict(batches: Iterator[pa.RecordBatch], models: Models | None) -> Iterator[pa.RecordBatch]:
-    for chunk, texts in text_chunks(batches, "text"):
+    for chunk, texts in text_chunks(batches, "text", CHARS):
         cs = [characters(t or "") for t in texts] if models else [()] * len(texts)
         ok = np.array([i for i, c in enumerate(cs) if len(c)], np.int64)
         lang, score, rejected = np.full(len(cs), UNKNOWN, object), np.zeros(len(cs)), np.ones(len(cs), bool)

@@ -84,7 +84,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(tokenizer, end_id)
     width = enc.dtype.itemsize
-    for chunk, texts in text_chunks(batches, "text"):
+    for chunk, texts in text_chunks(batches, "text", keeps=True):
         rows = []
         for doc, ids in zip(chunk.column("doc_id").to_pylist(), enc.encode_all(texts), strict=True):
             total = len(ids) // width

@@ -97,7 +97,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id:
     tokens, total = f"{root}/tokens-{part:06d}-{name}.arrow", 0
     at = f"{root}/docs-{part:06d}-{name}.arrow"
     docs = 0
-    for chunk, texts in text_chunks(batches, "text"):
+    for chunk, texts in text_chunks(batches, "text", keeps=True):
         if out is None:
             out, sink = Writer(tokens, enc.dtype, length, rows), open_store(at, "w")
             index = pa.ipc.new_stream(sink, DOCS)

@@ -43,3 +43,25 @@ def test_stages_on_empty_tables(spark, none):
         assert out.count() == 0 and (name == "packing" or out.columns == d.columns)
     unknown = spark.createDataFrame([(1, "some words without a language", None, None, 29), (2, None, None, None, None)], d.schema)
     assert cp.language(spark, unknown, "").count() == 0
+
+
+def test_workers_hold_little():
+    """A batch of languages takes memory by the chunk, not by the batch; what tokenizing tasks keep goes before others start."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from reelspark.llm import _common, _tokens, langid
+
+    counts = next(langid._count(iter([pa.RecordBatch.from_pydict({"text": ["a few words of a language"], "lang": ["en"]})])))
+    models = langid.kneser_ney(np.zeros(counts.num_rows, np.int64), counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy(), ["en"])
+    models.calibrate(np.empty((0, 1)), np.empty(0))
+    batch = pa.RecordBatch.from_pydict({"text": ["words of a language " * 50] * 4000})
+    encoder = _tokens.encoder(P.path("word_bpe_49k.json"), 2)
+    assert _tokens.encoder(P.path("word_bpe_49k.json"), 2) is encoder and list(_common._KEPT.values()) == [encoder]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in langid._predict(iter([batch]), models)) == 4000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and not _common._KEPT
