@@ -11,15 +11,16 @@ from reelspark.plans.cut import cut
 FREQUENT = 256
 
 
-def frequent_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int = FREQUENT) -> DataFrame:
-    """``left`` joined to ``right`` (a row a key, keys never null) by ``keys``; how: ``inner`` or ``left``.
+def frequent_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int = FREQUENT, once: bool = False) -> DataFrame:
+    """``left`` joined to ``right`` (a row a key, keys never null) by ``keys``; how: ``inner`` or ``left``. once: ``left``
+    is cut already.
 
     Rows of frequent keys stay where they are and meet the ``most`` rows of ``right`` at most that they need by a
     broadcast; all others are shuffled, no key with more than a ``most``-th of the rows. Rows with null keys meet nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"no such join: {how}")
-    d = cut(left)
+    d = left if once else cut(left)
     counts = d.groupBy(*keys).agg(F.count("*").alias("__n"))
     limit = d.count() / most
     frequent = F.broadcast(cut(counts.filter(F.col("__n") > limit).select(*keys, F.lit(True).alias("__frequent"))))  # ``most`` rows at most

@@ -68,7 +68,7 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     go = p.filter("skip_reason = ''")
     local = E.together(E.filename_opinions(go, o.known_title), E.dirname_opinions(go, F.col("dir_title"), F.col("dir_season")), *([E.file_opinions(o.probes.join(go.select("file_id"), "file_id"))] if o.probes is not None else []))
     local = cut(local)
-    first = V.fuse(local.filter(F.col("field").isin(*X.EXPENSIVE)))
+    first = V.fuse_same(local.filter(F.col("field").isin(*X.EXPENSIVE)))
     one = first.groupBy("file_id").agg(
         F.max(F.when((F.col("field") == "season") & F.col("usable"), F.col("value"))).alias("v_season"), F.max(F.when((F.col("field") == "episode") & F.col("usable"), F.col("value"))).alias("v_episode"),
         F.array_sort(F.collect_list(F.when(~F.col("usable"), F.col("field")))).alias("refused"),
@@ -81,7 +81,7 @@ def identify(files: DataFrame, options: Options | None = None) -> DataFrame:
     asked = p.filter("skip_reason = ''").select("file_id", "title", "season_assumed", "is_series", "is_special", "season", "episode", "year", F.lit("").alias("ep_title"))
     catalogs = o.catalogs | (L.found(asked.filter("title <> ''"), o.library) if o.library is not None else {})
     online = [E.catalog_opinions(asked, name, found) for name, found in catalogs.items()]
-    cheap = V.fuse(E.together(local, *online).filter(~F.col("field").isin(*X.EXPENSIVE)))
+    cheap = V.fuse_same(E.together(local, *online).filter(~F.col("field").isin(*X.EXPENSIVE)))
     wide = V.usable_values(cheap, ("title", "year", "ep_title", "resolution", "source", "codec", "audio", "hdr", "mod", "quality", "channels"))
     wide = wide.select("file_id", *[F.col(c).alias(f"w_{c}") for c in wide.columns if c != "file_id"])
     p = p.join(wide, "file_id", "left").drop("v_season", "v_episode")

@@ -94,3 +94,25 @@ def test_both_readings_come_from_one_vote(spark):
     for k, x in r.items():
         assert (x.value, x.decision, x.usable, x.share) == (a[k].value, a[k].decision, a[k].usable, a[k].confidence)
         assert (x.value, x.decision, x.usable, x.posterior) == (b[k].value, b[k].decision, b[k].usable, b[k].confidence)
+
+
+def test_equal_ballots_are_judged_once(spark, monkeypatch):
+    """``fuse_same`` says what ``fuse`` says, of as many ballots as differ; nulls in a ballot are equal to each other."""
+    from pyspark.sql import functions as F
+
+    from reelspark.operators import voting as V
+    from reelspark.plans.cut import cut
+
+    same = [op("filename", "title", "A Show", 0.9), op("tvmaze", "title", "The Shaw"), op("dirname", "title", "Lib", 0.7), op("file", "codec", "x264")]
+    o = opinions(spark, *[same] * 40, [op("filename", "title", "A Show", 0.8), op("tvmaze", "title", "The Shaw")], [op("filename", "season", "1", 0.6, True), op("dirname", "season", "2")], [op("filename", "year", "")])
+    judged, counts = V.judged, []
+
+    def counted(g, scores=None):
+        g = cut(g)
+        counts.append(g.count())
+        return judged(g, scores)
+
+    want = sorted(map(str, V.fuse(o).collect()))
+    monkeypatch.setattr(V, "judged", counted)
+    assert sorted(map(str, V.fuse_same(o).select(V.fuse(o).columns).collect())) == want and len(want) == 82 and 4 in counts
+    assert V.fuse_same(o.filter(F.lit(False))).count() == 0
